@@ -141,7 +141,7 @@ class ByteBpe:
     AWKWARD = r"(^|[\s\x{1c}-\x{1f}\v\x{85}\p{Z}]) ([\s\x{1c}-\x{1f}\v\x{85}\p{Z}]|$)"
     LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
     SPLIT = f"(?s)^(?P<word> ?[{LETTERS}]+)(?P<rest>[!-&(-/:-@\\[-`{{-~].*)$"
-    MOST_KNOWN = 1 << 20
+    MOST_KNOWN = 1 << 18
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -252,8 +252,8 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, end_id: int
         encoder, writer, stream = encoder_of(tokenizer), None, None
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                part = batch.slice(k, 2048)
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
                 ids, bounds = encoder.encode_column(part.column(1))
                 if writer is None:
                     system, path = storage.opened(uri)
