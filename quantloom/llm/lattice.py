@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .components import components
 from .runtime import written
 from .text import mixed
@@ -27,8 +28,6 @@ from .text import mixed
 TABLES, SCALE = 16, 1.0
 #: Cells with more members are split into blocks of about this size, and each two blocks compared by themselves.
 BLOCK = 1024
-#: A list of split cells up to this long is broadcast (16 bytes each); a longer one is joined by shuffling.
-MOST_BROADCAST = 1 << 20
 _SMALL = 24
 _PORTION = 1 << 15
 
@@ -109,33 +108,14 @@ def _pairs(group: np.ndarray, side: np.ndarray, unit: np.ndarray, least: float)
     return i[apart | whole], j[apart | whole]
 
 
-def _roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id, smallest id reachable) over links between places i and j."""
-    names, place = np.unique(np.concatenate((ids[i], ids[j])), return_inverse=True)
-    a, b = place[: len(i)], place[len(i) :]
-    root = np.arange(len(names))
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return names, names[root]
-        root = new
-
-
-def _links(batch: pa.Table, least: float) -> pa.RecordBatch | None:
-    """Owned link counts and local roots for whole groups of rows (part, cell, lot, side, home, id, copies, vector)."""
-    part, cell, lot = (batch.column(k).to_numpy() for k in ("part", "cell", "lot"))
+def _links(batch: pa.Table, cuts: np.ndarray, least: float) -> pa.RecordBatch | None:
+    """Owned link counts and local roots for whole groups of rows (cell, home, id, copies, vector, side)."""
+    cell, number = batch.column("cell").to_numpy(), np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
     side, home, ids, copies = (batch.column(k).to_numpy() for k in ("side", "home", "id", "copies"))
     vectors = batch.column("vector").combine_chunks()
     out_i, out_j, own = [], [], []
     for at, unit in _by_width(vectors):
-        order = np.lexsort((part[at], cell[at], lot[at]))
-        at, unit = at[order], unit[order]
-        group = np.cumsum(np.concatenate(([False], (cell[at][1:] != cell[at][:-1]) | (part[at][1:] != part[at][:-1]) | (lot[at][1:] != lot[at][:-1]))))
-        i, j = _pairs(group, side[at], unit, least)
+        i, j = _pairs(number[at], side[at], unit, least)
         meet = (home[at][i] | home[at][j]) & (ids[at][i] != ids[at][j])
         i, j = i[meet], j[meet]
         if not len(i):
@@ -159,11 +139,11 @@ def _links(batch: pa.Table, least: float) -> pa.RecordBatch | None:
     if not out_i:
         return None
     i, j, own = np.concatenate(out_i), np.concatenate(out_j), np.concatenate(own)
-    names, roots = _roots(ids, i, j)
+    names, root = blocks.roots(ids, i, j)
     count = np.zeros(len(names), np.int64)
     np.add.at(count, np.searchsorted(names, ids[i[own]]), copies[j[own]])
     np.add.at(count, np.searchsorted(names, ids[j[own]]), copies[i[own]])
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(count), pa.array(roots)], names=["id", "links", "root"])
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(count), pa.array(root)], names=["id", "links", "root"])
 
 
 def near_vectors(vectors: DataFrame, similarity: float = 0.95, portion: int = 1 << 15) -> DataFrame:
@@ -200,48 +180,14 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.95, portion: int = 1
                     )
 
     placed = classes.select("vector", "id", "copies").mapInArrow(hashed, f"cell long, home boolean, id long, copies long, vector {kind}")
-    full = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    full = written(full.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "full-cells")
-    n = full.count()
-    light = placed if not n else placed.join(F.broadcast(full) if n <= MOST_BROADCAST else full, "cell", "left_anti")
-    columns = ["part", "cell", "lot", "side", "home", "id", "copies", "vector"]
-    zero = F.lit(0).cast("int")
-    dealt = light.select(zero.alias("part"), "cell", zero.alias("lot"), F.lit(-1).cast("int").alias("side"), "home", "id", "copies", "vector")
-    if n:
-        heavy = placed.join(F.broadcast(full) if n <= MOST_BROADCAST else full, "cell")
-        heavy = heavy.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        heavy = heavy.withColumn("with", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-        low, high = F.least("block", "with"), F.greatest("block", "with")
-        side = F.when(low == high, F.lit(-1)).otherwise(F.col("block")).cast("int")
-        dealt = dealt.unionByName(heavy.select(low.alias("part"), "cell", high.alias("lot"), side.alias("side"), "home", "id", "copies", "vector"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def ready(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            whole = pa.Table.from_batches(held)
-            cut = whole.num_rows
-            if not final:  # the last group may go on in the next batch
-                marks = [whole.column(k).to_numpy() for k in ("cell", "part", "lot")]
-                differs = np.logical_or.reduce([m != m[-1] for m in marks])
-                cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-            found = _links(whole.slice(0, cut), similarity) if cut else None
-            held = whole.slice(cut).to_batches()
-            size = whole.num_rows - cut
+        for rows, cuts in blocks.whole_groups(batches, "cell", portion):
+            found = _links(rows, cuts, similarity)
             if found is not None:
                 yield found
 
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= portion:
-                yield from ready(False)
-        if size:
-            yield from ready(True)
-
-    sorted_ = dealt.select(*columns).repartition("cell", "part", "lot").sortWithinPartitions("cell", "part", "lot")
+    sorted_ = blocks.dealt(placed, "cell", "id", BLOCK)
     found = written(sorted_.mapInArrow(compare, "id long, links long, root long"), "vector-links")
     degrees = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("root").alias("u"), F.col("id").alias("v")))

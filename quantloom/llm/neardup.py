@@ -5,11 +5,12 @@ class, and one document stands for each class from then on. Per set, many univer
 are taken; bands of them name buckets, and the minima's lowest bits are kept as a signature.
 
 Links are found in two passes. In the first, each bucket links its members to its smallest one.
-In the second, members of one bucket that are still in different components are paired. Pairs
-whose signatures are too far apart are left out, every other pair is confirmed on the full sets,
-and components are formed by alternating large-star and small-star. Pairs within one component
-need no look, as they cannot change it; so a bucket of very many copies costs one row per copy
-and not one per pair, and no pair that could join two components is left out.
+In the second, members of one bucket that are still in different components are compared with
+each other, inside a task. Pairs whose signatures are too far apart are left out, every other pair
+is confirmed on the full sets, and components are formed by alternating large-star and small-star.
+Pairs within one component need no look, as they cannot change it; so a bucket of very many
+copies costs one row per copy and not one per pair, and no pair that could join two components is
+left out.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from . import text as words
 from .components import components
 from .runtime import discard, written
@@ -39,6 +41,8 @@ _random = np.random.Generator(np.random.PCG64(5))
 _FACTOR = _random.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _random.integers(0, 2**63, MINIMA, dtype=np.uint64)
 _CHUNK = 2048
+#: Members of a bucket that are compared with each other at once, rows a task holds, and columns of the matrices.
+BLOCK, _PORTION, _COLUMNS = 512, 1 << 14, 1 << 13
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -101,21 +105,29 @@ def _sketches(documents: DataFrame, size: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, " + _SKETCH)
 
 
+def _most_differing(similarity: float) -> int:
+    share = (1 - similarity) / 2
+    return int(BITS * share + STRAY * (BITS * share * (1 - share)) ** 0.5)
+
+
 def _close(similarity: float):
     """A condition on signatures a.s*, b.s* and sizes that linked pairs meet but for one in a billion."""
+    most = _most_differing(similarity)
     differ = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(1, 4)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
-    share = (1 - similarity) / 2
-    most = int(BITS * share + STRAY * (BITS * share * (1 - share)) ** 0.5)
     small, large = F.least("a.n_shingles", "b.n_shingles"), F.greatest("a.n_shingles", "b.n_shingles")
     return (differ <= most) & (small * 100 >= large * round(similarity * 100))
 
 
+def _texts_of(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents listed in ``ids``."""
+    ids = ids.distinct()
+    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    return written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "texts")
+
+
 def confirmed(pairs: DataFrame, documents: DataFrame, size: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts' full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    texts = written(texts, "pair-texts")
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), documents)
     sided = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     needed = round(similarity * 100)
 
@@ -130,6 +142,94 @@ def confirmed(pairs: DataFrame, documents: DataFrame, size: int, similarity: flo
     return sided.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _candidates(rows: pa.Table, a: int, b: int, bands: np.ndarray, similarity: float) -> np.ndarray:
+    """Among rows a to b, one group, which pairs are to be confirmed here (above the diagonal).
+
+    Those of different components, on different sides if there are two, close by size and
+    signature, and without an earlier band in common, where they would have met before.
+    """
+    column = {name: rows.column(name).to_numpy()[a:b] for name in ("root", "side", "n_shingles", "band", "s0", "s1", "s2", "s3")}
+    root, side, n = column["root"], column["side"], column["n_shingles"]
+    small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
+    pair = np.triu((root[:, None] != root) & ((side < 0) | (side[:, None] != side)) & (small * 100 >= large * round(similarity * 100)), 1)
+    if not pair.any():
+        return pair
+    differ = sum(np.bitwise_count(column[f"s{k}"][:, None] ^ column[f"s{k}"]).astype(np.int64) for k in range(4))
+    pair &= differ <= _most_differing(similarity)
+    own = bands[a:b]
+    for k in range(int(column["band"][0])):
+        if not pair.any():
+            break
+        pair &= own[:, k][:, None] != own[:, k]
+    return pair
+
+
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0/1 matrices over runs of shingles."""
+    shingle, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    common = count > 1
+    rank = np.cumsum(common) - 1
+    place, owner = rank[place][common[place]], owner[common[place]]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for s in range(0, int(common.sum()), _COLUMNS):
+        lo, hi = np.searchsorted(place, (s, s + _COLUMNS))
+        has = np.zeros((len(sets), _COLUMNS), np.float32)
+        has[owner[lo:hi], place[lo:hi] - s] = 1
+        out += has @ has.T
+    return out
+
+
+def _crossing(shared: DataFrame, found: DataFrame, classes: DataFrame, documents: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (u, v) between different components of ``found`` whose members share a bucket.
+
+    Members of one bucket are compared in the bucket's own task, a large bucket's in blocks: first
+    by signature, to learn which members need their texts, then on the full sets. What a task emits
+    are members and, of the links it finds, stars; never pairs.
+    """
+    placed = shared.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("root"))
+    apart = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    marks = classes.select("id", "n_shingles", "s0", "s1", "s2", "s3", "bands")
+    placed = placed.join(apart, "bucket").join(marks, "id")
+    placed = written(placed.withColumn("band", (F.array_position("bands", F.col("bucket")) - 1).cast("int")), "apart")
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in blocks.whole_groups(batches, "bucket", _PORTION):
+            bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+            some = np.zeros(rows.num_rows, bool)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                pair = _candidates(rows, a, b, bands, similarity)
+                some[a:b] = pair.any(0) | pair.any(1)
+            yield from rows.select(["bucket", "id"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+    needed = blocks.dealt(placed, "bucket", "id", BLOCK).mapInArrow(flag, "bucket long, id long").distinct()
+    needed = written(needed, "needed")
+    texts = _texts_of(needed.select(F.col("id").alias("doc_id")), documents)
+    full = placed.join(needed, ["bucket", "id"]).join(texts, F.col("id") == F.col("doc_id")).drop("doc_id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in blocks.whole_groups(batches, "bucket", BLOCK):
+            bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+            ids = rows.column("id").to_numpy()
+            sets = list(sets_of(rows.column("text"), size))
+            one, other = [], []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                pair = _candidates(rows, a, b, bands, similarity)
+                if pair.any():
+                    n = np.array([len(x) for x in sets[a:b]])
+                    both = _shared_counts(sets[a:b])
+                    i, j = np.nonzero(pair & (both > 0) & (100 * both >= round(similarity * 100) * (n[:, None] + n - both)))
+                    one.append(i + a)
+                    other.append(j + a)
+            if one and len(i := np.concatenate(one)):
+                names, root = blocks.roots(ids, i, np.concatenate(other))
+                yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(names)], names=["u", "v"])
+
+    return blocks.dealt(full, "bucket", "id", BLOCK).mapInArrow(compare, "u long, v long").where("u <> v").distinct()
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row of ``documents``: doc_id, n_shingles, component_id, kept.
 
@@ -162,18 +262,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, similarity: float = 0.8
     links = written(confirmed(first, documents, size, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     found = components(links)
 
-    placed = shared.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("root"))
-    roots = placed.select("bucket", "root").distinct()
-    apart = roots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    placed = written(placed.join(apart, "bucket").join(marks, "id"), "apart")
-    roots = placed.select("bucket", "root").distinct()
-    crossing = roots.alias("x").join(roots.alias("y"), F.expr("x.bucket = y.bucket and x.root < y.root")).select("x.bucket", F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
-    second = crossing.alias("c").join(placed.alias("a"), F.expr("c.bucket = a.bucket and c.ra = a.root")).join(
-        placed.alias("b"), F.expr("c.bucket = b.bucket and c.rb = b.root") & _close(similarity)
-    )
-    second = written(second.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct(), "pairs")
-    if not second.isEmpty():
-        more = confirmed(second, documents, size, similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = written(_crossing(shared, found, classes, documents, size, similarity), "links")
+    if not more.isEmpty():
         found = components(links.unionByName(more))
     # a doc_id with several texts holds its classes together
     several = able.groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y").select("doc_id")
@@ -182,7 +272,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, similarity: float = 0.8
         also = able.join(several, "doc_id", "left_semi").join(ids, key).select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
         stars = found.select(F.col("component").alias("u"), F.col("node").alias("v"))
         found = components(stars.unionByName(also))
-    for done in (shared, first, placed, second):
+    for done in (shared, first):
         discard(done)
     id_of = classes.select(*key, "id").join(found, F.col("id") == F.col("node"), "left").select(*key, F.coalesce("component", "id").alias("__c"))
     rows = sketches.select("doc_id", *key).join(id_of, key, "left")
