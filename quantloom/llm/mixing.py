@@ -12,10 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: The mix holds this share of all words, and no source more than this multiple of its own.
 SHARE, MOST = 1.5, 2.0
+#: A table of this many sources is broadcast; a longer one is joined by shuffling.
+MOST_BROADCAST = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -67,7 +71,8 @@ def copies(documents: DataFrame, key: Sequence[str] = ("doc_id", "text"), **how)
     """
     rows = documents.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col("text")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, **how).withColumnRenamed("source", "__source")
+    targets = written(source_targets(sizes, **how).withColumnRenamed("source", "__source"), "targets")
+    targets = F.broadcast(targets) if targets.count() <= MOST_BROADCAST else targets
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     drawn = (uniform(*[F.col(k) for k in key]) < rate - F.floor(rate)).cast("long")
