@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -279,3 +279,23 @@ def near_duplicates(documents: DataFrame, size: int = 5, similarity: float = 0.8
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(linked, F.col("__c")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``documents`` with one document of each near-duplicate group, the one with the smallest doc_id.
+
+    Rows without doc_id, and texts without words, are kept. Of several rows with one doc_id the
+    first by text and then by the other columns stays.
+    """
+    gone = near_duplicates(documents, size, similarity).where("not kept").select("doc_id").distinct()
+    gone = written(gone, "duplicates")
+    small = gone.count() <= MOST_BROADCAST
+    rest = documents.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    several = documents.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    several = written(several, "repeated")
+    if several.isEmpty():
+        return rest
+    order = [F.col("text"), *[F.col(f"`{c}`") for c in documents.columns if c != "text"]]
+    once = rest.join(several, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    first = rest.join(several, "doc_id", "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    return once.unionByName(first.where("__k = 1").select(*[F.col(f"`{c}`") for c in documents.columns]))

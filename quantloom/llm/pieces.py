@@ -358,7 +358,7 @@ def encoded(documents: DataFrame, model: str, verify: bool = True) -> DataFrame:
     kept = documents.drop("ids", "n_tokens", "decoded")
     shown = kept.withColumn("ids", F.lit(None).cast("array<int>")).withColumn("n_tokens", F.lit(0).cast("long"))
     shown = shown.withColumn("decoded", F.lit(True)) if verify else shown
-    at = kept.columns.index("text")
+    at, names = kept.columns.index("text"), shown.columns
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model_of(model)
@@ -369,7 +369,7 @@ def encoded(documents: DataFrame, model: str, verify: bool = True) -> DataFrame:
                 extra = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(np.diff(bounds))]
                 if verify:
                     extra.append(pa.array([a == (b or "") for a, b in zip(own.decode(ids, bounds), texts.to_pylist(), strict=True)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(done, len(texts)).columns, *extra], names=shown.columns)
+                yield pa.RecordBatch.from_arrays([*batch.slice(done, len(texts)).columns, *extra], names=names)
                 done += len(texts)
 
     return kept.mapInArrow(encode, shown.schema)

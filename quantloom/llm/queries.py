@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, neardup, secret_scan, shard, tokenfile
+from . import lattice, media, mixing, neardup, pieces, pitman_yor, quality, secret_scan, shard, tokenfile
 from .runtime import table
 
 
@@ -32,6 +32,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def quality_model(documents: DataFrame, labels: DataFrame) -> quality.Model:
+    """Trained on ``labels.quality`` of the documents outside the held-out fold."""
+    known = labels.where(quality.fold(F.col("doc_id")) != 0).select("doc_id", F.col("quality").alias("label"))
+    return quality.fit(documents, known)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.scored(documents, quality_model(documents, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(quality.fold(F.col("doc_id")) == 0, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_tokens", "ids", "decoded")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(table(spark, sf_dir, "documents"))
 
@@ -44,6 +62,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_table(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(quality.fold(F.col("doc_id")) == 1, F.lit(False))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"), (~held_out).alias("train"))
+    return pitman_yor.scored(documents, pitman_yor.fit(documents))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,6 +88,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"), similarity=0.95)
+
+
 OP9_SQL = r"""
 with sized as (
   select doc_id, source, coalesce(text, '') as body, cast(doc_id as varchar) as id,
@@ -99,14 +127,16 @@ select doc_id, size, source_size, target,
 from rated
 """
 
-OP1_SQL = None
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_media_columns": op4_media_columns,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_files": op6_token_files,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_secret_scans": op8_secret_scans,
     "op9_mixing": op9_mixing,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 SQL: dict[str, str] = {"op9_mixing": OP9_SQL}
