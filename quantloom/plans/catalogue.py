@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import market, report
+
 FLAGSHIP = "breakout_summary"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**market.QUERIES, **report.QUERIES}
+SQL: dict[str, str] = {**market.SQL, **report.SQL}
