@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .components import components
-from .runtime import written
+from .runtime import tidy, written
 from .text import mixed
 
 #: A pair at cosine 0.95 meets in a table with probability 0.23, so 16 tables find 98.5 % of such pairs and more of closer ones.
@@ -124,7 +124,7 @@ def _links(batch: pa.Table, cuts: np.ndarray, least: float) -> pa.RecordBatch |
         homes, probes = cells(unit[used])
         owns = np.zeros(len(i), bool)
         for s in range(0, len(i), _PORTION):
-            a, b = place[s : s + _PORTION], place[len(i) + s : len(i) + s + _PORTION]
+            a, b = place[: len(i)][s : s + _PORTION], place[len(i) :][s : s + _PORTION]
             x, y = i[s : s + _PORTION], j[s : s + _PORTION]
             swap = ids[at][x] > ids[at][y]
             a, b = np.where(swap, b, a), np.where(swap, a, b)  # a: of the smaller id
@@ -179,7 +179,7 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.95, portion: int = 1
                         names=["cell", "home", "id", "copies", "vector"],
                     )
 
-    placed = classes.select("vector", "id", "copies").mapInArrow(hashed, f"cell long, home boolean, id long, copies long, vector {kind}")
+    placed = classes.select("vector", "id", "copies").mapInArrow(tidy(hashed), f"cell long, home boolean, id long, copies long, vector {kind}")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cuts in blocks.whole_groups(batches, "cell", portion):
@@ -188,7 +188,7 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.95, portion: int = 1
                 yield found
 
     sorted_ = blocks.dealt(placed, "cell", "id", BLOCK)
-    found = written(sorted_.mapInArrow(compare, "id long, links long, root long"), "vector-links")
+    found = written(sorted_.mapInArrow(tidy(compare), "id long, links long, root long"), "vector-links")
     degrees = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("root").alias("u"), F.col("id").alias("v")))
     known = classes.join(degrees, "id", "left").join(groups, F.col("id") == F.col("node"), "left")
