@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import storage
-from .runtime import fresh_path
+from .runtime import fresh_path, tidy
 
 #: Samples per image row, and the byte that fills the last row.
 ROW, FILL = 576, 255
@@ -103,7 +103,7 @@ def write_archives(payloads: DataFrame, folder: str) -> int:
             stream.close()
             yield pa.RecordBatch.from_pydict({"name": [name]})
 
-    done = [r.name for r in payloads.select("key", "bytes").mapInArrow(write, "name string").collect()]
+    done = [r.name for r in payloads.select("key", "bytes").mapInArrow(tidy(write), "name string").collect()]
     system, path = storage.opened(folder)
     for name in done:
         system.move(storage.join(path, name + ".part"), storage.join(path, name + ".zip"))
@@ -263,7 +263,7 @@ def described(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, kinds)], names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(describe, DIGEST)
+    return media.mapInArrow(tidy(describe), DIGEST)
 
 
 def media_table(documents: DataFrame, folder: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import blocks
 from . import text as words
 from .components import components
-from .runtime import discard, written
+from .runtime import discard, tidy, written
 
 #: Bands of rows of minima. A pair of similarity 0.8 shares no band with probability (1 - 0.8**6)**40 = 5e-6.
 BANDS, ROWS = 40, 6
@@ -102,7 +102,7 @@ def _sketches(documents: DataFrame, size: int) -> DataFrame:
             names = ["doc_id", "n_shingles", "k1", "k2", "s0", "s1", "s2", "s3", "bands"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in rows.T), listed], names=names)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, " + _SKETCH)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(sketch), "doc_id long, " + _SKETCH)
 
 
 def _most_differing(similarity: float) -> int:
@@ -139,7 +139,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, size: int, similarity: flo
                 keep.append(both > 0 and 100 * both >= needed * (len(one) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return sided.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct()
+    return sided.select("a", "b", "ta", "tb").mapInArrow(tidy(compare), "a long, b long").distinct()
 
 
 def _candidates(rows: pa.Table, a: int, b: int, bands: np.ndarray, similarity: float) -> np.ndarray:
@@ -204,7 +204,7 @@ def _crossing(shared: DataFrame, found: DataFrame, classes: DataFrame, documents
                 some[a:b] = pair.any(0) | pair.any(1)
             yield from rows.select(["bucket", "id"]).filter(pa.array(some)).combine_chunks().to_batches()
 
-    needed = blocks.dealt(placed, "bucket", "id", BLOCK).mapInArrow(flag, "bucket long, id long").distinct()
+    needed = blocks.dealt(placed, "bucket", "id", BLOCK).mapInArrow(tidy(flag), "bucket long, id long").distinct()
     needed = written(needed, "needed")
     texts = _texts_of(needed.select(F.col("id").alias("doc_id")), documents)
     full = placed.join(needed, ["bucket", "id"]).join(texts, F.col("id") == F.col("doc_id")).drop("doc_id")
@@ -227,7 +227,7 @@ def _crossing(shared: DataFrame, found: DataFrame, classes: DataFrame, documents
                 names, root = blocks.roots(ids, i, np.concatenate(other))
                 yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(names)], names=["u", "v"])
 
-    return blocks.dealt(full, "bucket", "id", BLOCK).mapInArrow(compare, "u long, v long").where("u <> v").distinct()
+    return blocks.dealt(full, "bucket", "id", BLOCK).mapInArrow(tidy(compare), "u long, v long").where("u <> v").distinct()
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

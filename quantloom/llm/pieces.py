@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
+from .runtime import tidy
 from .text import mixed
 
 #: Fixed values of the public model format: piece types, model types, the space mark.
@@ -37,7 +38,9 @@ MARK = "▁"
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Texts are worked on in runs of about this many bytes, and stretches in groups of this many characters.
-RUN_BYTES, GROUP_CHARS = 8 << 20, 1 << 19
+RUN_BYTES, GROUP_CHARS = 2 << 20, 1 << 17
+#: Stretches that a worker remembers.
+MOST_KNOWN = 1 << 17
 _CACHE_BITS = 20
 
 
@@ -100,6 +103,7 @@ class PieceModel:
         self.unknown = int(np.flatnonzero(self.kinds == UNKNOWN)[0])
         bytes_ = {int(self.pieces[k][3:5], 16): int(k) for k in np.flatnonzero(self.kinds == BYTE)}
         self.byte_ids = np.array([bytes_.get(b, self.unknown) for b in range(256)], np.int32)
+        self.known: dict[str, np.ndarray] = {}
         self.free = len(self.pieces)  # stands for a character that is no piece
         self._index()
 
@@ -241,6 +245,27 @@ class PieceModel:
 
     def _stretches(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all stretches in a row, their bounds)."""
+        pieces: list[np.ndarray | None] = [self.known.get(name) for name in names]
+        self._encode_new(names, pieces, [k for k, own in enumerate(pieces) if own is None])
+        count = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        flat = np.concatenate([*pieces, np.zeros(0, np.int32)])
+        return flat, _ends(count)
+
+    def _encode_new(self, all_names: list[str], pieces: list, new: list[int]) -> None:
+        """Fill in the ids of the stretches at the places ``new``."""
+        names = [all_names[k] for k in new]
+        pool, cuts = self._merge_stretches(names)
+        if len(self.known) + len(new) > MOST_KNOWN:
+            self.known = {}
+        for k, name, own in zip(new, names, np.split(pool, cuts[1:-1]) if names else [], strict=True):
+            pieces[k] = own
+            self.known[name] = own.copy()
+        if len(self.known) > MOST_KNOWN:
+            self.known = {}
+
+    def _merge_stretches(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not names:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
         size = np.fromiter(map(len, names), np.int64, len(names))
         points = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
         begin = _ends(size)
@@ -372,7 +397,7 @@ def encoded(documents: DataFrame, model: str, verify: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(done, len(texts)).columns, *extra], names=names)
                 done += len(texts)
 
-    return kept.mapInArrow(encode, shown.schema)
+    return kept.mapInArrow(tidy(encode), shown.schema)
 
 
 def decoded(rows: DataFrame, model: str, name: str = "text") -> DataFrame:
@@ -389,4 +414,4 @@ def decoded(rows: DataFrame, model: str, name: str = "text") -> DataFrame:
             texts = [None if null else t for t, null in zip(texts, ids.is_null().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
-    return kept.mapInArrow(decode, kept.withColumn(name, F.lit("")).schema)
+    return kept.mapInArrow(tidy(decode), kept.withColumn(name, F.lit("")).schema)

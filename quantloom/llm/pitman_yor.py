@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as words
-from .runtime import written
+from .runtime import tidy, written
 
 CLASS_BITS = 9
 CLASSES = 1 << CLASS_BITS
@@ -171,7 +171,7 @@ def _counts(documents: DataFrame) -> DataFrame:
         yield rows(1, used.astype(np.int64), pairs[used])
         yield rows(2, np.zeros(1, np.int64), np.array([size]))
 
-    return documents.select("train", "text").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return documents.select("train", "text").mapInArrow(tidy(count), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -244,7 +244,7 @@ def scored(documents: DataFrame, model: LanguageModel) -> DataFrame:
     blocks = max(1, -(-model.text_bytes // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("int")
     dealt = documents.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").repartition(blocks, "block")
-    asked = dealt.mapInArrow(_blocked, "block int, key long")
+    asked = dealt.mapInArrow(tidy(_blocked), "block int, key long")
     answers = asked.join(model.tokens, "key").select("block", "key", "c", "logp")
     n, v = model.train_tokens, model.distinct
     classes, unknown = model.classes, model.unknown

@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as words
+from .runtime import tidy
 
 #: Slots of the hashed table and length of its vectors.
 SLOT_BITS, WIDTH = 18, 8
 #: Labelled documents per class that are trained on, those with the smallest hashes of doc_id: the documented bound of the sample.
-PER_CLASS = 2000
+PER_CLASS = 1500
 EPOCHS, BATCH, STEP = 8, 32, 0.25
 
 
@@ -174,9 +175,10 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, see
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "slots", "counts"])
 
     kind = dict(sample.dtypes)["doc_id"]
-    found = sample.mapInArrow(featured, f"doc_id {kind}, label int, slots binary, counts binary").dropDuplicates(["doc_id"]).collect()
+    found = sample.mapInArrow(tidy(featured), f"doc_id {kind}, label int, slots binary, counts binary").dropDuplicates(["doc_id"]).collect()
     found.sort(key=lambda r: (r["label"], r["doc_id"]))
     samples = [(r["label"], np.frombuffer(r["slots"], np.int32), np.frombuffer(r["counts"], np.int32).astype(np.float32)) for r in found]
+    del found
     return train(samples, (counted.get(0, 0), counted.get(1, 0)), seed)
 
 
@@ -197,4 +199,4 @@ def scored(documents: DataFrame, model: Model, name: str = "score") -> DataFrame
             value = 1 / (1 + np.exp(-np.clip(own.logits(batch.column(at), table), -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=[*batch.schema.names, name])
 
-    return kept.mapInArrow(score, kept.withColumn(name, F.lit(0.0)).schema)
+    return kept.mapInArrow(tidy(score), kept.withColumn(name, F.lit(0.0)).schema)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import tidy
 from .text import _LOWER, runs
 
 try:  # the parser behind re, under its name since Python 3.11
@@ -280,7 +281,7 @@ def secret_spans(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
             spans = [[{"start": s, "end": e, "kind": k} for s, e, k in x] for x in scan(batch.column(at), rules, index)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "spans"])
 
-    return kept.mapInArrow(search, schema)
+    return kept.mapInArrow(tidy(search), schema)
 
 
 def redacted(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
@@ -306,4 +307,4 @@ def redacted(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return documents.mapInArrow(replace, documents.schema)
+    return documents.mapInArrow(tidy(replace), documents.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .runtime import fresh_path
+from .runtime import fresh_path, tidy
 
 #: Fixed values of the public seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -266,7 +266,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, end_id: int
             stream.close()
             yield pa.RecordBatch.from_pydict({"place": [place], "uri": [uri], "documents": [len(writer.index)], "ids": [writer.total]})
 
-    listed = dealt.mapInArrow(write, "place long, uri string, documents long, ids long").collect()
+    listed = dealt.mapInArrow(tidy(write), "place long, uri string, documents long, ids long").collect()
     return [Written(**r.asDict()) for r in sorted(listed, key=lambda r: r.place)]
 
 
@@ -288,7 +288,7 @@ def read_tokens(spark, files: list[Written]) -> DataFrame:
                 columns = [doc_ids, pa.array(file.starts[:-1] + base), pa.array(file.counts.astype(np.int64)), pa.array(sums)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return listed.mapInArrow(read, schema)
+    return listed.mapInArrow(tidy(read), schema)
 
 
 def token_table(documents: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
