@@ -1,0 +1,424 @@
+"""Order-dependent recursions, one sorted series per key, in grouped Python.
+
+Each function here is a plain recursion over lists; ``series`` runs it per key. Exact indicators
+work in fixed point (2**20) with floor division on Python integers; float ones are kept apart.
+A run is a stretch of values without a gap; every gap resets what is remembered.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+SCALE = 1 << 20
+
+
+def series(rows: DataFrame, key: str, order: Sequence[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``function`` over each key's rows in order."""
+    order = list(order)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return function(group.sort_values(order, kind="stable").reset_index(drop=True))
+
+    return rows.groupBy(key).applyInPandas(run, schema)
+
+
+def runs(valid: Sequence[bool], times: Sequence[int], step: int) -> list[tuple[int, int]]:
+    """(first, end) of maximal valid stretches whose times are one step apart."""
+    out, start = [], None
+    for k, ok in enumerate(valid):
+        if start is not None and (not ok or times[k] - times[k - 1] != step):
+            out.append((start, k))
+            start = None
+        if ok and start is None:
+            start = k
+    return out + ([(start, len(valid))] if start is not None else [])
+
+
+# -- exact indicators
+
+
+def ema(values: Sequence[int], n: int) -> list[int | None]:
+    """Seeded by the floor of the first n values' mean; e += floor((x - e) * 2 / (n + 1)); published from index 2(n+1)-1."""
+    out: list[int | None] = [None] * len(values)
+    if len(values) < n:
+        return out
+    e = sum(map(int, values[:n])) * SCALE // n
+    for k in range(n, len(values)):
+        e += (int(values[k]) * SCALE - e) * 2 // (n + 1)
+        if k >= 2 * (n + 1) - 1:
+            out[k] = e
+    return out
+
+
+def wilder(values: Sequence[int], n: int) -> list[int | None]:
+    """Seeded alike; a = floor((a * (n - 1) + x) / n); published from index 4n-1."""
+    out: list[int | None] = [None] * len(values)
+    if len(values) < n:
+        return out
+    a = sum(map(int, values[:n])) * SCALE // n
+    for k in range(n, len(values)):
+        a = (a * (n - 1) + int(values[k]) * SCALE) // n
+        if k >= 4 * n - 1:
+            out[k] = a
+    return out
+
+
+def rsi_pair(closes: Sequence[int], n: int) -> list[tuple[int, int] | None]:
+    """Wilder averages of gains and losses, never divided."""
+    step = [int(b) - int(a) for a, b in zip(closes[:-1], closes[1:], strict=True)]
+    gain, loss = wilder([max(s, 0) for s in step], n), wilder([max(-s, 0) for s in step], n)
+    return [None] + [None if g is None else (g, l) for g, l in zip(gain, loss, strict=True)]
+
+
+def macd(closes: Sequence[int], fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[list[int | None], list[int | None]]:
+    """(line, signal): the signal is an EMA of the line from its first published value on."""
+    a, b = ema(closes, fast), ema(closes, slow)
+    line = [None if x is None or y is None else x - y for x, y in zip(a, b, strict=True)]
+    first = next((k for k, x in enumerate(line) if x is not None), len(line))
+    tail = line[first:]
+    smooth: list[int | None] = [None] * len(line)
+    if len(tail) >= signal:
+        e = sum(tail[:signal]) // signal
+        for k in range(signal, len(tail)):
+            e += (tail[k] - e) * 2 // (signal + 1)
+            if k >= 2 * (signal + 1) - 1:
+                smooth[first + k] = e
+    return line, smooth
+
+
+def atr(high: Sequence[int], low: Sequence[int], close: Sequence[int], n: int = 14) -> list[int | None]:
+    tr = [max(int(h) - int(l), abs(int(h) - int(c)), abs(int(l) - int(c))) for h, l, c in zip(high[1:], low[1:], close[:-1], strict=True)]
+    return [None, *wilder(tr, n)] if len(high) else []
+
+
+# -- float indicators
+
+
+def rsi(values: Sequence[float], n: int = 14) -> list[float | None]:
+    """Two digits; 100 without losses, 0 without gains."""
+    out: list[float | None] = [None] * len(values)
+    if len(values) <= n:
+        return out
+    d = np.diff(np.asarray(values, float))
+    g, l = float(np.maximum(d[:n], 0).mean()), float(np.maximum(-d[:n], 0).mean())
+    for k in range(n, len(values)):
+        if k > n:
+            g, l = (g * (n - 1) + max(d[k - 1], 0)) / n, (l * (n - 1) + max(-d[k - 1], 0)) / n
+        out[k] = 100.0 if l == 0 else 0.0 if g == 0 else round(100 - 100 / (1 + g / l), 2)
+    return out
+
+
+def adx(high: Sequence[float], low: Sequence[float], close: Sequence[float], n: int = 14) -> list[float | None]:
+    """Wilder sums of true range and directional moves, then a Wilder mean of DX."""
+    out: list[float | None] = [None] * len(high)
+    tr_s = up_s = down_s = mean = 0.0
+    dx: list[float] = []
+    for k in range(1, len(high)):
+        up, down = high[k] - high[k - 1], low[k - 1] - low[k]
+        tr = max(high[k] - low[k], abs(high[k] - close[k - 1]), abs(low[k] - close[k - 1]))
+        up, down = (up if up > down and up > 0 else 0.0), (down if down > up and down > 0 else 0.0)
+        if k <= n:
+            tr_s, up_s, down_s = tr_s + tr, up_s + up, down_s + down
+        else:
+            tr_s, up_s, down_s = tr_s - tr_s / n + tr, up_s - up_s / n + up, down_s - down_s / n + down
+        if k >= n:
+            plus, minus = (100 * up_s / tr_s, 100 * down_s / tr_s) if tr_s else (0.0, 0.0)
+            dx.append(100 * abs(plus - minus) / (plus + minus) if plus + minus else 0.0)
+            if len(dx) == n:
+                mean = sum(dx) / n
+            elif len(dx) > n:
+                mean = (mean * (n - 1) + dx[-1]) / n
+            if len(dx) >= n:
+                out[k] = mean
+    return out
+
+
+# -- states with memory
+
+
+def channel_states(close: Sequence[float], lookback: int) -> list[int]:
+    """Above the prior highest +1, below the prior lowest -1; a long leaves below the middle, a short above it."""
+    out, state = [], 0
+    for k, c in enumerate(close):
+        if k >= lookback:
+            top, bottom = max(close[k - lookback : k]), min(close[k - lookback : k])
+            middle = (top + bottom) / 2
+            if c > top:
+                state = 1
+            elif c < bottom:
+                state = -1
+            elif (state == 1 and c < middle) or (state == -1 and c > middle):
+                state = 0
+        out.append(state)
+    return out
+
+
+def hysteresis(labels: Sequence[str | None], days: int) -> list[str | None]:
+    """A new label counts once it has held for ``days`` rows; a missing one resets."""
+    out, held, waiting, n = [], None, None, 0
+    for label in labels:
+        if label is None:
+            held, waiting, n = None, None, 0
+        elif held is None or label == held:
+            held, waiting, n = label, None, 0
+        else:
+            waiting, n = label, n + 1 if label == waiting else 1
+            if n >= days:
+                held, waiting, n = label, None, 0
+        out.append(held)
+    return out
+
+
+def crossings(z: Sequence[float | None], times: Sequence[int], theta: float, rearm: float, cooldown: int) -> list[int]:
+    """-1 or 1 where |z| rises to theta while armed and out of cooldown; armed again below ``rearm``. After a null the previous value is unknown; being armed survives it."""
+    out, armed, before, last = [], True, None, None
+    for x, t in zip(z, times, strict=True):
+        fire = 0
+        if x is None or math.isnan(x):
+            before = None
+        else:
+            if armed and before is not None and before < theta <= abs(x) and (last is None or t - last >= cooldown):
+                fire, armed, last = (1 if x > 0 else -1), False, t
+            if abs(x) < rearm:
+                armed = True
+            before = abs(x)
+        out.append(fire)
+    return out
+
+
+def band_path(target: Sequence[float], band: float, start: float = 0.0) -> list[float]:
+    """The held weight moves to the target only when they differ by more than ``band``."""
+    out, w = [], start
+    for t in target:
+        w = t if abs(t - w) > band else w
+        out.append(w)
+    return out
+
+
+def block_variance(prices: Sequence[int | None], half_life: int, least: int) -> list[int | None]:
+    """EWMA of squared block returns in fixed point (2**40, returns squared times 10**20), bias corrected; a block without a return republishes."""
+    lam = round(2 ** (-1 / half_life) * 2**40)
+    a = w = n = 0
+    before, out, last = None, [], None
+    for p in prices:
+        if p is not None and before:
+            a = (lam * a >> 40) + (int(p) - before) ** 2 * 10**20 // before**2
+            w = (lam * w >> 40) + 2**40
+            n += 1
+            last = (a << 40) // w if n >= least else None
+        if p is not None:
+            before = int(p)
+        out.append(last)
+    return out
+
+
+def horizon_sigma(variance: int | None, blocks: int) -> int | None:
+    return None if variance is None else math.isqrt(variance * blocks * 10**20)
+
+
+def ewma_std(returns: Sequence[float | None], half_life: float, least: int) -> list[float | None]:
+    """Normalised EWMA standard deviation since the last missing return."""
+    lam, s, w, n, out = 0.5 ** (1 / half_life), 0.0, 0.0, 0, []
+    for r in returns:
+        if r is None or math.isnan(r):
+            s, w, n = 0.0, 0.0, 0
+            out.append(None)
+        else:
+            s, w, n = lam * s + r * r, lam * w + 1, n + 1
+            out.append(math.sqrt(s / w) if n >= least else None)
+    return out
+
+
+def greedy_independent(intervals: Sequence[tuple[int, int]]) -> list[bool]:
+    """By (exit, entry): taken if it begins after the last taken one's exit."""
+    out, last = [False] * len(intervals), None
+    for k in sorted(range(len(intervals)), key=lambda k: (intervals[k][1], intervals[k][0], k)):
+        if last is None or intervals[k][0] > last:
+            out[k], last = True, intervals[k][1]
+    return out
+
+
+def baseline_alerts(prices: Sequence[int], times: Sequence[int], threshold: float, cooldown: int) -> list[int]:
+    """-1 or 1 where the price is ``threshold`` percent from the baseline, that direction out of cooldown; an alert moves the baseline."""
+    out, base, last = [], None, {}
+    for p, t in zip(prices, times, strict=True):
+        fire = 0
+        if base is None:
+            base = p
+        elif abs(p - base) * 100 >= base * threshold:
+            side = 1 if p > base else -1
+            if side not in last or t - last[side] >= cooldown:
+                fire, base, last[side] = side, p, t
+        out.append(fire)
+    return out
+
+
+def ewma_filter(values: Sequence[float], step_ms: int, half_life_ms: float) -> list[float]:
+    alpha, out, m = 1 - 2 ** (-step_ms / half_life_ms), [], None
+    for x in values:
+        m = x if m is None else m + alpha * (x - m)
+        out.append(m)
+    return out
+
+
+def cusum(values: Sequence[float], reference: float, slack: float) -> list[tuple[float, float]]:
+    p = n = 0.0
+    out = []
+    for x in values:
+        p, n = max(0.0, p + x - reference - slack), max(0.0, n - x + reference - slack)
+        out.append((p, n))
+    return out
+
+
+def kalman_trend(values: Sequence[float], level_noise: float, slope_noise: float, noise: float) -> list[tuple[float, float]]:
+    """Local linear trend: (level, slope) after each value."""
+    level, slope, p00, p01, p11 = (values[0] if len(values) else 0.0), 0.0, 1.0, 0.0, 1.0
+    out = []
+    for x in values:
+        level += slope
+        p00, p01, p11 = p00 + 2 * p01 + p11 + level_noise, p01 + p11, p11 + slope_noise
+        s = p00 + noise
+        k0, k1, e = p00 / s, p01 / s, x - level
+        level, slope = level + k0 * e, slope + k1 * e
+        p00, p01, p11 = p00 - k0 * p00, p01 - k0 * p01, p11 - k1 * p01
+        out.append((level, slope))
+    return out
+
+
+def bocpd(values: Sequence[float], hazard: float, longest: int = 200) -> list[int]:
+    """The likeliest run length after each value, normal-gamma model, run lengths up to ``longest``."""
+    prob, out = np.array([1.0]), []
+    mu, kappa, alpha, beta = (np.array([v]) for v in (0.0, 1.0, 1.0, 1.0))
+    for x in values:
+        scale = np.sqrt(beta * (kappa + 1) / (alpha * kappa))
+        lg = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in alpha])
+        density = np.exp(lg - (alpha + 0.5) * np.log1p(((x - mu) / scale) ** 2 / (2 * alpha))) / (np.sqrt(2 * alpha * math.pi) * scale)
+        grown, cut = prob * density * (1 - hazard), float((prob * density * hazard).sum())
+        prob = np.concatenate(([cut], grown))[: longest + 1]
+        prob /= prob.sum()
+        mu, kappa, alpha, beta = (
+            np.concatenate(([0.0], (kappa * mu + x) / (kappa + 1)))[: longest + 1], np.concatenate(([1.0], kappa + 1))[: longest + 1],
+            np.concatenate(([1.0], alpha + 0.5))[: longest + 1], np.concatenate(([1.0], beta + kappa * (x - mu) ** 2 / (2 * (kappa + 1))))[: longest + 1],
+        )
+        out.append(int(prob.argmax()))
+    return out
+
+
+def pelt(values: Sequence[float], penalty: float, least: int) -> list[int]:
+    """Ends of the optimal least-squares segments; ties go to the smaller path; pruning waits one minimum segment."""
+    x = np.asarray(values, float)
+    n = len(x)
+    s, q = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x)))
+    best, path = np.full(n + 1, np.inf), [()] * (n + 1)
+    best[0] = -penalty
+    active = [0]
+    for t in range(least, n + 1):
+        starts = [a for a in active if t - a >= least]
+        cost = {a: best[a] + q[t] - q[a] - (s[t] - s[a]) ** 2 / (t - a) for a in starts}
+        a = min(starts, key=lambda k: (cost[k] + penalty, path[k]))
+        best[t], path[t] = cost[a] + penalty, (*path[a], t)
+        active = [a for a in active if a not in cost or cost[a] <= best[t]] + ([t - least + 1] if t - least + 1 >= least else [])
+    return list(path[n]) if n >= least else []
+
+
+def value_area(bins: dict[int, int], share: float = 0.70) -> tuple[int, int, int]:
+    """(peak, lowest, highest) bin: from the peak, two bins at a time on the fuller side until ``share`` is held."""
+    peak = min(bins, key=lambda b: (-bins[b], b))
+    low = high = peak
+    held, total = bins[peak], sum(bins.values())
+    bottom, top = min(bins), max(bins)
+    while held < share * total and (low > bottom or high < top):
+        up, down = sum(bins.get(high + k, 0) for k in (1, 2)), sum(bins.get(low - k, 0) for k in (1, 2))
+        if high < top and (up >= down or low <= bottom):
+            held, high = held + up, high + 2
+        else:
+            held, low = held + down, low - 2
+    return peak, max(low, bottom), min(high, top)
+
+
+# -- episodes
+
+BROAD = {"BROAD_RISE": 1, "BROAD_DROP": -1}
+
+
+def episodes(states: Sequence[str], continues: Sequence[bool], start: int = 2, reverse: int = 2, end: int = 3) -> list[str]:
+    """The transition at each evaluation: START, REVERSE, CONTINUE, WEAK, END, INTERRUPT or NONE.
+
+    An episode starts after ``start`` equal broad states, reverses after ``reverse`` opposite ones and ends after ``end``
+    evaluations in a row that do not continue it; WARMING interrupts it and clears what is pending.
+    """
+    side, pending, count, failed, out = 0, 0, 0, 0, []
+    for state, goes_on in zip(states, continues, strict=True):
+        now = BROAD.get(state, 0)
+        if state == "WARMING":
+            out.append("INTERRUPT" if side else "NONE")
+            side = pending = count = failed = 0
+            continue
+        pending, count = (now, count + 1 if now == pending else 1) if now else (0, 0)
+        if not side:
+            if now and count >= start:
+                side, failed, count = now, 0, 0
+                out.append("START")
+            else:
+                out.append("NONE")
+        elif now == -side and count >= reverse:
+            side, failed, count = now, 0, 0
+            out.append("REVERSE")
+        elif now == side or goes_on:
+            failed = 0
+            out.append("CONTINUE")
+        else:
+            failed += 1
+            out.append("END" if failed >= end else "WEAK")
+            if failed >= end:
+                side = pending = count = failed = 0
+    return out
+
+
+# -- wallet
+
+PRIORITY = {"liquidation": 0, "close": 1, "funding": 2, "open": 3}
+
+
+def wallet(events: Sequence[dict], balance: int, risk_bp: int, most_positions: int) -> list[dict]:
+    """Ledger lines of an account: opens take a risk share of the balance, closes add net micro-R of it, funding is paid while open.
+
+    Events of one time are taken by priority: liquidation, close, funding, open.
+    """
+    held: dict[int, int] = {}
+    lines = []
+    for e in sorted(events, key=lambda e: (e["ms"], PRIORITY[e["type"]], e["id"])):
+        amount, status = 0, "done"
+        if e["type"] == "open":
+            if len(held) >= most_positions or balance <= 0:
+                status = "rejected"
+            else:
+                held[e["id"]] = balance * risk_bp // 10_000
+        elif e["id"] not in held:
+            status = "ignored"
+        else:
+            risk = held[e["id"]]
+            amount = -risk if e["type"] == "liquidation" else risk * e["value"] // 1_000_000
+            if e["type"] != "funding":
+                held.pop(e["id"])
+        balance += amount
+        lines.append({"ms": e["ms"], "type": e["type"], "id": e["id"], "status": status, "amount": amount, "balance": balance})
+    return lines
+
+
+def onset_matches(one: Sequence[int], other: Sequence[int], window: int) -> list[tuple[int, int]]:
+    """Greedy one-to-one pairs of onsets not more than ``window`` apart, in time order."""
+    pairs, j = [], 0
+    other = sorted(other)
+    for t in sorted(one):
+        while j < len(other) and other[j] < t - window:
+            j += 1
+        if j < len(other) and other[j] <= t + window:
+            pairs.append((t, other[j]))
+            j += 1
+    return pairs

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import market, report
+from . import market, report, sequence
 
 FLAGSHIP = "breakout_summary"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**market.QUERIES, **report.QUERIES}
-SQL: dict[str, str] = {**market.SQL, **report.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**market.QUERIES, **report.QUERIES, **sequence.QUERIES}
+SQL: dict[str, str] = {**market.SQL, **report.SQL, **sequence.SQL}
