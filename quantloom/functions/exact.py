@@ -25,10 +25,11 @@ def threshold_met(change: Column, threshold: float) -> Column:
 
 def parse_scaled(text: Column, digits: int = 8) -> Column:
     """Decimal text, exponent forms too, as an integer times 10**digits; null if it has more digits than that."""
-    wide = text.try_cast(f"decimal(38,{min(20, digits + 10)})")
+    kind = f"decimal(38,{min(20, digits + 10)})"
+    wide = text.try_cast(kind)
     scaled = wide.try_cast(f"decimal(38,{digits})")
     factor = F.lit("1" + "0" * digits).cast("decimal(20,0)")
-    return F.when(wide == scaled, (scaled.cast(f"decimal(28,{digits})") * factor).cast("decimal(38,0)"))
+    return F.when(wide == scaled.cast(kind), (scaled.cast(f"decimal(28,{digits})") * factor).cast("decimal(38,0)"))
 
 
 def render_scaled(value: Column, digits: int = 8) -> Column:
