@@ -194,7 +194,7 @@ def fit(documents: DataFrame, seed: int = 0) -> LanguageModel:
     for r in counted.where("kind = 1").collect():
         pairs[r["key"]] = r["n"]
 
-    def learn(key, group: pd.DataFrame) -> pd.DataFrame:
+    def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("key")
         probability, unknown = token_model(group["n"].to_numpy(), int(key[0]) * 1_000_003 + seed)
         known = pd.DataFrame({"class": int(key[0]), "key": group["key"].to_numpy(), "c": group["n"].to_numpy(), "logp": np.log10(probability)})

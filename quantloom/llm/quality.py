@@ -53,6 +53,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     solid = padded != 0x20
     for size, factor in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
         if len(padded) < size:
+            slots.append(np.zeros(0, np.int64))
             counts.append(np.zeros(n, np.int64))
             continue
         whole = solid[1 : len(padded) - size + 2].copy()
