@@ -110,9 +110,9 @@ def _middle(sorted_: Column) -> Column:
 
 def robust_z(frame: DataFrame, x: str, window: WindowSpec, least: int, scale: float = 1.4826, name: str = "z") -> DataFrame:
     """``name``: (x - median) / (scale * MAD) over the values in ``window``; null with fewer than ``least`` or no spread."""
-    rows = frame.withColumn("__held", F.array_sort(F.collect_list(x).over(window)))
+    rows = frame.withColumn("__held", F.sort_array(F.collect_list(x).over(window)))
     rows = rows.withColumn("__mid", _middle(F.col("__held")))
-    rows = rows.withColumn("__off", F.array_sort(F.transform("__held", lambda v: F.abs(v - F.col("__mid")))))
+    rows = rows.withColumn("__off", F.sort_array(F.zip_with("__held", F.array_repeat("__mid", F.size("__held")), lambda v, m: F.abs(v - m))))
     rows = rows.withColumn("__mad", _middle(F.col("__off")))
     z = F.when((F.size("__held") >= least) & (F.col("__mad") > 0), (F.col(x) - F.col("__mid")) / (scale * F.col("__mad")))
     return rows.withColumn(name, z).drop("__held", "__mid", "__off", "__mad")
@@ -179,5 +179,5 @@ def streak(frame: DataFrame, close: str) -> DataFrame:
 def slot_median(x: str, slot: str, n: int) -> Column:
     """The median of the last ``n`` values before in the same slot of the day."""
     frame = Window.partitionBy("symbol", slot).orderBy("open_ms").rowsBetween(-n, -1)
-    held = F.array_sort(F.collect_list(x).over(frame))
+    held = F.sort_array(F.collect_list(x).over(frame))
     return F.when(F.size(held) == n, _middle(held))
