@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import further, market, report, sequence
+from . import further, market, report, sequence, studies
 
 FLAGSHIP = "breakout_summary"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**market.QUERIES, **report.QUERIES, **sequence.QUERIES, **further.QUERIES}
-SQL: dict[str, str] = {**market.SQL, **report.SQL, **sequence.SQL, **further.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**market.QUERIES, **report.QUERIES, **sequence.QUERIES, **further.QUERIES, **studies.QUERIES}
+SQL: dict[str, str] = {**market.SQL, **report.SQL, **sequence.SQL, **further.SQL, **studies.SQL}
