@@ -127,6 +127,21 @@ select doc_id, size, source_size, target,
 from rated
 """
 
+OP10_SQL = """
+with recursive able as (
+  select vec_id, embedding from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from able a join able b on a.vec_id <> b.vec_id and len(a.embedding) = len(b.embedding)
+  where list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.95),
+reached as (select vec_id as node, vec_id as other from able union select r.node, l.b from reached r join links l on l.a = r.other),
+groups as (select node, min(other) as component from reached group by 1),
+degrees as (select a, count(*) as n from links group by 1)
+select e.vec_id, coalesce(d.n, 0) as n_links, coalesce(g.component, e.vec_id) as component_id, coalesce(e.vec_id = coalesce(g.component, e.vec_id), true) as kept
+from embeddings e left join groups g on g.node = e.vec_id left join degrees d on d.a = e.vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
@@ -139,4 +154,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
-SQL: dict[str, str] = {"op9_mixing": OP9_SQL}
+SQL: dict[str, str] = {"op9_mixing": OP9_SQL, "op10_embedding_near_dedup": OP10_SQL}
