@@ -38,9 +38,9 @@ MARK = "▁"
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Texts are worked on in runs of about this many bytes, and stretches in groups of this many characters.
-RUN_BYTES, GROUP_CHARS = 2 << 20, 1 << 17
+RUN_BYTES, GROUP_CHARS = 3 << 20, 1 << 17
 #: Stretches that a worker remembers.
-MOST_KNOWN = 1 << 17
+MOST_KNOWN = 3 << 16
 _CACHE_BITS = 20
 
 
@@ -80,6 +80,34 @@ def _gathered(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np
     return pool[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
+class Keys:
+    """Sorted hashes with the ids that they stand for, found by their leading bits first."""
+
+    BITS = 17
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray):
+        order = np.argsort(hashes)
+        self.keys = np.append(hashes[order], _U(0))
+        self.ids = np.append(ids[order], -1).astype(np.int64)
+        edges = np.arange(1 << self.BITS, dtype=np.uint64) << _U(64 - self.BITS)
+        self.first = np.append(np.searchsorted(self.keys[:-1], edges), len(hashes)).astype(np.int32)
+        self.most = int(np.diff(self.first).max()) if len(hashes) else 0
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """The id of each hash, or -1."""
+        lead = (hashes >> _U(64 - self.BITS)).astype(np.int32)
+        at, end = self.first[lead], self.first[lead + 1]
+        out = np.where((at < end) & (self.keys[at] == hashes), self.ids[at], -1)
+        rest = np.flatnonzero(end - at > 1)
+        for step in range(1, self.most):
+            rest = rest[end[rest] - at[rest] > step]
+            if not len(rest):
+                break
+            hit = self.keys[at[rest] + step] == hashes[rest]
+            out[rest[hit]] = self.ids[at[rest[hit]] + step]
+        return out
+
+
 class PieceModel:
     """A model file with an identity normaliser, a leading space mark and byte fallback."""
 
@@ -118,8 +146,7 @@ class PieceModel:
         self.hashes = mixed(np.arange(self.free + 1, dtype=np.uint64) ^ _U(0xABCDEF0123456789))
         for k in usable:
             self.hashes[k] = self._hash(self.pieces[k])
-        order = usable[np.argsort(self.hashes[usable])]
-        self.keys, self.ids = self.hashes[order], order.astype(np.int64)
+        self.probe = Keys(self.hashes[usable], usable)
         if self.kind != BPE:
             self.weight = np.append(self.scores, self.scores[usable].min() - 10.0)
             return
@@ -136,9 +163,8 @@ class PieceModel:
             if len(parts) == 2 and all(p in self.by_text for p in parts):
                 self.left[k], self.right[k] = (self.by_text[p] for p in parts)
                 reached[k] = True
-        keep = reached[self.ids]
-        self.all_keys, self.all_ids = self.keys, self.ids
-        self.keys, self.ids = self.keys[keep], self.ids[keep]
+        self.probe_any, usable = self.probe, usable[reached[usable]]
+        self.probe = Keys(self.hashes[usable], usable)
         self.pair_key = np.full(1 << _CACHE_BITS, -1, np.int64)
         self.pair_fits = np.zeros(1 << _CACHE_BITS, bool)
 
@@ -148,11 +174,6 @@ class PieceModel:
             total = (total * _BASE + int(_CHAR(ord(char)))) % 2**64
         return _U(total)
 
-    def _probe(self, hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The piece with each hash, or -1."""
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        return np.where(keys[at] == hashes, ids[at], -1)
-
     def merged(self, text: str, stop: bool = False) -> list[str]:
         """What merging makes of a stretch, one merge at a time; with ``stop``, before it would be a single piece."""
         parts = list(text)
@@ -190,7 +211,7 @@ class PieceModel:
         while len(active):
             with np.errstate(over="ignore"):
                 together = self.hashes[x] * self.powers[self.lengths[y]] + self.hashes[y]
-            piece = self._probe(together, self.all_keys, self.all_ids)
+            piece = self.probe_any(together)
             crosses = (piece >= 0) & (self.rank[piece] < limit)  # a merge across comes while x and y are still apart
             out[active[crosses]] = False
             go = ~crosses & ((self.rank[x] >= 0) | (self.rank[y] >= 0))
@@ -215,7 +236,7 @@ class PieceModel:
             for i in range(1, length + 1):
                 top = np.full(n, -np.inf)
                 for size in range(min(i, self.longest), 0, -1):
-                    piece = self._probe(prefix[:, i] - prefix[:, i - size] * self.powers[size], self.keys, self.ids)
+                    piece = self.probe(prefix[:, i] - prefix[:, i - size] * self.powers[size])
                     if size == 1:
                         piece = np.where(piece < 0, self.free, piece)
                     at = np.flatnonzero(piece >= 0)
@@ -257,9 +278,9 @@ class PieceModel:
         pool, cuts = self._merge_stretches(names)
         if len(self.known) + len(new) > MOST_KNOWN:
             self.known = {}
-        for k, name, own in zip(new, names, np.split(pool, cuts[1:-1]) if names else [], strict=True):
-            pieces[k] = own
-            self.known[name] = own.copy()
+        cuts = cuts.tolist()
+        for k, name, a, b in zip(new, names, cuts[:-1], cuts[1:], strict=True):
+            pieces[k] = self.known[name] = pool[a:b].copy()
         if len(self.known) > MOST_KNOWN:
             self.known = {}
 
@@ -269,23 +290,27 @@ class PieceModel:
         size = np.fromiter(map(len, names), np.int64, len(names))
         points = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
         begin = _ends(size)
-        pieces: list[np.ndarray] = [np.zeros(0, np.int64)] * len(names)
-        for length in np.unique(size):
-            same = np.flatnonzero(size == length)
-            if length == 0:
-                continue
+        # marks in a row have pieces of equal score, which only merging itself tells apart
+        apart = np.zeros(len(names), bool)
+        if self.kind == BPE:
+            apart[:] = [name.startswith(MARK * 2) for name in names]
+        groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for length in np.unique(size[~apart]):
+            same = np.flatnonzero((size == length) & ~apart)
             step = max(1, GROUP_CHARS // int(length))
             for s in range(0, len(same), step):
                 some = same[s : s + step]
-                found, count = self._viterbi(points[begin[some][:, None] + np.arange(length)])
-                for k, own in zip(some, np.split(found, _ends(count)[1:-1]), strict=True):
-                    pieces[k] = own
-        if self.kind == BPE:  # marks in a row have pieces of equal score, which only merging itself tells apart
-            for k, name in enumerate(names):
-                if name.startswith(MARK * 2):
-                    pieces[k] = np.array([self.by_text.get(p, self.free) for p in self.merged(name)], np.int64)
-        count = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.concatenate([*pieces, np.zeros(0, np.int64)])
+                groups.append((some, *self._viterbi(points[begin[some][:, None] + np.arange(length)])))
+        for k in np.flatnonzero(apart):
+            own = np.array([self.by_text.get(p, self.free) for p in self.merged(names[k])], np.int64)
+            groups.append((np.array([k]), own, np.array([len(own)])))
+        count = np.zeros(len(names), np.int64)
+        for some, _, number in groups:
+            count[some] = number
+        ends = _ends(count)
+        flat = np.empty(ends[-1], np.int64)
+        for some, found, number in groups:
+            flat[np.repeat(ends[some] - _ends(number)[:-1], number) + np.arange(len(found))] = found
         free = np.flatnonzero(flat == self.free)
         if not len(free):
             return flat.astype(np.int32), _ends(count)
