@@ -181,3 +181,34 @@ def slot_median(x: str, slot: str, n: int) -> Column:
     frame = Window.partitionBy("symbol", slot).orderBy("open_ms").rowsBetween(-n, -1)
     held = F.sort_array(F.collect_list(x).over(frame))
     return F.when(F.size(held) == n, _middle(held))
+
+
+def forward_returns(frame: DataFrame, steps: int, minutes: int, bad: str) -> DataFrame:
+    """``fwd``: close ``steps`` bars later over this close, null where a bar in between is missing or bad."""
+    w = by_symbol()
+    upto = F.sum(F.col(bad).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = frame.withColumn("__bad", upto)
+    exact = F.lead("open_ms", steps).over(w) - F.col("open_ms") == steps * minutes * calendar.MINUTE
+    clean = F.lead("__bad", steps).over(w) == F.col("__bad")
+    return rows.withColumn("fwd", F.when(exact & clean, F.lead("close", steps).over(w) / F.col("close") - 1)).drop("__bad")
+
+
+def relative_volume(notional: Column, n: int = 20) -> Column:
+    """Current notional over the median of the ``n`` before."""
+    held = F.sort_array(F.collect_list(notional).over(last_rows(n, -1)))
+    middle = _middle(held)
+    return F.when((F.size(held) == n) & (middle > 0), notional / middle)
+
+
+def standardized(frame: DataFrame, day: str, columns: list[str]) -> DataFrame:
+    """Each column less its day-balanced mean over its day-balanced deviation: every day weighs the same, its rows equally."""
+    weight = 1 / F.count(F.lit(1)).over(Window.partitionBy(day))
+    rows = frame.withColumn("__w", weight)
+    sums = [F.sum(F.col("__w") * F.col(c)).alias(f"__s_{c}") for c in columns] + [F.sum(F.col("__w") * F.col(c) * F.col(c)).alias(f"__q_{c}") for c in columns]
+    total = rows.agg(F.sum("__w").alias("__n"), *sums)
+    out = rows.crossJoin(F.broadcast(total))  # one row of sums
+    for c in columns:
+        mean = F.col(f"__s_{c}") / F.col("__n")
+        deviation = F.sqrt(F.col(f"__q_{c}") / F.col("__n") - mean * mean)
+        out = out.withColumn(f"{c}_z", F.when(deviation > 0, (F.col(c) - mean) / deviation))
+    return out.drop("__w", "__n", *[f"__{k}_{c}" for k in "sq" for c in columns])

@@ -422,3 +422,54 @@ def onset_matches(one: Sequence[int], other: Sequence[int], window: int) -> list
             pairs.append((t, other[j]))
             j += 1
     return pairs
+
+
+def expanding_median(values: Sequence[float | None], completed: Sequence[int], times: Sequence[int], warm_up: int) -> list[float | None]:
+    """At each time the median of the values completed by then; null until ``warm_up`` after the first one counted."""
+    import heapq
+
+    low: list[float] = []
+    high: list[float] = []
+    waiting = sorted((c, v) for c, v in zip(completed, values, strict=True) if v is not None and not math.isnan(v))
+    out, k = [], 0
+    for t in times:
+        while k < len(waiting) and waiting[k][0] <= t:
+            v = waiting[k][1]
+            heapq.heappush(low, -heapq.heappushpop(high, v))
+            if len(low) > len(high):
+                heapq.heappush(high, -heapq.heappop(low))
+            k += 1
+        if not k or t - waiting[0][0] < warm_up:
+            out.append(None)
+        else:
+            out.append(high[0] if len(high) > len(low) else (high[0] - low[0]) / 2)
+    return out
+
+
+def limit_fill(side: int, limit: int, remaining: int, bars_: Sequence[tuple[int, int, int, int]]) -> list[tuple[int, int, str]]:
+    """(bar, quantity, status) of a resting order over (high, low, close, through quantity): price must go strictly through the limit.
+
+    With a through quantity the fill is the lesser of it and what remains; of bars alone (through 0) it fills only if the
+    close is strictly beyond too, else one line says that it is ambiguous.
+    """
+    out = []
+    for k, (high, low, close, through) in enumerate(bars_):
+        if remaining <= 0:
+            break
+        if (low < limit) if side > 0 else (high > limit):
+            if through:
+                fill = min(remaining, through)
+                out.append((k, fill, "FILLED" if fill == remaining else "PARTIAL"))
+                remaining -= fill
+            elif (close < limit) if side > 0 else (close > limit):
+                out.append((k, remaining, "FILLED"))
+                remaining = 0
+            else:
+                out.append((k, 0, "AMBIGUOUS"))
+    return out
+
+
+def trend_day(weights: dict[str, float], before: dict[str, float], returns: dict[str, float], funding: dict[str, float], cost_bp: float) -> int:
+    """The day's equal-weight result over symbols with a return, in parts per million."""
+    done = [weights.get(s, 0.0) * r - cost_bp / 10_000 * abs(weights.get(s, 0.0) - before.get(s, 0.0)) - weights.get(s, 0.0) * funding.get(s, 0.0) for s, r in returns.items()]
+    return round(sum(done) / len(done) * 1_000_000) if done else 0
