@@ -115,6 +115,8 @@ def bootstrap_interval(means: Sequence[float], alpha: float = 0.05) -> tuple[flo
 def _maxima(f: np.ndarray, replicates: int, seed: int, stream: str) -> tuple[np.ndarray, np.ndarray]:
     """(studentised statistics, recentred replicate statistics) of the columns of ``f``."""
     n = len(f)
+    if n < 16 or not f.shape[1]:
+        raise ValueError("at least 16 days and one column are needed")
     mean, sums = f.mean(0), np.empty((replicates, f.shape[1]))
     for r in range(replicates):
         sums[r] = f[stationary_indices(n, mean_block(n), seed, f"{stream}{r}")].sum(0)

@@ -155,3 +155,70 @@ def episode_engine(start: int = 2, reverse: int = 2, end: int = 3) -> Engine:
 def interrupted(state: dict) -> dict:
     """The state after a restart: no episode and nothing pending."""
     return {**state, "side": 0, "pending": 0, "count": 0, "failed": 0}
+
+
+SIGMA_SCHEMA = "symbol string, ms long, variance string"
+
+
+def variance_engine(half_life: int, least: int) -> Engine:
+    """The exact EWMA block variance, carried from batch to batch; the same numbers as ``sequential.block_variance``. Written as text, as it may pass 64 bits."""
+    lam = round(2 ** (-1 / half_life) * 2**40)
+
+    def engine(state: dict, rows: list[dict]) -> tuple[dict, list[dict]]:
+        a, w, n, before, last = (state.get(k) for k in ("a", "w", "n", "before", "last"))
+        a, w, n = a or 0, w or 0, n or 0
+        out = []
+        for r in rows:
+            price = r["price"]
+            if price is not None and before:
+                a = (lam * a >> 40) + (price - before) ** 2 * 10**20 // before**2
+                w = (lam * w >> 40) + 2**40
+                n += 1
+                last = (a << 40) // w if n >= least else None
+            before = price if price is not None else before
+            out.append(dict(ms=r["ms"], variance=None if last is None else str(last)))
+        return {"a": a, "w": w, "n": n, "before": before, "last": last}, out
+
+    return engine
+
+
+WALLET_SCHEMA = "account long, ms long, type string, id long, status string, amount long, balance long"
+
+
+def wallet_engine(balance: int, risk_bp: int, most_positions: int) -> Engine:
+    """The wallet's ledger, carried from batch to batch: balance and open positions are the state.
+
+    Events of one time are taken by priority, so a batch must hold all events of its times.
+    """
+    from ..operators.sequential import PRIORITY
+
+    def engine(state: dict, rows: list[dict]) -> tuple[dict, list[dict]]:
+        now, held, out = state.get("balance", balance), dict(state.get("held", {})), []
+        for e in sorted(rows, key=lambda e: (e["ms"], PRIORITY[e["type"]], e["id"])):
+            amount, status, name = 0, "done", str(e["id"])
+            if e["type"] == "open":
+                if len(held) >= most_positions or now <= 0:
+                    status = "rejected"
+                else:
+                    held[name] = now * risk_bp // 10_000
+            elif name not in held:
+                status = "ignored"
+            else:
+                amount = -held[name] if e["type"] == "liquidation" else held[name] * e["value"] // 1_000_000
+                if e["type"] != "funding":
+                    held.pop(name)
+            now += amount
+            out.append(dict(ms=e["ms"], type=e["type"], id=e["id"], status=status, amount=amount, balance=now))
+        return {"balance": now, "held": held}, out
+
+    return engine
+
+
+def differing(ledger: DataFrame, start: int) -> DataFrame:
+    """Per account the lines whose balance is not the start plus all amounts up to them; a sound ledger has none. ``ledger`` has a ``seq`` order."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    w = Window.partitionBy("account").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ledger.withColumn("__sum", F.lit(start) + F.sum("amount").over(w))
+    return rows.where("__sum <> balance").drop("__sum")

@@ -178,3 +178,27 @@ def test_append_only_ledger(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
     path = str(tmp_path / "l")
     assert [archives.append_new(spark, rows, path, ["id"]) for _ in range(2)] == [2, 0]
+
+
+def test_variance_state_equals_the_recursion():
+    from quantloom.operators.sequential import block_variance
+
+    rnd = random.Random(9)
+    prices = [rnd.choice([None, rnd.randint(50, 150)]) for _ in range(80)]
+    rows = [dict(ms=k, price=p) for k, p in enumerate(prices)]
+    engine = s.variance_engine(5, 3)
+    state, one = engine({}, rows[:33])
+    _, other = engine(json.loads(json.dumps(state)), rows[33:])
+    want = [None if v is None else str(v) for v in block_variance(prices, 5, 3)]
+    assert [r["variance"] for r in one + other] == want
+
+
+def test_wallet_state_equals_the_whole_ledger():
+    from quantloom.operators.sequential import wallet
+
+    rnd = random.Random(3)
+    events = [dict(ms=t, type=kind, id=k, value=rnd.randint(-900_000, 900_000)) for k in range(40) for t, kind in ((2 * k, "open"), (2 * k + rnd.randint(1, 9), rnd.choice(["close", "liquidation", "funding"])))]
+    engine = s.wallet_engine(10**9, 200, 3)
+    state, one = engine({}, [e for e in events if e["ms"] < 40])
+    _, other = engine(json.loads(json.dumps(state)), [e for e in events if e["ms"] >= 40])
+    assert one + other == wallet(events, 10**9, 200, 3)
