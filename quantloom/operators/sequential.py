@@ -8,7 +8,7 @@ A run is a stretch of values without a gap; every gap resets what is remembered.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,13 +18,33 @@ SCALE = 1 << 20
 
 
 def series(rows: DataFrame, key: str, order: Sequence[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``function`` over each key's rows in order."""
-    order = list(order)
+    """``function`` over each key's rows in order.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return function(group.sort_values(order, kind="stable").reset_index(drop=True))
-
-    return rows.groupBy(key).applyInPandas(run, schema)
+    Rows are dealt by key and sorted by Spark; a task walks through its keys in Arrow batches, so that very many
+    short series cost no more than their rows. One key's series is held at a time.
+    """
+    names = [part.strip().split()[0] for part in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def ready(frame: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
+            done = [function(frame.iloc[x:y].reset_index(drop=True))[names] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            if done := [d for d in done if len(d)]:
+                yield pd.concat(done)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            frame = pd.concat([*held, batch], ignore_index=True)
+            code = pd.factorize(frame[key], use_na_sentinel=False)[0]
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(code)) + 1))
+            yield from ready(frame, cuts)
+            held = [frame.iloc[cuts[-1] :]]
+        if held:
+            yield from ready(held[0], np.array([0, len(held[0])]))
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def runs(valid: Sequence[bool], times: Sequence[int], step: int) -> list[tuple[int, int]]:
