@@ -38,10 +38,11 @@ MARK = "▁"
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Texts are worked on in runs of about this many bytes, and stretches in groups of this many characters.
-RUN_BYTES, GROUP_CHARS = 3 << 20, 1 << 17
+RUN_BYTES, GROUP_CHARS = 6 << 20, 1 << 18
 #: Stretches that a worker remembers.
-MOST_KNOWN = 3 << 16
+MOST_KNOWN = 1 << 18
 _CACHE_BITS = 20
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -131,7 +132,7 @@ class PieceModel:
         self.unknown = int(np.flatnonzero(self.kinds == UNKNOWN)[0])
         bytes_ = {int(self.pieces[k][3:5], 16): int(k) for k in np.flatnonzero(self.kinds == BYTE)}
         self.byte_ids = np.array([bytes_.get(b, self.unknown) for b in range(256)], np.int32)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, dict[str, bytes]] = {MARK: {}, "": {}}
         self.free = len(self.pieces)  # stands for a character that is no piece
         self._index()
 
@@ -264,25 +265,18 @@ class PieceModel:
             count[going] += 1
         return out[out >= 0], count
 
-    def _stretches(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all stretches in a row, their bounds)."""
-        pieces: list[np.ndarray | None] = [self.known.get(name) for name in names]
-        self._encode_new(names, pieces, [k for k, own in enumerate(pieces) if own is None])
-        count = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.concatenate([*pieces, np.zeros(0, np.int32)])
-        return flat, _ends(count)
-
-    def _encode_new(self, all_names: list[str], pieces: list, new: list[int]) -> None:
-        """Fill in the ids of the stretches at the places ``new``."""
-        names = [all_names[k] for k in new]
-        pool, cuts = self._merge_stretches(names)
-        if len(self.known) + len(new) > MOST_KNOWN:
-            self.known = {}
-        cuts = cuts.tolist()
-        for k, name, a, b in zip(new, names, cuts[:-1], cuts[1:], strict=True):
-            pieces[k] = self.known[name] = pool[a:b].copy()
-        if len(self.known) > MOST_KNOWN:
-            self.known = {}
+    def _stretches(self, names: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the stretches in a row, their bounds); ``mark`` goes before each."""
+        known = self.known[mark]
+        new = [name for name in names if name not in known]
+        if len(known) + len(new) > MOST_KNOWN:
+            known = self.known[mark] = {}
+            new = names
+        pool, cuts = self._merge_stretches([mark + name for name in new])
+        data, cuts = pool.tobytes(), (cuts * 4).tolist()
+        known.update(zip(new, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        pieces = [known[name] for name in names]
+        return np.frombuffer(b"".join(pieces), np.int32), _ends(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)
 
     def _merge_stretches(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not names:
@@ -294,6 +288,7 @@ class PieceModel:
         apart = np.zeros(len(names), bool)
         if self.kind == BPE:
             apart[:] = [name.startswith(MARK * 2) for name in names]
+        apart |= size == 0
         groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for length in np.unique(size[~apart]):
             same = np.flatnonzero((size == length) & ~apart)
@@ -302,7 +297,7 @@ class PieceModel:
                 some = same[s : s + step]
                 groups.append((some, *self._viterbi(points[begin[some][:, None] + np.arange(length)])))
         for k in np.flatnonzero(apart):
-            own = np.array([self.by_text.get(p, self.free) for p in self.merged(names[k])], np.int64)
+            own = np.array([self.by_text.get(p, self.free) for p in self.merged(names[k])] if names[k] else [], np.int64)
             groups.append((np.array([k]), own, np.array([len(own)])))
         count = np.zeros(len(names), np.int64)
         for some, _, number in groups:
@@ -323,6 +318,26 @@ class PieceModel:
         wide[free] = [len(spelt[int(k)]) for k in free]
         return np.concatenate(split).astype(np.int32), _ends(np.bincount(owner, wide, len(names)).astype(np.int64))
 
+    @cached_property
+    def _cut(self) -> str:
+        """A pattern that cuts a word after its leading letters, before punctuation that no piece holds after a letter."""
+        after = {b for piece in self.pieces for a, b in zip(piece, piece[1:], strict=False) if re.match(f"[{LETTERS}]", a)}
+        free = "".join(re.escape(c) for c in "!\"#$%&()*+,./:;<=>?@[]^_{|}~" if c not in after)
+        return f"(?s)^(?P<word>[{LETTERS}]+)(?P<rest>[{free}].*)$" if free else "^(?P<word>x)(?P<rest>y)z"
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, their bounds); each has the mark before it. No piece reaches across a cut, so the parts' ids in a row are the word's."""
+        cut = pc.extract_regex(words, self._cut)
+        heads = pc.if_else(cut.is_valid(), pc.struct_field(cut, "word").cast(words.type), words).dictionary_encode()
+        rests = pc.fill_null(pc.struct_field(cut, "rest"), "").dictionary_encode()
+        one, one_cuts = self._stretches(heads.dictionary.to_pylist(), MARK)
+        other, other_cuts = self._stretches(rests.dictionary.to_pylist(), "")
+        begin = np.concatenate((one_cuts[:-1], other_cuts[:-1] + len(one)))
+        size = np.concatenate((np.diff(one_cuts), np.diff(other_cuts)))
+        place = np.column_stack((heads.indices.to_numpy(), rests.indices.to_numpy() + len(one_cuts) - 1)).ravel()
+        ids, ends = _gathered(np.concatenate((one, other)), begin[place], size[place])
+        return ids, ends[::2]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, bounds of each text's ids); a null or empty text has none."""
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -342,8 +357,7 @@ class PieceModel:
             flat = pa.concat_arrays([*lists, flat.slice(at)])
             bounds = _ends(size)
         coded = flat.dictionary_encode()
-        names = [MARK + s for s in coded.dictionary.to_pylist()]
-        pool, cuts = self._stretches(names)
+        pool, cuts = self._words(coded.dictionary)
         place = coded.indices.to_numpy()
         empty = np.flatnonzero(pc.binary_length(texts).to_numpy() == 0)
         counts = np.diff(cuts)[place]
