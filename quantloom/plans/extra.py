@@ -82,11 +82,10 @@ def liquidity_weighted(spark, sf_dir):
     return g.groupBy("day").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum(F.col("w") * (F.col("c") / F.col("o") - 1)) / F.sum("w"), "weighted"))
 
 
-@query("funding_rate_mean", f"with {TRADES}, f as (select symbol, id, ms, price from trades where id % 13 = 0) select symbol, id, round(avg(price) over w, 6) as mean, count(*) over w as n from f window w as (partition by symbol order by ms range between {10 * DAY} preceding and current row)")
+@query("funding_rate_mean", f"with {TRADES}, f as (select symbol, id, ms, price from trades) select symbol, id, round(avg(price) over w, 6) as mean, count(*) over w as n from f window w as (partition by symbol order by ms range between {10 * DAY} preceding and current row)")
 def funding_rate_mean(spark, sf_dir):
     w = Window.partitionBy("symbol").orderBy("ms").rangeBetween(-10 * DAY, 0)
-    rows = trades(spark, sf_dir).where("id % 13 = 0")
-    return rows.select("symbol", "id", F.round(F.avg("price").over(w), 6).alias("mean"), F.count(F.lit(1)).over(w).alias("n"))
+    return trades(spark, sf_dir).select("symbol", "id", F.round(F.avg("price").over(w), 6).alias("mean"), F.count(F.lit(1)).over(w).alias("n"))
 
 
 @query("session_table", f"with {TRADES}, s as (select case when (ms % {DAY}) // {HOUR} < 8 then 'asia' when (ms % {DAY}) // {HOUR} < 13 then 'europe' when (ms % {DAY}) // {HOUR} < 17 then 'overlap' when (ms % {DAY}) // {HOUR} < 22 then 'us' else 'late' end as session, symbol, price, qty from trades) select session, symbol, count(*) as n, cast(sum(qty) as bigint) as volume, round(avg(price), 4) as mean_price from s group by 1, 2")

@@ -39,11 +39,12 @@ def segments(spark, sf_dir):
     return trades(spark, sf_dir).select("id", validation.segment(ms, SEGMENTS).alias("segment"), validation.eligible(ms, ms + DAY, SEGMENTS).alias("eligible"))
 
 
-@query("news_blackout", f"with {TRADES}, e as (select symbol, ms as ts, case when id % 2 = 0 then ms - {DAY} else ms + 1 end as seen from trades where id % 97 = 0) select t.symbol, t.id, exists (select 1 from e where e.symbol = t.symbol and t.ms >= e.ts - 1800000 and t.ms <= e.ts + 3600000 and e.seen <= t.ms) as blackout from trades t")
+@query("news_blackout", f"with {TRADES}, e as (select symbol, min(ms) as ts, case when min(id) % 2 = 0 then min(ms) - {DAY} else min(ms) + 1 end as seen from trades group by symbol, ms // {DAY}) select t.symbol, t.id, exists (select 1 from e where e.symbol = t.symbol and t.ms >= e.ts - 1800000 and t.ms <= e.ts + 3600000 and e.seen <= t.ms) as blackout from trades t")
 def news_blackout(spark, sf_dir):
     t = trades(spark, sf_dir)
-    seen = F.when(F.col("id") % 2 == 0, F.col("ms") - DAY).otherwise(F.col("ms") + 1)
-    events = t.where("id % 97 = 0").select("symbol", F.col("ms").alias("ts_ms"), seen.alias("first_seen_ms"))
+    first = t.groupBy("symbol", F.floor(F.col("ms") / DAY).alias("d")).agg(F.min("ms").alias("ts_ms"), F.min("id").alias("id"))
+    seen = F.when(F.col("id") % 2 == 0, F.col("ts_ms") - DAY).otherwise(F.col("ts_ms") + 1)
+    events = first.select("symbol", "ts_ms", seen.alias("first_seen_ms"))
     return validation.blackout(t.select("symbol", "id", "ms"), events, HOUR // 2, HOUR).select("symbol", "id", "blackout")
 
 
@@ -246,11 +247,11 @@ def spec_changes(spark, sf_dir):
     return rows.where(~F.col("p").eqNullSafe(F.col("o_orderstatus"))).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@query("quotes_to_publish", f"with {TRADES}, c as (select symbol, max(ms) as ms, arg_max(price, id) as price from trades group by symbol), p as (select symbol, max(ms) as ms from trades where id % 3 = 0 group by symbol) select c.symbol, c.ms, c.price from c left join p on p.symbol = c.symbol where p.ms is null or c.ms > p.ms")
+@query("quotes_to_publish", f"with {TRADES}, c as (select symbol, max(ms) as ms, arg_max(price, id) as price from trades group by symbol), p as (select symbol, max(ms) as ms from trades where maker group by symbol) select c.symbol, c.ms, c.price from c left join p on p.symbol = c.symbol where p.ms is null or c.ms > p.ms")
 def quotes_to_publish(spark, sf_dir):
     t = trades(spark, sf_dir)
     now = t.groupBy("symbol").agg(F.max("ms").alias("ms"), F.max_by("price", "id").alias("price"))
-    sent = t.where("id % 3 = 0").groupBy("symbol").agg(F.max("ms").alias("sent"))
+    sent = t.where("maker").groupBy("symbol").agg(F.max("ms").alias("sent"))
     return now.join(sent, "symbol", "left").where("sent is null or ms > sent").select("symbol", "ms", "price")
 
 
@@ -277,13 +278,13 @@ def quote_conversion(spark, sf_dir):
     return rows.select("n_nationkey", "ccy", F.when(F.col("ccy") == "USD", 1.0).otherwise(F.coalesce("d", 1 / F.col("i"))).alias("rate"))
 
 
-@query("prefix_sum_ranges", f"with {TRADES}, p as (select symbol, id, ms as b, ms - {DAY} as a from trades where id % 23 = 0) select p.symbol, p.id, cast(coalesce(sum(t.qty), 0) as bigint) as bought from p left join trades t on t.symbol = p.symbol and t.ms > p.a and t.ms <= p.b and not t.maker group by 1, 2")
+@query("prefix_sum_ranges", f"with {TRADES}, p as (select symbol, id, ms as b, ms - {DAY} as a from trades) select p.symbol, p.id, cast(coalesce(sum(t.qty), 0) as bigint) as bought from p left join trades t on t.symbol = p.symbol and t.ms > p.a and t.ms <= p.b and not t.maker group by 1, 2")
 def prefix_sum_ranges(spark, sf_dir):
     """Taker volume in (a, b] as the difference of a running sum at both ends, by two as-of joins."""
     t = trades(spark, sf_dir)
     w = Window.partitionBy("symbol").orderBy("ms").rangeBetween(Window.unboundedPreceding, 0)
     run = t.select("symbol", F.col("ms").alias("at_ms"), F.sum(F.when(~F.col("maker"), F.col("qty")).otherwise(0)).over(w).alias("run")).distinct()
-    ends = t.where("id % 23 = 0").select("symbol", "id", F.col("ms").alias("b"), (F.col("ms") - DAY).alias("a"))
+    ends = t.select("symbol", "id", F.col("ms").alias("b"), (F.col("ms") - DAY).alias("a"))
     high = asof.asof_backward(ends, run, "symbol", "b", "at_ms", ["run"]).withColumnRenamed("run", "hi").drop("matched_at")
     both = asof.asof_backward(high, run, "symbol", "a", "at_ms", ["run"])
     return both.select("symbol", "id", (F.col("hi") - F.coalesce("run", F.lit(0))).alias("bought"))

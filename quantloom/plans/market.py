@@ -95,8 +95,8 @@ def quality_prefix(spark, sf_dir):
     return rows.select("symbol", "open_ms", "flags", "bad_before", "next_bad_ms", "recent_flags")
 
 
-@query("bar_cross_check", HOURLY + """, k as (select symbol, open_ms, case when trades = 1 then 0 else volume end as kv, taker_volume + first_id % 2 as kt from bars where first_id % 7 <> 0),
-m as (select symbol, open_ms from bars where first_id % 11 <> 0), i as (select symbol, open_ms from bars where first_id % 13 <> 0), p as (select symbol, open_ms from bars where first_id % 5 <> 0)
+@query("bar_cross_check", HOURLY + """, k as (select symbol, open_ms, case when trades = 1 then 0 else volume end as kv, taker_volume + first_id % 2 as kt from bars where volume > 20),
+m as (select symbol, open_ms from bars where high > low), i as (select symbol, open_ms from bars where close > 500), p as (select symbol, open_ms from bars where taker_volume > 0)
 select b.symbol, b.open_ms, cast((case when b.close is null then 1 else 0 end) + (case when k.kv is null then 2 else 0 end) + (case when k.kv <> b.volume then 4 else 0 end)
  + (case when k.kv = 0 and b.volume > 0 then 8 else 0 end) + (case when m.symbol is null then 16 else 0 end) + (case when i.symbol is null then 32 else 0 end)
  + (case when p.symbol is null then 64 else 0 end) + (case when k.kt <> b.taker_volume then 128 else 0 end) as int) as flags
@@ -105,20 +105,20 @@ left join i on i.symbol = b.symbol and i.open_ms = b.open_ms left join p on p.sy
 def bar_cross_check(spark, sf_dir):
     b = hourly(spark, sf_dir)
     i = F.col("first_id")
-    klines = b.where(i % 7 != 0).select("symbol", "open_ms", F.when(F.col("trades") == 1, 0).otherwise(F.col("volume")).alias("volume"), (F.col("taker_volume") + i % 2).alias("taker_volume"))
-    return bars.cross_check(b, klines, b.where(i % 11 != 0), b.where(i % 13 != 0), b.where(i % 5 != 0)).select("symbol", "open_ms", "flags")
+    klines = b.where("volume > 20").select("symbol", "open_ms", F.when(F.col("trades") == 1, 0).otherwise(F.col("volume")).alias("volume"), (F.col("taker_volume") + i % 2).alias("taker_volume"))
+    return bars.cross_check(b, klines, b.where("high > low"), b.where("close > 500"), b.where("taker_volume > 0")).select("symbol", "open_ms", "flags")
 
 
-@query("compare_builds", HOURLY + """, o as (select symbol, open_ms, close + (case when first_id % 9 = 0 then 1 else 0 end) as close, volume from bars where first_id % 7 <> 0),
+@query("compare_builds", HOURLY + """, o as (select symbol, open_ms, close + (case when first_id % 9 = 0 then 1 else 0 end) as close, volume from bars where volume > 20),
 j as (select coalesce(a.symbol, o.symbol) as symbol, a.close as ac, o.close as oc, a.volume as av, o.volume as ov, a.symbol is not null as ha, o.symbol is not null as ho
-      from (select * from bars where first_id % 5 <> 0) a full outer join o on a.symbol = o.symbol and a.open_ms = o.open_ms)
+      from (select * from bars where trades > 1) a full outer join o on a.symbol = o.symbol and a.open_ms = o.open_ms)
 select symbol, count(*) filter (where ha and ho) as matched, count(*) filter (where not ho) as only_one, count(*) filter (where not ha) as only_other,
  count(*) filter (where ha and ho and ac is distinct from oc) as close_differs, count(*) filter (where ha and ho and av is distinct from ov) as volume_differs from j group by symbol""")
 def compare_builds(spark, sf_dir):
     b = hourly(spark, sf_dir)
     i = F.col("first_id")
-    other = b.where(i % 7 != 0).withColumn("close", F.col("close") + F.when(i % 9 == 0, 1).otherwise(0))
-    return bars.compare_builds(b.where(i % 5 != 0), other, ["close", "volume"])
+    other = b.where("volume > 20").withColumn("close", F.col("close") + F.when(i % 9 == 0, 1).otherwise(0))
+    return bars.compare_builds(b.where("trades > 1"), other, ["close", "volume"])
 
 
 _TICKS = [1, 2, 5, 10, 20, 50, 100]
@@ -279,32 +279,32 @@ def slot_relative_volume(spark, sf_dir):
     return rows.withColumn("mid", mid).select("symbol", "open_ms", F.when(F.col("mid") > 0, F.round(F.col("volume") / F.col("mid"), 6)).alias("ratio"))
 
 
-def _funding(spark, sf_dir):
-    """Every thirteenth trade as a settlement."""
-    return trades(spark, sf_dir).where("id % 13 = 0").select("symbol", F.col("ms").alias("at_ms"), F.col("id").alias("rate_id"), F.col("price").alias("rate"))
+def _settled(spark, sf_dir):
+    """Hourly closes as a second series, known from the bar's end on."""
+    return hourly(spark, sf_dir).select("symbol", (F.col("open_ms") + HOUR).alias("at_ms"), F.col("close").alias("rate"))
 
 
-_FUNDING = "f as (select symbol, ms as at_ms, id as rate_id, price as rate from trades where id % 13 = 0)"
+_SETTLED = bars_sql("bars", 60) + f",\nf as (select symbol, open_ms + {HOUR} as at_ms, close as rate from bars)"
 
 
-@query("asof_backward", f"""with {TRADES}, {_FUNDING} select t.symbol, t.id, f.rate, f.at_ms as matched_at from trades t asof left join f on f.symbol = t.symbol and f.at_ms <= t.ms""")
+@query("asof_backward", f"""with {TRADES}, {_SETTLED} select t.symbol, t.id, f.rate, f.at_ms as matched_at from trades t asof left join f on f.symbol = t.symbol and f.at_ms <= t.ms""")
 def asof_backward(spark, sf_dir):
     left = trades(spark, sf_dir).select("symbol", "id", "ms")
-    return asof.asof_backward(left, _funding(spark, sf_dir), "symbol", "ms", "at_ms", ["rate"]).select("symbol", "id", "rate", "matched_at")
+    return asof.asof_backward(left, _settled(spark, sf_dir), "symbol", "ms", "at_ms", ["rate"]).select("symbol", "id", "rate", "matched_at")
 
 
-@query("asof_max_gap", f"""with {TRADES}, {_FUNDING}, j as (select t.symbol, t.id, t.ms, f.rate, f.at_ms from trades t asof left join f on f.symbol = t.symbol and f.at_ms <= t.ms)
+@query("asof_max_gap", f"""with {TRADES}, {_SETTLED}, j as (select t.symbol, t.id, t.ms, f.rate, f.at_ms from trades t asof left join f on f.symbol = t.symbol and f.at_ms <= t.ms)
 select symbol, id, case when ms - at_ms <= 7200000 then rate end as rate, case when ms - at_ms <= 7200000 then at_ms end as matched_at from j""")
 def asof_max_gap(spark, sf_dir):
     left = trades(spark, sf_dir).select("symbol", "id", "ms")
-    return asof.asof_backward(left, _funding(spark, sf_dir), "symbol", "ms", "at_ms", ["rate"], max_gap=2 * HOUR).select("symbol", "id", "rate", "matched_at")
+    return asof.asof_backward(left, _settled(spark, sf_dir), "symbol", "ms", "at_ms", ["rate"], max_gap=2 * HOUR).select("symbol", "id", "rate", "matched_at")
 
 
-@query("interval_sum", f"""with {TRADES}, {_FUNDING}, p as (select symbol, id, ms as a, ms + 21600000 as b from trades where id % 17 = 0)
+@query("interval_sum", f"""with {TRADES}, {_SETTLED}, p as (select symbol, id, ms as a, ms + 21600000 as b from trades)
 select p.symbol, p.id, cast(coalesce(sum(f.rate), 0) as bigint) as paid, count(f.rate) as settlements from p left join f on f.symbol = p.symbol and f.at_ms > p.a and f.at_ms <= p.b group by 1, 2""")
 def interval_sum(spark, sf_dir):
-    spans = trades(spark, sf_dir).where("id % 17 = 0").select("symbol", "id", F.col("ms").alias("a"), (F.col("ms") + 6 * HOUR).alias("b"))
-    met = asof.interval_join(_funding(spark, sf_dir), spans, "symbol", "at_ms", "a", "b", 6 * HOUR, closed="right")
+    spans = trades(spark, sf_dir).select("symbol", "id", F.col("ms").alias("a"), (F.col("ms") + 6 * HOUR).alias("b"))
+    met = asof.interval_join(_settled(spark, sf_dir), spans, "symbol", "at_ms", "a", "b", 6 * HOUR, closed="right")
     sums = met.groupBy("symbol", "id").agg(F.sum("rate").alias("paid"), F.count("rate").alias("settlements"))
     return spans.select("symbol", "id").join(sums, ["symbol", "id"], "left").select("symbol", "id", F.coalesce("paid", F.lit(0)).alias("paid"), F.coalesce("settlements", F.lit(0)).alias("settlements"))
 

@@ -66,11 +66,11 @@ def label_outcomes(spark, sf_dir):
     return out.groupBy("side", "k", "rr").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(p) == o).alias(f"{p}_{o}") for p in ("pess", "opt") for o in "TSE"])
 
 
-@query("liquidation_scan", f"with {TRADES}, p as (select symbol, id, ms as open_ms, case when id % 2 = 0 then 1 else -1 end as side, cast(round(price * case when id % 2 = 0 then 0.5::double else 1.5::double end) as bigint) as liq from trades where id % 31 = 0) select p.symbol, p.id, min(t.ms) as liquidated_ms from p left join trades t on t.symbol = p.symbol and t.ms >= p.open_ms and t.ms < p.open_ms + {DAY} and ((p.side > 0 and t.price <= p.liq) or (p.side < 0 and t.price >= p.liq)) group by 1, 2")
+@query("liquidation_scan", f"with {TRADES}, p as (select symbol, id, ms as open_ms, case when id % 2 = 0 then 1 else -1 end as side, cast(round(price * case when id % 2 = 0 then 0.5::double else 1.5::double end) as bigint) as liq from trades) select p.symbol, p.id, min(t.ms) as liquidated_ms from p left join trades t on t.symbol = p.symbol and t.ms >= p.open_ms and t.ms < p.open_ms + {DAY} and ((p.side > 0 and t.price <= p.liq) or (p.side < 0 and t.price >= p.liq)) group by 1, 2")
 def liquidation_scan(spark, sf_dir):
     t = trades(spark, sf_dir)
     long = F.col("id") % 2 == 0
-    positions = t.where("id % 31 = 0").select("symbol", "id", F.col("ms").alias("open_ms"), F.when(long, 1).otherwise(-1).alias("side"), F.round(F.col("price") * F.when(long, 0.5).otherwise(1.5)).cast("long").alias("liq"))
+    positions = t.select("symbol", "id", F.col("ms").alias("open_ms"), F.when(long, 1).otherwise(-1).alias("side"), F.round(F.col("price") * F.when(long, 0.5).otherwise(1.5)).cast("long").alias("liq"))
     return studies.liquidation_scan(positions, t.select("symbol", "ms", F.col("price").alias("mark")), DAY).select("symbol", "id", "liquidated_ms")
 
 
@@ -113,7 +113,7 @@ def sweeps(spark, sf_dir):
 
 @query("event_overlaps")
 def event_overlaps(spark, sf_dir):
-    rows = trades(spark, sf_dir).where("id % 7 = 0").select("symbol", "id", "ms")
+    rows = trades(spark, sf_dir).select("symbol", "id", "ms")
 
     def mark(g):
         return g.assign(overlap=studies.overlaps(g["ms"].tolist(), 6 * HOUR))
