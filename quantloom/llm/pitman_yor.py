@@ -1,36 +1,41 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-A token is predicted in two steps, its class given the class before it and then the token given
-its class; classes are a fixed number of hash buckets of tokens.
+A token is predicted from the token before it, or the text's start.
 
-- Classes: each context (the class before, or the text's start) is a restaurant whose dishes are
-  classes. All contexts share one parent restaurant over classes, whose base is uniform.
+- Contexts: each word context is a restaurant whose dishes are the training tokens after it. It
+  backs off to parents that all contexts share.
+- Classes: the parents predict in two steps, the token's class given the context's class and then
+  the token given its class; classes are a fixed number of hash buckets of tokens. Each context
+  class is a restaurant over classes; these share one parent whose base is uniform.
 - Tokens: each class is a restaurant whose dishes are the training tokens in it. Half of its base
   stands for an unknown token, half is uniform over the known ones.
 
 Seating is by Chinese-restaurant Gibbs sweeps: a sweep empties each dish of each restaurant and
 seats its customers again, each at an old table or, with the parent's probability of the dish, at
 a new one, which sends a customer to the parent. Probabilities are averaged over the sweeps after
-burn-in. Together the outcomes' probabilities add up to one over all known tokens and one unknown
-per class.
-
-Token counts are counted over all training documents by a shuffle. For scoring, documents are
-dealt into blocks; a block asks for the numbers of its distinct tokens, which are joined to the
-model's table by a shuffle and sent back to it. Only class counts, bounded by the number of
-classes, come to the driver.
+burn-in. Levels are swept in turn: the parents over one table per dish of each context, the
+contexts with the parents as they are, and the parents again over the contexts' last tables.
+Together the outcomes' probabilities add up to one over all known tokens and one unknown per class.
+
+Pairs (context, token) are counted over all training documents by a shuffle. A pair seen once has
+one table in any seating; the others are gathered by context and seated. For scoring, documents
+are dealt into blocks; a block asks for the numbers of its distinct tokens and pairs, which are
+joined to the model's table by a shuffle and sent back to it. Only class counts, bounded by the
+number of classes, come to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from . import text as words
 from .runtime import tidy, written
 
@@ -44,7 +49,11 @@ SINGLY = 16
 BLOCK_BYTES = 16 << 20
 #: The end token's identity.
 END = np.uint64(0x5851F42D4C957F2D)
+#: The context at a text's start.
+START = np.uint64(0x14057B7EF767814F)
 _HELD = 1 << 21
+#: Repeated pairs that are seated at a time.
+_PORTION = 1 << 18
 
 
 def class_of(tokens: np.ndarray) -> np.ndarray:
@@ -61,13 +70,55 @@ def tokens_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def contexts_of(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The class before each token; ``CLASSES`` at a text's start."""
-    out = np.empty(len(tokens), np.int64)
-    out[1:] = class_of(tokens[:-1])
-    out[bounds[:-1]] = CLASSES
+    """The token before each token; ``START`` at a text's start."""
+    out = np.empty_like(tokens)
+    out[1:] = tokens[:-1]
+    out[bounds[:-1]] = START
     return out
 
 
+def context_class(contexts: np.ndarray) -> np.ndarray:
+    return np.where(contexts == START, CLASSES, class_of(contexts))
+
+
+def pair_of(contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """A pair's identity, as ``_pair_column`` has it."""
+    return contexts ^ ((tokens << np.uint64(21)) | (tokens >> np.uint64(43)))
+
+
+def _pair_column() -> Column:
+    return F.col("context").bitwiseXOR(F.shiftleft("key", 21).bitwiseOR(F.shiftrightunsigned("key", 43)))
+
+
+def _class_column(name: str) -> Column:
+    return F.shiftrightunsigned(name, 64 - CLASS_BITS).cast("int")
+
+
+def seat_each(customers: np.ndarray, chance: np.ndarray, others: np.ndarray, discount: float, growth: float, draw: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """Tables per dish after its customers are seated one after the other.
+
+    Customer j + 1 opens a table with probability o / (o + j - discount * tables of the dish), where
+    o = (others + growth * tables of the dish) * chance. As this falls with j while no table opens, the
+    next opening is sought by jumps at the present probability, thinned by what it has fallen to.
+    ``draw`` gives numbers in (0, 1] for dishes and a step.
+    """
+    tables = (customers > 0).astype(np.int64)
+    at = np.flatnonzero(customers > 1)
+    j, step = np.ones(len(at)), 0
+    while len(at):
+        now = tables[at]
+        weight = (others[at] + growth * now) * chance[at]
+        old = j - discount * now
+        to = j + np.floor(np.log(draw(at, step)) / np.log1p(-weight / (weight + old)))
+        some = to < customers[at]
+        at, now, weight, old, j, to = (x[some] for x in (at, now, weight, old, j, to))
+        tables[at] += draw(at, step + 1) * (weight + to - discount * now) <= weight + old
+        j, step = to + 1, step + 2
+        rest = j < customers[at]
+        at, j = at[rest], j[rest]
+    return tables
+
+
 def seat(customers: np.ndarray, chance: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables per dish after its customers are seated in an order of arrival.
 
@@ -91,7 +142,10 @@ def seat(customers: np.ndarray, chance: np.ndarray, opening: np.ndarray, discoun
 
 def discount_of(counts: np.ndarray) -> float:
     """From the numbers of dishes with one and two customers."""
-    one, two = int((counts == 1).sum()), int((counts == 2).sum())
+    return _discount(int((counts == 1).sum()), int((counts == 2).sum()))
+
+
+def _discount(one: int, two: int) -> float:
     return float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one + two else 0.5
 
 
@@ -134,102 +188,171 @@ def token_model(counts: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     return mean / SAMPLES, unknown / SAMPLES
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(place, np.concatenate(counts)).astype(np.int64)
+def context_model(pairs: np.ndarray, group: np.ndarray, counts: np.ndarray, once: np.ndarray, chance: np.ndarray, discount: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tables at the last sweep, average tables) of each repeated pair of whole contexts.
+
+    ``group`` numbers the contexts, ``once`` has the number of a context's pairs that occur once, one table
+    each, and ``chance`` the parents' probability of the pair's token.
+    """
+    tables, mean = np.ones(len(counts), np.int64), np.zeros(len(counts))
+    start = words.mixed(pairs ^ np.uint64(seed))
+    for sweep in range(BURN_IN + SAMPLES):
+
+        def draw(at: np.ndarray, step: int, sweep: int = sweep) -> np.ndarray:
+            own = words.mixed(start[at] ^ words.mixed(np.array([(sweep << 40) + step], np.uint64)))
+            return ((own >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
+
+        total = once + np.bincount(group, tables)[group]
+        tables = seat_each(counts, chance, CONCENTRATION + discount * (total - tables), discount, discount, draw)
+        if sweep >= BURN_IN:
+            mean += tables
+    return tables, mean / SAMPLES
+
+
+def _merged(keys: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    contexts, tokens = (np.concatenate(x) for x in zip(*keys, strict=True))
+    _, first, place = np.unique(pair_of(contexts, tokens), return_index=True, return_inverse=True)
+    return (contexts[first], tokens[first]), np.bincount(place, np.concatenate(counts)).astype(np.int64)
 
 
 def _counts(documents: DataFrame) -> DataFrame:
-    """(kind, key, n) over documents (train, text): kind 0 tokens and kind 1 class pairs of training texts, kind 2 bytes of all texts."""
+    """(kind, context, key, n) over documents (train, text): kind 1 pairs of training texts, kind 2 bytes of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, numbers, held, size = [], [], 0, 0
-        pairs = np.zeros((CLASSES + 1) * CLASSES, np.int64)
 
-        def rows(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
+        def rows(kind: int, key: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(np.full(len(n), kind, np.int32)), *(pa.array(k.view(np.int64)) for k in key), pa.array(n)]
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "context", "key", "n"])
 
         for batch in batches:
             size += int(np.ptp(words.utf8(batch.column(1))[1]))
             texts = batch.column(1).filter(batch.column(0))
             for _, _, data, bounds in words.runs(texts):
                 tokens, ends = tokens_of(data, bounds)
-                pairs += np.bincount(contexts_of(tokens, ends) * CLASSES + class_of(tokens), minlength=len(pairs))
-                key, n = np.unique(tokens, return_counts=True)
+                key, n = _merged([(contexts_of(tokens, ends), tokens)], [np.ones(len(tokens))])
                 keys.append(key)
                 numbers.append(n)
-                held += len(key)
+                held += len(n)
                 if held > _HELD:
                     key, n = _merged(keys, numbers)
-                    keys, numbers, held = [key], [n], len(key)
+                    keys, numbers, held = [key], [n], len(n)
                     if held > _HELD // 2:
-                        yield rows(0, key, n)
+                        yield rows(1, key, n)
                         keys, numbers, held = [], [], 0
         if keys:
-            yield rows(0, *_merged(keys, numbers))
-        used = np.flatnonzero(pairs)
-        yield rows(1, used.astype(np.int64), pairs[used])
-        yield rows(2, np.zeros(1, np.int64), np.array([size]))
+            yield rows(1, *_merged(keys, numbers))
+        yield rows(2, (np.zeros(1, np.int64), np.zeros(1, np.int64)), np.array([size]))
 
-    return documents.select("train", "text").mapInArrow(tidy(count), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counted = documents.select("train", "text").mapInArrow(tidy(count), "kind int, context long, key long, n long")
+    return counted.groupBy("kind", "context", "key").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class LanguageModel:
-    """Numbers of the training tokens, the class model, and a table (key, c, logp) of the known tokens with log10 probabilities given their class."""
+    """Numbers of the training tokens and texts, the context discount, the class model, and a table.
+
+    The table's rows (pair, key, c, x, y) are the known tokens, with x the log10 probability given
+    their class and y their tables as contexts, and the known pairs, with x their customers less the
+    discount of their tables.
+    """
 
     train_tokens: int
     distinct: int
     text_bytes: int
+    discount: float
+    starts: tuple[float, float]
     classes: np.ndarray
     unknown: np.ndarray
-    tokens: DataFrame
+    table: DataFrame
 
 
-def fit(documents: DataFrame, seed: int = 0) -> LanguageModel:
-    """Learn from the texts of ``documents`` (train boolean, text) whose ``train`` is true; a null text is empty."""
-    counted = written(_counts(documents), "token-counts")
-    totals = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys")).collect()}
-    pairs = np.zeros((CLASSES + 1) * CLASSES, np.int64)
-    for r in counted.where("kind = 1").collect():
-        pairs[r["key"]] = r["n"]
+def _learned(tokens: DataFrame, seed: int) -> DataFrame:
+    """(class, key, c, logp) from (key, c, n): the known tokens given their class, n customers each; an unknown one has c = 0."""
 
     def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("key")
         probability, unknown = token_model(group["n"].to_numpy(), int(key[0]) * 1_000_003 + seed)
-        known = pd.DataFrame({"class": int(key[0]), "key": group["key"].to_numpy(), "c": group["n"].to_numpy(), "logp": np.log10(probability)})
+        known = pd.DataFrame({"class": int(key[0]), "key": group["key"].to_numpy(), "c": group["c"].to_numpy(), "logp": np.log10(probability)})
         return pd.concat([known, pd.DataFrame({"class": [int(key[0])], "key": [0], "c": [0], "logp": [np.log10(unknown)]})])
 
-    tokens = counted.where("kind = 0").select("key", "n", F.shiftrightunsigned("key", 64 - CLASS_BITS).cast("int").alias("class"))
-    table = written(tokens.groupBy("class").applyInPandas(learn, "class int, key long, c long, logp double"), "token-model")
+    return written(tokens.select("key", "c", "n", _class_column("key").alias("class")).groupBy("class").applyInPandas(learn, "class int, key long, c long, logp double"), "token-model")
+
+
+def _class_pairs(pairs: DataFrame, *numbers: Column) -> list[np.ndarray]:
+    """Sums of ``numbers`` by context class and class."""
+    above = F.when(F.col("context") == int(START.view(np.int64)), CLASSES).otherwise(_class_column("context"))
+    out = [np.zeros((CLASSES + 1, CLASSES), np.int64) for _ in numbers]
+    for r in pairs.groupBy(above.alias("a"), _class_column("key").alias("b")).agg(*[F.sum(n).alias(f"n{k}") for k, n in enumerate(numbers)]).collect():
+        for k, held in enumerate(out):
+            held[r["a"], r["b"]] = r[f"n{k}"]
+    return out
+
+
+def fit(documents: DataFrame, seed: int = 0) -> LanguageModel:
+    """Learn from the texts of ``documents`` (train boolean, text) whose ``train`` is true; a null text is empty."""
+    counted = written(_counts(documents), "pair-counts")
+    size = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    pairs = counted.where("kind = 1").select("context", "key", "n")
+    once, one = F.when(F.col("n") == 1, 1).otherwise(0), F.lit(1)
+    tokens = written(pairs.groupBy("key").agg(F.sum("n").alias("c"), F.count(one).alias("first"), F.sum(once).alias("once")), "token-counts")
+    contexts = written(pairs.groupBy("context").agg(F.sum("n").alias("c"), F.sum(once).alias("once")), "context-counts")
+    total = tokens.agg(F.sum("c").alias("n"), F.count(one).alias("keys")).first()
+    rare = {r["n"]: r["k"] for r in pairs.where("n < 3").groupBy("n").agg(F.count(one).alias("k")).collect()}
+    discount = _discount(rare.get(1, 0), rare.get(2, 0))
+    first, single = _class_pairs(pairs, one, once)
+    classes = np.log10(class_model(first, seed))
+    parents = _learned(tokens.select("key", "c", F.col("first").alias("n")), seed)
+
+    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in blocks.whole_groups(batches, "context", _PORTION):
+            context, key, n, own, logp = (rows.column(k).to_numpy() for k in ("context", "key", "n", "once", "logp"))
+            above, below = context.view(np.uint64), key.view(np.uint64)
+            group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            chance = 10.0 ** (classes[context_class(above), class_of(below)] + logp)
+            last, mean = context_model(pair_of(above, below), group, n, own, chance, discount, seed)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (context, key, n, last, mean)], names=["context", "key", "n", "tables", "mean"])
+
+    zero = F.lit(0).cast("int")
+    repeated = pairs.where("n > 1").join(parents.where("c > 0").select("key", "logp"), "key").join(contexts.select("context", "once"), "context")
+    repeated = repeated.select("context", "key", "n", "once", "logp", zero.alias("part"), zero.alias("lot")).repartition("context").sortWithinPartitions("context", "key")
+    seats = written(repeated.mapInArrow(tidy(seated), "context long, key long, n long, tables long, mean double"), "pair-tables")
+    classes = np.log10(class_model(single + _class_pairs(seats, F.col("tables"))[0], seed + 1))
+    sent = seats.groupBy("key").agg(F.sum("tables").alias("more"))
+    parents = _learned(tokens.join(sent, "key", "left").select("key", "c", (F.col("once") + F.coalesce("more", F.lit(0))).alias("n")), seed + 1)
     unknown = np.zeros(CLASSES)
-    for r in table.where("c = 0").collect():
+    for r in parents.where("c = 0").collect():
         unknown[r["class"]] = r["logp"]
-    number = totals.get(0)
+    opened = seats.groupBy("context").agg(F.sum("mean").alias("more"))
+    opened = contexts.join(opened, "context", "left").select("context", "c", (F.col("once") + F.coalesce("more", F.lit(0.0))).alias("y"))
+    start = opened.where(F.col("context") == int(START.view(np.int64))).first()
+    known = parents.where("c > 0").join(opened.select(F.col("context").alias("key"), "y"), "key", "left")
+    known = known.select(F.lit(False).alias("pair"), "key", "c", F.col("logp").alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
+    nothing = F.lit(0).cast("long").alias("c")
+    singles = pairs.where("n = 1").select(F.lit(True).alias("pair"), _pair_column().alias("key"), nothing, F.lit(1 - discount).alias("x"), F.lit(0.0).alias("y"))
+    others = seats.select(F.lit(True).alias("pair"), _pair_column().alias("key"), nothing, (F.col("n") - discount * F.col("mean")).alias("x"), F.lit(0.0).alias("y"))
     return LanguageModel(
-        int(number["n"]) if number else 0,
-        int(number["keys"]) if number else 0,
-        int(totals[2]["n"]) if 2 in totals else 0,
-        np.log10(class_model(pairs.reshape(CLASSES + 1, CLASSES), seed)),
-        unknown,
-        table.where("c > 0").select("key", "c", "logp"),
+        int(total["n"] or 0), int(total["keys"]), int(size), discount, (float(start["c"]), float(start["y"])) if start else (0.0, 0.0), classes, unknown, known.unionByName(singles).unionByName(others)
     )
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, key) for each distinct token of each block in the task."""
-    held: dict[int, list[np.ndarray]] = {}
+    """(block, pair, key) for each distinct token and pair of each block in the task."""
+    held: dict[tuple[int, bool], list[np.ndarray]] = {}
     for batch in batches:
         block = batch.column(0).to_numpy()
         for name in np.unique(block):
             for _, _, data, bounds in words.runs(batch.column(3).filter(pa.array(block == name))):
-                own = held.setdefault(int(name), [])
-                own.append(np.unique(tokens_of(data, bounds)[0]))
-                if sum(map(len, own)) > _HELD:
-                    held[int(name)] = [np.unique(np.concatenate(own))]
-    for name, own in held.items():
+                tokens, ends = tokens_of(data, bounds)
+                for pair, key in ((False, tokens), (True, pair_of(contexts_of(tokens, ends), tokens))):
+                    own = held.setdefault((int(name), pair), [])
+                    own.append(np.unique(key))
+                    if sum(map(len, own)) > _HELD:
+                        held[int(name), pair] = [np.unique(np.concatenate(own))]
+    for (name, pair), own in held.items():
         key = np.unique(np.concatenate(own))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), name, np.int32)), pa.array(key.view(np.int64))], names=["block", "key"])
+        columns = [pa.array(np.full(len(key), name, np.int32)), pa.array(np.full(len(key), pair)), pa.array(key.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "pair", "key"])
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -244,16 +367,20 @@ def scored(documents: DataFrame, model: LanguageModel) -> DataFrame:
     blocks = max(1, -(-model.text_bytes // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("int")
     dealt = documents.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").repartition(blocks, "block")
-    asked = dealt.mapInArrow(tidy(_blocked), "block int, key long")
-    answers = asked.join(model.tokens, "key").select("block", "key", "c", "logp")
+    asked = dealt.mapInArrow(tidy(_blocked), "block int, pair boolean, key long")
+    answers = asked.join(model.table, ["pair", "key"]).select("block", "pair", "key", "c", "x", "y")
     n, v = model.train_tokens, model.distinct
-    classes, unknown = model.classes, model.unknown
+    classes, unknown, discount, (starts, start_tables) = model.classes, model.unknown, model.discount, model.starts
+
+    def sorted_(rows: pd.DataFrame, *names: str) -> list[np.ndarray]:
+        key = rows["key"].to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        return [np.append(key[order], np.uint64(2**64 - 1)), *(np.append(rows[k].to_numpy()[order], 0) for k in names)]
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(right["key"].to_numpy().view(np.uint64))
-        key = np.append(right["key"].to_numpy().view(np.uint64)[order], np.uint64(2**64 - 1))
-        count = np.append(right["c"].to_numpy()[order], 0)
-        logp = np.append(right["logp"].to_numpy()[order], 0.0)
+        paired = right["pair"].to_numpy(bool)
+        key, count, logp, tables = sorted_(right[~paired], "c", "x", "y")
+        pair, mass = sorted_(right[paired], "x")
         out = np.zeros((4, len(left)))
         for first, last, data, bounds in words.runs(pa.array(left["text"], pa.large_string())):
             tokens, ends = tokens_of(data, bounds)
@@ -262,8 +389,15 @@ def scored(documents: DataFrame, model: LanguageModel) -> DataFrame:
             known = key[at] == own
             c = np.where(known, count[at], 0)[place]
             base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-            kind = class_of(tokens)
-            value = classes[contexts_of(tokens, ends), kind] + np.where(known, logp[at], 0.0)[place] + np.where(c > 0, 0.0, unknown[kind])
+            kind, contexts = class_of(tokens), contexts_of(tokens, ends)
+            parent = classes[context_class(contexts), kind] + np.where(known, logp[at], 0.0)[place] + np.where(c > 0, 0.0, unknown[kind])
+            customers, opened = np.empty(len(c)), np.empty(len(c))
+            customers[1:], opened[1:] = c[:-1], np.where(known, tables[at], 0.0)[place][:-1]
+            customers[ends[:-1]], opened[ends[:-1]] = starts, start_tables
+            asked, where = np.unique(pair_of(contexts, tokens), return_inverse=True)
+            at = np.searchsorted(pair, asked)
+            seen = np.where(pair[at] == asked, mass[at], 0.0)[where]
+            value = np.log10((seen + (CONCENTRATION + discount * opened) * 10.0**parent) / (CONCENTRATION + customers))
             out[:, first:last] = [np.add.reduceat(x, ends[:-1]) for x in (np.ones(len(c)), c > 0, base, value)]
         return pd.DataFrame({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": out[0].astype(np.int64), "n_known": out[1].astype(np.int64), "train_tokens": n, "base_score": out[2], "score": out[3]})
 

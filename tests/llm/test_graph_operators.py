@@ -190,6 +190,40 @@ def test_scores(spark):
     assert sum(r.score for r in pitman_yor.scored(shuffled, model).collect()) < sum(r.score for r in found if r.held_out)
 
 
+def test_word_contexts_are_kept_apart(spark):
+    """Of two words of one class each prefers its own follower."""
+    ours = [f"w{k}" for k in range(4000)]
+    kind = dict(zip(ours, pitman_yor.class_of(pitman_yor.tokens_of(np.frombuffer(" ".join(ours).encode(), np.uint8), np.array([0, len(" ".join(ours))]))[0][:-1]).tolist(), strict=True))
+    groups = defaultdict(list)
+    for w in ours:
+        groups[kind[w]].append(w)
+    one, two = next(g for g in groups.values() if len(g) > 1)[:2]
+    after = [w for w in ours if w not in (one, two)][:40]
+    rows = [(k, f"{one} {after[0]}" if k % 2 else f"{two} {after[1]}", True) for k in range(200)] + [(900 + k, f"{w} {one}", True) for k, w in enumerate(after)]
+    asks = [(2000 + k, f"{c} {w}", False) for k, (c, w) in enumerate((c, w) for c in (one, two) for w in after[:2])]
+    docs = spark.createDataFrame(rows + asks, "doc_id long, text string, train boolean").withColumn("held_out", ~F.col("train"))
+    model = pitman_yor.fit(docs)
+    held = {r.pair: r for r in model.table.groupBy("pair").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
+    assert held[True].x + model.discount * (held[False].y + model.starts[1]) == pytest.approx(model.train_tokens)
+    found = {r.doc_id: r.score for r in pitman_yor.scored(docs, model).collect()}
+    assert found[2000] > found[2001] + 1 and found[2003] > found[2002] + 1
+
+
+def test_seating_one_by_one_has_the_exact_mean():
+    rng = np.random.default_rng(5)
+    customers, chance, others, discount = 300, 0.2, 6.0, 0.6
+    exact = np.zeros(customers + 2)
+    exact[1] = 1
+    for j in range(1, customers):
+        t = np.arange(customers + 2)
+        o = (others + discount * t) * chance
+        p = np.where(t > 0, o / (o + np.maximum(j - discount * t, 1e-9)), 0)
+        exact = exact * (1 - p) + np.concatenate(([0], (exact * p)[:-1]))
+    n = 6000
+    tables = pitman_yor.seat_each(np.full(n, customers), np.full(n, chance), np.full(n, others), discount, discount, lambda at, step: 1 - rng.random(len(at)))
+    assert tables.mean() == pytest.approx(exact @ np.arange(customers + 2), abs=4 * tables.std() / n**0.5)
+
+
 def test_language_model_without_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, held_out boolean, train boolean")
     assert pitman_yor.scored(docs, pitman_yor.fit(docs)).count() == 0
