@@ -109,7 +109,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def train(samples: list[tuple[int, np.ndarray, np.ndarray]], shares: tuple[float, float], seed: int = 0) -> Model:
     """A model from (label, distinct slots, their counts) per document; ``shares`` are the labels' counts in all the data.
 
-    The sample is balanced, so the logit is shifted by the log odds of the labels in all the data.
+    Documents are weighted so that both labels weigh the same, however many the sample has of each;
+    then the logit is shifted by the log odds of the labels in all the data.
     Without documents of both labels the vectors stay untrained at zero and the shift decides.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -120,6 +121,7 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], shares: tuple[float
     vectors = rng.uniform(-0.5, 0.5, (n, WIDTH)).astype(np.float32) / WIDTH
     layer = rng.uniform(-0.5, 0.5, (2, WIDTH)).astype(np.float32)
     seen, seen_layer = np.full(n, 1e-6, np.float32), 1e-6
+    weight = len(samples) / (2 * np.bincount([x[0] for x in samples], minlength=2))
     for epoch in range(EPOCHS):
         order, step = rng.permutation(len(samples)), STEP * (1 - epoch / EPOCHS)
         for s in range(0, len(order), BATCH):
@@ -131,8 +133,9 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], shares: tuple[float
             held = vectors[slots] * share[:, None]
             mean = np.stack([np.bincount(doc, held[:, k], len(some)) for k in range(WIDTH)], 1).astype(np.float32)
             wrong = _softmax(mean @ layer.T)
-            wrong[np.arange(len(some)), [x[0] for x in some]] -= 1
-            wrong = (wrong / len(some)).astype(np.float32)
+            own = np.array([x[0] for x in some])
+            wrong[np.arange(len(some)), own] -= 1
+            wrong = (wrong * weight[own, None] / len(some)).astype(np.float32)
             used, place = np.unique(slots, return_inverse=True)
             each = (wrong @ layer)[doc] * share[:, None]
             to_vectors = np.stack([np.bincount(place, each[:, k], len(used)) for k in range(WIDTH)], 1).astype(np.float32)

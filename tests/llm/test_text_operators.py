@@ -293,6 +293,14 @@ def test_folded_table_gives_the_softmax(spark):
     assert model.logits(pa.array([text]))[0] == pytest.approx(logits[1] - logits[0] + 0.3, rel=1e-4)
 
 
+def test_labels_odds_count_once(spark):
+    """A text that says nothing scores by the labels' shares, whether the sample holds all labelled rows or as many of each label."""
+    docs = spark.createDataFrame([(k, "neither here nor there") for k in range(440)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k >= 40)) for k in range(440)], "doc_id long, label int")
+    for most in (40, 1500):
+        assert quality.scored(docs, quality.fit(docs, labels, per_class=most)).first().score == pytest.approx(400 / 440, abs=0.02)
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, label int"))
