@@ -68,7 +68,11 @@ BASE = (
 )
 #: Further kinds, by the published shapes of such keys.
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----)?"),
+    Rule(  # to the END line of the same label; a key that is cut off before it, as far as its headers and body go
+        "private_key",
+        r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----"
+        r"|(?:[ \t\r]*\n(?:Proc-Type|DEK-Info|Content-Domain|Comment|Version):[^\n]*)*[A-Za-z0-9+/=\s]*)",
+    ),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),

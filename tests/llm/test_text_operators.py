@@ -75,6 +75,18 @@ def test_scan_equals_searching_everything():
     assert secret_scan.scan(pa.array(texts)) == [brute_spans(t) for t in texts]
 
 
+@pytest.mark.parametrize("label", ["", "RSA ", "ENCRYPTED ", "OPENSSH "])
+def test_private_keys_are_found_whole(label):
+    head, body, end = f"-----BEGIN {label}PRIVATE KEY-----", "\nMIIEow+/AB==\nzzZZ99\n", f"-----END {label}PRIVATE KEY-----"
+    headers = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0102\n"
+    for key in (head + body + end, head + headers + body + end):
+        found = secret_scan.scan(pa.array([f"a {key} b", f"{head}{body}, {key}"]))
+        assert (2, 2 + len(key), "private_key") in found[0]
+        assert [x[:2] for x in found[1] if x[2] == "private_key"] == [(0, len(head + body)), (len(head + body) + 2, len(head + body) + 2 + len(key))]
+    cut = head + headers + body
+    assert (0, len(cut), "private_key") in secret_scan.scan(pa.array([cut + "!"]))[0]
+
+
 def test_hex_rule_is_the_runs_of_the_plain_pattern():
     text = "0123456789abcdef0 g0123456789abcdeff0 0123456789abcde " + "ab" * 20
     plain = [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
