@@ -12,7 +12,8 @@ A token is predicted from the token before it, or the text's start.
 
 Seating is by Chinese-restaurant Gibbs sweeps: a sweep empties each dish of each restaurant and
 seats its customers again, each at an old table or, with the parent's probability of the dish, at
-a new one, which sends a customer to the parent. Probabilities are averaged over the sweeps after
+a new one, which sends a customer to the parent. Within a sweep the dishes of a restaurant know
+each other's tables as the sweep before left them. Probabilities are averaged over the sweeps after
 burn-in. Levels are swept in turn: the parents over one table per dish of each context, the
 contexts with the parents as they are, and the parents again over the contexts' last tables.
 Together the outcomes' probabilities add up to one over all known tokens and one unknown per class.
@@ -43,8 +44,6 @@ CLASS_BITS = 9
 CLASSES = 1 << CLASS_BITS
 BURN_IN, SAMPLES = 2, 4
 CONCENTRATION = 1.0
-#: Customers of a dish are seated one by one up to this many, then in lots that grow by a quarter.
-SINGLY = 16
 #: Text bytes per scoring block.
 BLOCK_BYTES = 16 << 20
 #: The end token's identity.
@@ -119,25 +118,9 @@ def seat_each(customers: np.ndarray, chance: np.ndarray, others: np.ndarray, dis
     return tables
 
 
-def seat(customers: np.ndarray, chance: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables per dish after its customers are seated in an order of arrival.
-
-    ``chance`` is the parent's probability of the dish and ``opening`` the restaurant's
-    concentration plus discount times tables; customer j + 1 opens a table with probability
-    opening * chance / (opening * chance + j - discount * tables of the dish).
-    """
-    tables = (customers > 0).astype(np.int64)
-    weight = opening * chance
-    at = np.flatnonzero(customers > 1)
-    j = 1
-    while len(at):
-        lot = 1 if j < SINGLY else j // 4
-        now, rest = tables[at], customers[at] - j
-        p = weight[at] / (weight[at] + j - discount * now)
-        tables[at] = now + (rng.random(len(at)) < p if lot == 1 else rng.binomial(np.minimum(lot, rest), p))
-        j += lot
-        at = at[customers[at] > j]
-    return tables
+def seat(customers: np.ndarray, chance: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator, growth: float = 0.0) -> np.ndarray:
+    """``seat_each`` with numbers from ``rng``; ``opening`` is the restaurant's concentration plus discount times tables, those of the dish left out if ``growth`` adds them as they open."""
+    return seat_each(customers, chance, opening, discount, growth, lambda at, step: 1 - rng.random(len(at)))
 
 
 def discount_of(counts: np.ndarray) -> float:
@@ -159,12 +142,12 @@ def class_model(counts: np.ndarray, seed: int = 0) -> np.ndarray:
     uniform, mean = 1.0 / counts.shape[1], np.zeros(counts.shape)
     for sweep in range(BURN_IN + SAMPLES):
         top = tables.sum(0)
-        opening = CONCENTRATION + above * top_tables.sum()
-        top_tables = seat(top, np.full(len(top), uniform), np.full(len(top), opening), above, rng)
+        others = CONCENTRATION + above * (top_tables.sum() - top_tables)
+        top_tables = seat(top, np.full(len(top), uniform), others, above, rng, above)
         above = discount_of(top)
         parent = (top - above * top_tables + (CONCENTRATION + above * top_tables.sum()) * uniform) / (CONCENTRATION + top.sum())
-        opening = np.broadcast_to(CONCENTRATION + below * tables.sum(1, keepdims=True), counts.shape)
-        tables = seat(counts.ravel(), np.broadcast_to(parent, counts.shape).ravel(), opening.ravel(), below, rng).reshape(counts.shape)
+        others = CONCENTRATION + below * (tables.sum(1, keepdims=True) - tables)
+        tables = seat(counts.ravel(), np.broadcast_to(parent, counts.shape).ravel(), others.ravel(), below, rng, below).reshape(counts.shape)
         if sweep >= BURN_IN:
             mean += (counts - below * tables + (CONCENTRATION + below * tables.sum(1, keepdims=True)) * parent) / (CONCENTRATION + total)
     return mean / SAMPLES
@@ -179,8 +162,8 @@ def token_model(counts: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     discount, base, total = discount_of(counts), 0.5 / n, counts.sum()
     tables, mean, unknown = np.ones(n, np.int64), np.zeros(n), 0.0
     for sweep in range(BURN_IN + SAMPLES):
-        opening = CONCENTRATION + discount * tables.sum()
-        tables = seat(counts, np.full(n, base), np.full(n, opening), discount, rng)
+        others = CONCENTRATION + discount * (tables.sum() - tables)
+        tables = seat(counts, np.full(n, base), others, discount, rng, discount)
         opening = CONCENTRATION + discount * tables.sum()
         if sweep >= BURN_IN:
             mean += (counts - discount * tables + opening * base) / (CONCENTRATION + total)

@@ -224,6 +224,21 @@ def test_seating_one_by_one_has_the_exact_mean():
     assert tables.mean() == pytest.approx(exact @ np.arange(customers + 2), abs=4 * tables.std() / n**0.5)
 
 
+def test_frequent_dishes_are_seated_without_lots():
+    """The mean number of tables of a frequent dish is that of its customers coming one after the other."""
+    rng = np.random.default_rng(6)
+    customers, weight, discount = 400, 4.0, 0.5
+    exact = np.zeros(customers + 2)
+    exact[1] = 1
+    for j in range(1, customers):
+        p = weight / (weight + np.maximum(j - discount * np.arange(customers + 2), 1e-9))
+        p[0] = 0
+        exact = exact * (1 - p) + np.concatenate(([0], (exact * p)[:-1]))
+    n = 20_000
+    tables = pitman_yor.seat(np.full(n, customers), np.full(n, 0.5), np.full(n, 2 * weight), discount, rng)
+    assert tables.mean() == pytest.approx(exact @ np.arange(customers + 2), abs=4 * tables.std() / n**0.5)
+
+
 def test_language_model_without_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, held_out boolean, train boolean")
     assert pitman_yor.scored(docs, pitman_yor.fit(docs)).count() == 0
