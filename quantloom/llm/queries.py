@@ -26,10 +26,9 @@ def _text_bytes():
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    sized = documents.select("doc_id", (F.octet_length(_text_bytes()) + 8).cast("long").alias("size"), F.crc32(_text_bytes()).alias("text_crc32"))
-    placed = shard.shard_rows(sized, shards=24, seed=1)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = shard.shard_rows(table(spark, sf_dir, "documents"), shards=24, seed=1)
+    size, crc = (F.octet_length(_text_bytes()) + 8).cast("long"), F.crc32(_text_bytes())
+    return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def quality_model(documents: DataFrame, labels: DataFrame) -> quality.Model:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import media, mixing, pieces, quality, secret_scan, shard, tokenfile
+from quantloom.llm import media, mixing, pieces, quality, queries, secret_scan, shard, tokenfile
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -60,6 +60,15 @@ def test_runs_of_identical_rows(spark):
     assert sorted(r.n for r in rows) == [3333, 3333, 3334] and all(r.m == r.n - 1 for r in rows)
 
 
+def test_query_shards_whole_documents(spark, tmp_path):
+    rows = [(k, f"text {k % 7}", "en", f"s{k % 3}", 6) for k in range(60)] + [(None, None, None, None, None), (3, "", "en", "s0", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    whole = shard.shard_rows(spark.read.parquet(str(tmp_path / "documents.parquet")), 24, seed=1).collect()
+    want = [(r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in whole]
+    found = [(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in queries.op1_sharding(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, want)) and len(found) == len(rows)
+
+
 # -- secrets
 
 
