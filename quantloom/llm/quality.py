@@ -24,8 +24,9 @@ from .runtime import tidy
 
 #: Slots of the hashed table and length of its vectors.
 SLOT_BITS, WIDTH = 18, 8
+_MOST = (1 << (32 - SLOT_BITS)) - 1
 #: Labelled documents per class that are trained on, those with the smallest hashes of doc_id: the documented bound of the sample.
-PER_CLASS = 1500
+PER_CLASS = 2000
 EPOCHS, BATCH, STEP = 8, 32, 0.25
 
 
@@ -106,8 +107,20 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(samples: list[tuple[int, np.ndarray, np.ndarray]], shares: tuple[float, float], seed: int = 0) -> Model:
-    """A model from (label, distinct slots, their counts) per document; ``shares`` are the labels' counts in all the data.
+def packed(slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Slots with their counts in 32 bits each; a count that has no room takes several entries."""
+    times = -(-counts // _MOST)
+    slot, left = np.repeat(slots, times), np.full(int(times.sum()), _MOST)
+    left[np.cumsum(times) - 1] = counts - (times - 1) * _MOST
+    return (slot.astype(np.uint32) << np.uint32(32 - SLOT_BITS)) | left.astype(np.uint32)
+
+
+def unpacked(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (features >> np.uint32(32 - SLOT_BITS)).astype(np.int64), (features & np.uint32(_MOST)).astype(np.float32)
+
+
+def train(samples: list[tuple[int, np.ndarray]], shares: tuple[float, float], seed: int = 0) -> Model:
+    """A model from (label, packed slots and counts) per document; ``shares`` are the labels' counts in all the data.
 
     Documents are weighted so that both labels weigh the same, however many the sample has of each;
     then the logit is shifted by the log odds of the labels in all the data.
@@ -116,7 +129,7 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], shares: tuple[float
     rng = np.random.Generator(np.random.PCG64(seed))
     n = 1 << SLOT_BITS
     shift = float(np.log((shares[1] + 1) / (shares[0] + 1)))
-    if len({label for label, _, _ in samples}) < 2:
+    if len({label for label, _ in samples}) < 2:
         return Model(np.zeros((n, WIDTH), np.float32), np.zeros((2, WIDTH), np.float32), shift)
     vectors = rng.uniform(-0.5, 0.5, (n, WIDTH)).astype(np.float32) / WIDTH
     layer = rng.uniform(-0.5, 0.5, (2, WIDTH)).astype(np.float32)
@@ -125,7 +138,7 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], shares: tuple[float
     for epoch in range(EPOCHS):
         order, step = rng.permutation(len(samples)), STEP * (1 - epoch / EPOCHS)
         for s in range(0, len(order), BATCH):
-            some = [samples[k] for k in order[s : s + BATCH]]
+            some = [(samples[k][0], *unpacked(samples[k][1])) for k in order[s : s + BATCH]]
             slots = np.concatenate([x[1] for x in some])
             length = np.array([len(x[1]) for x in some])
             doc = np.repeat(np.arange(len(some)), length)
@@ -173,15 +186,14 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, see
             for first, last, data, bounds in words.runs(batch.column(1)):
                 slots, ends = features(data, bounds)
                 for a, b in zip(ends[:-1], ends[1:], strict=True):
-                    own, count = np.unique(slots[a:b], return_counts=True)
-                    rows.append((own.astype(np.int32).tobytes(), count.astype(np.int32).tobytes()))
-            columns = [batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "slots", "counts"])
+                    rows.append(packed(*np.unique(slots[a:b], return_counts=True)).tobytes())
+            columns = [batch.column(0), batch.column(2), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "features"])
 
     kind = dict(sample.dtypes)["doc_id"]
-    found = sample.mapInArrow(tidy(featured), f"doc_id {kind}, label int, slots binary, counts binary").dropDuplicates(["doc_id"]).collect()
+    found = sample.mapInArrow(tidy(featured), f"doc_id {kind}, label int, features binary").dropDuplicates(["doc_id"]).collect()
     found.sort(key=lambda r: (r["label"], r["doc_id"]))
-    samples = [(r["label"], np.frombuffer(r["slots"], np.int32), np.frombuffer(r["counts"], np.int32).astype(np.float32)) for r in found]
+    samples = [(r["label"], np.frombuffer(r["features"], np.uint32)) for r in found]
     del found
     return train(samples, (counted.get(0, 0), counted.get(1, 0)), seed)
 

@@ -322,6 +322,13 @@ def test_labels_odds_count_once(spark):
         assert quality.scored(docs, quality.fit(docs, labels, per_class=most)).first().score == pytest.approx(400 / 440, abs=0.02)
 
 
+def test_sample_is_2000_of_a_label_and_packs_any_count(spark):
+    assert quality.PER_CLASS == 2000
+    slots, counts = np.array([0, 5, 9, (1 << quality.SLOT_BITS) - 1]), np.array([1, quality._MOST, quality._MOST + 1, 5 * quality._MOST + 3])
+    own, number = quality.unpacked(quality.packed(slots, counts))
+    assert {k: number[own == k].sum() for k in slots} == dict(zip(slots.tolist(), counts.tolist(), strict=True))
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, label int"))
