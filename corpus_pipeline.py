@@ -48,9 +48,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids) of every document of the mix."""
-    rows = pieces.encoded(docs, queries.vocabulary("piece_bpe_32k.model"), verify=False)
-    return rows.select("doc_id", "lang", "source", "n_tokens", "ids")
+    """(doc_id, lang, source, n_tokens, ids, decoded) of every document of the mix; ``decoded`` says whether the ids give the text back."""
+    rows = pieces.encoded(docs, queries.vocabulary("piece_bpe_32k.model"))
+    return rows.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded")
 
 
 STAGES = [
@@ -58,7 +58,7 @@ STAGES = [
     ("MinHash near-dedup", without_near_duplicates),
     ("secret scans", without_secrets),
     ("mixing sources", mixed_sources),
-    ("SentencePiece encoding", encoded_pieces),
+    ("SentencePiece encoding and decoding", encoded_pieces),
 ]
 
 

@@ -278,3 +278,14 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         none = stage(spark, none, str(tmp_path))
     assert none.count() == 0
+
+
+def test_pipeline_says_which_texts_come_back(spark):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline as pipeline
+
+    rows = [(1, "Plain words here.", "en", "a"), (2, "a space mark \u2581 itself", "en", "a"), (3, None, "en", "a"), (4, "", "en", "a")]
+    name, last = pipeline.STAGES[-1]
+    assert "decoding" in name
+    found = last(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "").collect()
+    assert {r.doc_id: r.decoded for r in found} == {1: True, 2: False, 3: True, 4: True}
