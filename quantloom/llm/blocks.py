@@ -20,27 +20,35 @@ from .runtime import written
 MOST_BROADCAST = 1 << 20
 
 
-def dealt(rows: DataFrame, bucket: str, member: str, block: int) -> DataFrame:
+def dealt(rows: DataFrame, bucket: str, member: str, block: int, alike: str | None = None) -> DataFrame:
     """``rows`` with ``part``, ``lot`` and ``side``, partitioned and sorted by group (bucket, part, lot).
 
     A bucket of up to ``block`` rows is one group. A larger one has its members hashed into blocks;
     every row goes to a group with each block of its bucket. ``side`` is -1 where all pairs of a
     group are to be compared, else the row's block, and pairs across sides are.
+
+    ``alike`` names a boolean column: rows that have it true need not meet each other. They get
+    blocks of their own, and a group for each block of the others only, so that few rows among very
+    many that are alike cost copies of the few.
     """
-    full = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    full = written(full.select(bucket, F.ceil(F.col("n") / block).cast("int").alias("blocks")), "full-buckets")
+    same = F.coalesce(F.col(alike), F.lit(False)) if alike else F.lit(False)
+    full = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("k")).where(F.col("n") > block)
+    listed = [F.ceil(F.col("k") / block).cast("int").alias("first"), F.ceil((F.col("n") - F.col("k")) / block).cast("int").alias("rest")]
+    full = written(full.select(bucket, *listed), "full-buckets")
     n = full.count()
     zero, alone = F.lit(0).cast("int"), F.lit(-1).cast("int")
     if not n:
         out = rows.select("*", zero.alias("part"), zero.alias("lot"), alone.alias("side"))
     else:
-        listed = F.broadcast(full) if n <= MOST_BROADCAST else full
-        joined = rows.join(listed, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        joined = joined.withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
-        joined = joined.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+        split = rows.join(F.broadcast(full) if n <= MOST_BROADCAST else full, bucket, "left")
+        hashed = F.xxhash64(member)
+        own = F.when(same, F.pmod(hashed, F.col("first"))).otherwise(F.col("first") + F.pmod(hashed, F.col("rest"))).cast("int")
+        others = F.sequence(F.when(same, F.col("first")).otherwise(zero), F.col("first") + F.col("rest") - 1)
+        split = split.withColumn("own", F.when(F.col("first").isNull(), zero).otherwise(own))
+        split = split.withColumn("other", F.explode(F.when(F.col("first").isNull(), F.array(zero)).when(same & (F.col("rest") == 0), F.array().cast("array<int>")).otherwise(others)))
         low, high = F.least("own", "other"), F.greatest("own", "other")
         side = F.when(low == high, alone).otherwise(F.col("own"))
-        out = joined.select(*rows.columns, low.alias("part"), high.alias("lot"), side.alias("side"))
+        out = split.select(*rows.columns, low.alias("part"), high.alias("lot"), side.alias("side"))
     return out.repartition(bucket, "part", "lot").sortWithinPartitions(bucket, "part", "lot")
 
 

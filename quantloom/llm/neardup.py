@@ -154,7 +154,9 @@ def _candidates(rows: pa.Table, a: int, b: int, bands: np.ndarray, similarity: f
     pair = np.triu((root[:, None] != root) & ((side < 0) | (side[:, None] != side)) & (small * 100 >= large * round(similarity * 100)), 1)
     if not pair.any():
         return pair
-    differ = sum(np.bitwise_count(column[f"s{k}"][:, None] ^ column[f"s{k}"]).astype(np.int64) for k in range(4))
+    # numpy counts the bits of a signed number's absolute value, so the words are taken as unsigned
+    signed = [column[f"s{k}"].view(np.uint64) for k in range(4)]
+    differ = sum(np.bitwise_count(s[:, None] ^ s).astype(np.int64) for s in signed)
     pair &= differ <= _most_differing(similarity)
     own = bands[a:b]
     for k in range(int(column["band"][0])):
@@ -185,14 +187,16 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 def _crossing(shared: DataFrame, found: DataFrame, classes: DataFrame, documents: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links (u, v) between different components of ``found`` whose members share a bucket.
 
-    Members of one bucket are compared in the bucket's own task, a large bucket's in blocks: first
-    by signature, to learn which members need their texts, then on the full sets. What a task emits
+    Members of one bucket are compared in the bucket's own task, a large bucket's in blocks, in which
+    the members of its most frequent component meet the others but not each other: first by signature, to learn which members need their texts, then on the full sets. What a task emits
     are members and, of the links it finds, stars; never pairs.
     """
     placed = shared.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("root"))
     apart = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     marks = classes.select("id", "n_shingles", "s0", "s1", "s2", "s3", "bands")
-    placed = placed.join(apart, "bucket").join(marks, "id")
+    placed = placed.join(apart, "bucket")
+    most = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    placed = placed.join(most, "bucket").withColumn("alike", F.col("root") == F.col("most")).drop("most").join(marks, "id")
     placed = written(placed.withColumn("band", (F.array_position("bands", F.col("bucket")) - 1).cast("int")), "apart")
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +208,7 @@ def _crossing(shared: DataFrame, found: DataFrame, classes: DataFrame, documents
                 some[a:b] = pair.any(0) | pair.any(1)
             yield from rows.select(["bucket", "id"]).filter(pa.array(some)).combine_chunks().to_batches()
 
-    needed = blocks.dealt(placed, "bucket", "id", BLOCK).mapInArrow(tidy(flag), "bucket long, id long").distinct()
+    needed = blocks.dealt(placed, "bucket", "id", BLOCK, alike="alike").mapInArrow(tidy(flag), "bucket long, id long").distinct()
     needed = written(needed, "needed")
     texts = _texts_of(needed.select(F.col("id").alias("doc_id")), documents)
     full = placed.join(needed, ["bucket", "id"]).join(texts, F.col("id") == F.col("doc_id")).drop("doc_id")
@@ -227,7 +231,7 @@ def _crossing(shared: DataFrame, found: DataFrame, classes: DataFrame, documents
                 names, root = blocks.roots(ids, i, np.concatenate(other))
                 yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(names)], names=["u", "v"])
 
-    return blocks.dealt(full, "bucket", "id", BLOCK).mapInArrow(tidy(compare), "u long, v long").where("u <> v").distinct()
+    return blocks.dealt(full, "bucket", "id", BLOCK, alike="alike").mapInArrow(tidy(compare), "u long, v long").where("u <> v").distinct()
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -91,6 +91,28 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"), similarity=0.95)
 
 
+OP5_SQL = r"""
+with recursive listed as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w
+         else list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) end as s
+  from listed),
+class as (select min(doc_id) as id, list_sort(s) as s, len(s) as n from sets where len(s) > 0 group by list_sort(s), len(s)),
+items as (select id, n, unnest(s) as item from class),
+links as (
+  select a.id as a, b.id as b from items a join items b on a.item = b.item and a.id <> b.id
+    and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.id, b.id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached as (select id as node, id as other from class union select r.node, l.b from reached r join links l on l.a = r.other),
+groups as (select node, min(other) as component from reached group by 1),
+placed as (
+  select t.doc_id, cast(len(t.s) as bigint) as n_shingles, coalesce(g.component, t.doc_id) as component_id
+  from sets t left join class c on c.s = list_sort(t.s) and len(t.s) > 0 left join groups g on g.node = c.id)
+select doc_id, n_shingles, component_id, coalesce(doc_id = component_id, true) as kept from placed
+"""
+
 OP9_SQL = r"""
 with sized as (
   select doc_id, source, coalesce(text, '') as body, cast(doc_id as varchar) as id,
@@ -153,4 +175,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
-SQL: dict[str, str] = {"op9_mixing": OP9_SQL, "op10_embedding_near_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op5_minhash_near_dedup": OP5_SQL, "op9_mixing": OP9_SQL, "op10_embedding_near_dedup": OP10_SQL}

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,47 @@ def test_near_duplicates_equal_brute_force(spark, size, monkeypatch):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in found.items())
 
 
+def test_signatures_are_compared_unsigned():
+    """Words whose top bits differ are one bit apart each, and a pair that close is a candidate."""
+    rows = {"root": [1, 2], "side": [-1, -1], "n_shingles": [50, 50], "band": [0, 0], "s0": [0, -(2**63) + 1], "s1": [3, -(2**63)], "s2": [-7, -7], "s3": [0, -(2**63) + 6]}
+    table = pa.table({name: pa.array(column, pa.int64()) for name, column in rows.items()})
+    pair = neardup._candidates(table, 0, 2, np.zeros((2, neardup.BANDS), np.int64), 0.8)
+    assert pair.tolist() == [[False, True], [False, False]]
+
+
+def test_families_whose_links_cross_components(spark):
+    """Families of texts around a lost centre, most of whose links are found among a bucket's members only."""
+    rnd = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = rnd.choices(vocabulary, k=90)
+        for _ in range(42):
+            own = list(base)
+            for k in rnd.sample(range(90), 5):
+                own[k] = rnd.choice(vocabulary)
+            texts.append(" ".join(own))
+    rnd.shuffle(texts)
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).collect()}
+    sets = {i: shingles_of(t, 2) for i, t in enumerate(texts)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert found == grouped(sets, links)
+
+
+def test_alike_rows_meet_the_others_only(spark):
+    rows = spark.range(60).select("id", F.lit(0).alias("bucket"), (F.col("id") % 20 != 0).alias("alike"))
+    groups = defaultdict(list)
+    for r in dealt(rows, "bucket", "id", 12, alike="alike").collect():
+        groups[r.bucket, r.part, r.lot].append((r.id, r.side))
+    met = Counter()
+    for members in groups.values():
+        for i, (a, sa) in enumerate(members):
+            for b, sb in members[i + 1 :]:
+                if sa < 0 or sa != sb:
+                    met[min(a, b), max(a, b)] += 1
+    assert set(met.values()) == {1} and set(met) == {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 20 == 0 or b % 20 == 0}
+
+
 def test_rows_without_id_and_repeated_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, "q r s t u v w"), (3, "a b c d e f"), (4, "q r s t u v w")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
