@@ -1,387 +1,441 @@
-"""Language-model scoring with a hierarchical Pitman-Yor model.
-
-A token is predicted from the token before it, or the text's start.
-
-- Contexts: each word context is a restaurant whose dishes are the training tokens after it. It
-  backs off to parents that all contexts share.
-- Classes: the parents predict in two steps, the token's class given the context's class and then
-  the token given its class; classes are a fixed number of hash buckets of tokens. Each context
-  class is a restaurant over classes; these share one parent whose base is uniform.
-- Tokens: each class is a restaurant whose dishes are the training tokens in it. Half of its base
-  stands for an unknown token, half is uniform over the known ones.
-
-Seating is by Chinese-restaurant Gibbs sweeps: a sweep empties each dish of each restaurant and
-seats its customers again, each at an old table or, with the parent's probability of the dish, at
-a new one, which sends a customer to the parent. Within a sweep the dishes of a restaurant know
-each other's tables as the sweep before left them. Probabilities are averaged over the sweeps after
-burn-in. Levels are swept in turn: the parents over one table per dish of each context, the
-contexts with the parents as they are, and the parents again over the contexts' last tables.
-Together the outcomes' probabilities add up to one over all known tokens and one unknown per class.
-
-Pairs (context, token) are counted over all training documents by a shuffle. A pair seen once has
-one table in any seating; the others are gathered by context and seated. For scoring, documents
-are dealt into blocks; a block asks for the numbers of its distinct tokens and pairs, which are
-joined to the model's table by a shuffle and sent back to it. Only class counts, bounded by the
-number of classes, come to the driver.
+"""Language-model scoring with a hierarchical Pitman-Yor model of word trigrams.
+
+A token is predicted from the two tokens before it. Each two words that occur one after the other
+are a context restaurant whose dishes are the training tokens after them; a new table sends a
+customer to the restaurant of the nearer word alone, which all those contexts share, and a new
+table there sends one to the root restaurant of all tokens, whose base is uniform over the known
+tokens and one unknown. Seating is sampled by Gibbs sweeps (``seating``), with discounts from the
+numbers of dishes with one and two customers and sampled concentrations; after burn-in,
+predictive probabilities are averaged over sweeps. They add up to one over the known tokens and one
+unknown.
+
+How it is spread: a nearer word's restaurant and all contexts that share it are in one slice, so
+both levels are sampled together inside a task. Words that are very frequent have several
+restaurants, dealt by the word before them, of about ``HOT`` customers each. The root's dishes are
+dealt over slices of their own. Slices first sample under a root of their own making, from their own
+dishes, and send their tables to the common root; that one is sampled, and the slices sample again
+under it, which gives the probabilities.
+
+What moves: documents are packed into blocks; a block asks for each of its distinct tokens and then
+for each of its distinct trigrams once, with the number of times it trains on it, and the answers come back in
+the order asked. So counting and scoring are one exchange, and its size grows with the distinct
+trigrams of blocks. Tokens are numbered by falling frequency (in each of the slices that number
+them), so that packed numbers are short. Only totals and the list of very frequent words, of
+``MOST_HOT`` at most, come to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks
+from . import packets, seating
 from . import text as words
-from .runtime import tidy, written
+from .runtime import discard, release_shuffles, tidy, written
 
-CLASS_BITS = 9
-CLASSES = 1 << CLASS_BITS
 BURN_IN, SAMPLES = 2, 4
-CONCENTRATION = 1.0
-#: Text bytes per scoring block.
-BLOCK_BYTES = 16 << 20
+#: Text bytes of a block, text bytes for each slice of tokens, and tokens for each slice of contexts.
+BLOCK_BYTES, TOKEN_BYTES, SLICE_TOKENS = 16 << 20, 32 << 20, 1 << 21
+#: Customers of one restaurant of a nearer word; a more frequent word has several.
+HOT = 1 << 19
+MOST_HOT = 1 << 20
 #: The end token's identity.
 END = np.uint64(0x5851F42D4C957F2D)
-#: The context at a text's start.
-START = np.uint64(0x14057B7EF767814F)
-_HELD = 1 << 21
-#: Repeated pairs that are seated at a time.
-_PORTION = 1 << 18
-
-
-def class_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+#: Numbers of an unknown token and of the place before a text's first; known tokens follow.
+UNKNOWN, START, FIRST = 0, 1, 2
+#: Scores travel as whole numbers of this part of a power of ten.
+PARTS = 8192
+_ROW, _ANSWER, _COUNT, _KINDS, _FREQUENT, _LOST, _OPEN = range(7)
+_FIXED = 1 << 20
 
 
 def tokens_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes of all texts of a run, number of tokens before each text and in all): words, then one end per text."""
-    hashed, before, _ = words.words(data, bounds)
-    n = len(bounds) - 1
-    out = np.full(len(hashed) + n, END, np.uint64)
-    out[np.arange(len(hashed)) + np.repeat(np.arange(n), np.diff(before))] = hashed
-    return out, before + np.arange(n + 1)
+    """(token hashes of all texts, number of tokens before each text and in all): words, then one end per text."""
+    parts, ends, i, n = [], [np.zeros(1, np.int64)], 0, len(bounds) - 1
+    total = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + words.RUN_BYTES, side="right")) - 1)
+        hashed, before, _ = words.words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+        out = np.full(len(hashed) + j - i, END, np.uint64)
+        out[np.arange(len(hashed)) + np.repeat(np.arange(j - i), np.diff(before))] = hashed
+        parts.append(out)
+        ends.append(total + before[1:] + np.arange(1, j - i + 1))
+        total, i = total + len(out), j
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate(ends).astype(np.int64)
+
+
+def _coded(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first row of each distinct row in ascending order, number of each row's distinct row)."""
+    key = columns[0]
+    for k, column in enumerate(columns[1:]):
+        span = int(column.max()) + 1 if len(column) else 1
+        if k or (int(key.max()) + 1 if len(key) else 1) * span >= 1 << 63:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * span + column
+    _, first, code = np.unique(key, return_index=True, return_inverse=True)
+    return first, code
+
+
+def contexts_of(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the token before each token, the one before that); ``START`` before a text's first."""
+    near, far = np.empty_like(ids), np.empty_like(ids)
+    near[1:], far[2:] = ids[:-1], ids[:-2]
+    first = bounds[:-1]
+    near[first] = far[first] = START
+    second = first + 1
+    far[second[second < bounds[1:]]] = START
+    return near, far
 
 
-def contexts_of(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The token before each token; ``START`` at a text's start."""
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[bounds[:-1]] = START
-    return out
-
+@dataclass
+class Spread:
+    """How contexts are dealt over slices."""
+
+    slices: int
+    hot: np.ndarray
+    parts: np.ndarray
+
+    def slice_of(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        part = np.zeros(len(near), np.uint64)
+        if len(self.hot) and len(near):
+            at = np.minimum(np.searchsorted(self.hot, near), len(self.hot) - 1)
+            some = self.hot[at] == near
+            part[some] = words.mixed(far[some].view(np.uint64)) % self.parts[at[some]].astype(np.uint64)
+        return (words.mixed(words.mixed(near.view(np.uint64)) ^ part) % np.uint64(self.slices)).astype(np.int64)
+
+    def trigrams(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """([near, token, far] of each distinct trigram by slice and in ascending order, where each token's is, bounds of slices)."""
+        near, far = contexts_of(ids, bounds)
+        first, code = _coded(near, ids, far)
+        rows = [near[first], ids[first], far[first]]
+        home = self.slice_of(rows[0], rows[2])
+        order = np.argsort(home, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return [r[order] for r in rows], place[code], np.searchsorted(home[order], np.arange(self.slices + 1))
+
+
+# -- packing documents and numbering tokens
+
+
+def _block(documents: list[tuple], ids: int) -> tuple[int, int, int, bytes]:
+    doc, none, train, length, data = (np.concatenate(x) for x in zip(*documents, strict=True))
+    return ids, _ROW, 0, packets.pack(doc, none, train, length, data)
+
+
+def _blocks(parts: int):
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = TaskContext.get().partitionId()
+
+        def rows() -> Iterator[tuple]:
+            held, size, n = [], 0, 0
+            for batch in batches:
+                train = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64)
+                none = batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+                for a, b, data, bounds in words.runs(batch.column(2), BLOCK_BYTES):
+                    held.append((doc[a:b], none[a:b], train[a:b], np.diff(bounds), data))
+                    size += len(data) + 16 * (b - a)
+                    if size >= BLOCK_BYTES:
+                        yield _block(held, own + parts * n)
+                        held, size, n = [], 0, n + 1
+            if held:
+                yield _block(held, own + parts * n)
+
+        yield from packets.batches_of(rows())
+
+    return block
+
+
+def _opened(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc ids, whether they are null, whether to train, token hashes, bounds of texts) of a block."""
+    doc, none, train, length, data = packets.unpack(payload)
+    tokens, bounds = tokens_of(data.astype(np.uint8), np.concatenate(([0], np.cumsum(length))))
+    return doc, none, train, tokens, bounds
+
+
+def _ask_tokens(slices: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for block, _, _, payload in packets.rows_of(batches):
+                _, _, train, tokens, bounds = _opened(payload)
+                names, code = np.unique(tokens, return_inverse=True)
+                counts = np.bincount(code, np.repeat(train, np.diff(bounds)), len(names)).astype(np.int64)
+                home = ((names >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+                cuts = np.searchsorted(home, np.arange(slices + 1, dtype=np.uint64))
+                for s in np.flatnonzero(np.diff(cuts)).tolist():
+                    a, b = cuts[s], cuts[s + 1]
+                    yield s, _ROW, block, packets.pack(packets.steps(names[a:b]), counts[a:b])
+
+        yield from packets.batches_of(rows())
+
+    return ask
+
+
+def _number_tokens(slices: int):
+    """Answer blocks with tokens' numbers and counts; add the totals of the slice."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for own, asked in packets.groups_of(batches):
+                opened = [packets.unpack(payload) for _, _, payload in asked]
+                names, code = np.unique(np.concatenate([np.cumsum(x.view(np.uint64)) for x, _ in opened]), return_inverse=True)
+                count = np.bincount(code, np.concatenate([n for _, n in opened]), len(names)).astype(np.int64)
+                ids = np.full(len(names), UNKNOWN, np.int64)
+                known = np.flatnonzero(count)
+                ids[known[np.lexsort((names[known], -count[known]))]] = FIRST + own + slices * np.arange(len(known))
+                at = 0
+                for (_, block, _), (x, _) in zip(asked, opened, strict=True):
+                    own_code = code[at : at + len(x)]
+                    yield block, _ANSWER, own, packets.pack(ids[own_code], count[own_code])
+                    at += len(x)
+                yield -1, _COUNT, int(count.sum()), None
+                yield -1, _KINDS, len(known), None
+                for k in np.flatnonzero(count > HOT).tolist():
+                    yield int(ids[k]), _FREQUENT, int(count[k]), None
+
+        yield from packets.batches_of(rows())
+
+    return number
+
+
+def _encode(n: int, v: int):
+    """Blocks in numbers: documents, their tokens, known tokens and base scores, and all tokens' numbers."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for block, found in packets.groups_of(batches):
+                doc, none, train, tokens, bounds = _opened(found[0][2])
+                answers = [packets.unpack(payload) for _, _, payload in found[1:]]
+                ids, count = (np.concatenate(x) for x in zip(*answers, strict=True))
+                code = np.unique(tokens, return_inverse=True)[1]
+                base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
+                sums = [np.add.reduceat(x[code], bounds[:-1]) for x in ((count > 0).astype(np.int64), base)]
+                yield block, _ROW, 0, packets.pack(doc, none, train, np.diff(bounds), sums[0], sums[1].view(np.int64), ids[code])
 
-def context_class(contexts: np.ndarray) -> np.ndarray:
-    return np.where(contexts == START, CLASSES, class_of(contexts))
+        yield from packets.batches_of(rows())
 
+    return encode
+
+
+# -- contexts
+
+
+def _ask_trigrams(spread: Spread):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for block, _, _, payload in packets.rows_of(batches):
+                _, _, train, length, _, _, ids = packets.unpack(payload)
+                (near, token, far), place, cuts = spread.trigrams(ids, np.concatenate(([0], np.cumsum(length))))
+                n = np.bincount(place, np.repeat(train, length), len(near)).astype(np.int64)
+                for s in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = slice(cuts[s], cuts[s + 1])
+                    yield s, _ANSWER, block, packets.pack(packets.steps(near[own]), token[own], far[own], n[own])
+
+        yield from packets.batches_of(rows())
+
+    return ask
+
+
+class Contexts:
+    """The restaurants of a slice, from all that blocks have asked of it."""
 
-def pair_of(contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """A pair's identity, as ``_pair_column`` has it."""
-    return contexts ^ ((tokens << np.uint64(21)) | (tokens >> np.uint64(43)))
+    def __init__(self, asked: list[list[np.ndarray]]) -> None:
+        near = np.concatenate([np.cumsum(a[0]) for a in asked])
+        token, far, n = (np.concatenate([a[k] for a in asked]) for k in (1, 2, 3))
+        first, self.code = _coded(near, token, far)
+        near, token, far = near[first], token[first], far[first]
+        n = np.bincount(self.code, n, len(near)).astype(np.int64)
+        pair, self.of = _coded(near, token)
+        self.names, self.token = np.unique(token[pair], return_inverse=True)
+        restaurants, group = _coded(near, far)
+        heads, head = np.unique(near[pair], return_inverse=True)
+        self.lower = seating.Level(n, group, len(restaurants))
+        self.upper = seating.Level(np.bincount(self.of, n > 0, len(pair)), head, len(heads))
+
+    def sweep(self, root: np.ndarray, rng: np.random.Generator) -> None:
+        """One sweep under the root's probabilities of ``names``."""
+        seating.two_levels(self.upper, self.lower, self.of, root[self.token], rng)
+
+    def sent(self) -> np.ndarray:
+        """Customers at the root for each of ``names``."""
+        return np.bincount(self.token, self.upper.tables, len(self.names)).astype(np.int64)
+
+    def averaged(self, root: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Each trigram's averaged probability."""
+        mean = np.zeros(len(self.of))
+        for sweep in range(BURN_IN + SAMPLES):
+            self.sweep(root, rng)
+            if sweep >= BURN_IN:
+                mean += self.lower.predicted(self.upper.predicted(root[self.token])[self.of])
+        return mean / SAMPLES
 
 
-def _pair_column() -> Column:
-    return F.col("context").bitwiseXOR(F.shiftleft("key", 21).bitwiseOR(F.shiftrightunsigned("key", 43)))
+def _generator(stage: int, seed: int, own: int) -> np.random.Generator:
+    return np.random.Generator(np.random.PCG64([stage, seed, own]))
+
+
+def _root_slice(ids: np.ndarray, slices: int) -> np.ndarray:
+    return (words.mixed(ids.view(np.uint64)) % np.uint64(slices)).astype(np.int64)
+
+
+def _send_tables(seed: int, root_slices: int, v: int):
+    """Sample each slice under a root of its own and send the tables to the common one."""
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for own, asked in packets.groups_of(batches):
+                here, rng = Contexts([packets.unpack(payload) for _, _, payload in asked]), _generator(1, seed, own)
+                for _ in range(BURN_IN):
+                    customers = here.sent()
+                    here.sweep((customers + 0.5) / (customers.sum() + 0.5 * (v + 1)), rng)
+                tables, home = here.sent(), _root_slice(here.names, root_slices)
+                for r in np.unique(home).tolist():
+                    k = home == r
+                    yield r, _ROW, own, packets.pack(packets.steps(here.names[k]), tables[k])
 
-def _class_column(name: str) -> Column:
-    return F.shiftrightunsigned(name, 64 - CLASS_BITS).cast("int")
+        yield from packets.batches_of(rows())
 
+    return send
 
-def seat_each(customers: np.ndarray, chance: np.ndarray, others: np.ndarray, discount: float, growth: float, draw: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
-    """Tables per dish after its customers are seated one after the other.
 
-    Customer j + 1 opens a table with probability o / (o + j - discount * tables of the dish), where
-    o = (others + growth * tables of the dish) * chance. As this falls with j while no table opens, the
-    next opening is sought by jumps at the present probability, thinned by what it has fallen to.
-    ``draw`` gives numbers in (0, 1] for dishes and a step.
-    """
-    tables = (customers > 0).astype(np.int64)
-    at = np.flatnonzero(customers > 1)
-    j, step = np.ones(len(at)), 0
-    while len(at):
-        now = tables[at]
-        weight = (others[at] + growth * now) * chance[at]
-        old = j - discount * now
-        to = j + np.floor(np.log(draw(at, step)) / np.log1p(-weight / (weight + old)))
-        some = to < customers[at]
-        at, now, weight, old, j, to = (x[some] for x in (at, now, weight, old, j, to))
-        tables[at] += draw(at, step + 1) * (weight + to - discount * now) <= weight + old
-        j, step = to + 1, step + 2
-        rest = j < customers[at]
-        at, j = at[rest], j[rest]
-    return tables
-
-
-def seat(customers: np.ndarray, chance: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator, growth: float = 0.0) -> np.ndarray:
-    """``seat_each`` with numbers from ``rng``; ``opening`` is the restaurant's concentration plus discount times tables, those of the dish left out if ``growth`` adds them as they open."""
-    return seat_each(customers, chance, opening, discount, growth, lambda at, step: 1 - rng.random(len(at)))
-
-
-def discount_of(counts: np.ndarray) -> float:
-    """From the numbers of dishes with one and two customers."""
-    return _discount(int((counts == 1).sum()), int((counts == 2).sum()))
-
-
-def _discount(one: int, two: int) -> float:
-    return float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one + two else 0.5
-
-
-def class_model(counts: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Averaged predictive probabilities, a row per context, from counts of the same shape."""
-    rng = np.random.Generator(np.random.PCG64([7, seed]))
-    total = counts.sum(1, keepdims=True)
-    below, above = discount_of(counts), 0.5
-    tables = (counts > 0).astype(np.int64)
-    top_tables = (tables.sum(0) > 0).astype(np.int64)
-    uniform, mean = 1.0 / counts.shape[1], np.zeros(counts.shape)
-    for sweep in range(BURN_IN + SAMPLES):
-        top = tables.sum(0)
-        others = CONCENTRATION + above * (top_tables.sum() - top_tables)
-        top_tables = seat(top, np.full(len(top), uniform), others, above, rng, above)
-        above = discount_of(top)
-        parent = (top - above * top_tables + (CONCENTRATION + above * top_tables.sum()) * uniform) / (CONCENTRATION + top.sum())
-        others = CONCENTRATION + below * (tables.sum(1, keepdims=True) - tables)
-        tables = seat(counts.ravel(), np.broadcast_to(parent, counts.shape).ravel(), others.ravel(), below, rng, below).reshape(counts.shape)
-        if sweep >= BURN_IN:
-            mean += (counts - below * tables + (CONCENTRATION + below * tables.sum(1, keepdims=True)) * parent) / (CONCENTRATION + total)
-    return mean / SAMPLES
-
-
-def token_model(counts: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
-    """(averaged probability of each known token of a class, that of an unknown one)."""
-    rng = np.random.Generator(np.random.PCG64([11, seed]))
-    n = len(counts)
-    if not n:
-        return np.zeros(0), 1.0
-    discount, base, total = discount_of(counts), 0.5 / n, counts.sum()
-    tables, mean, unknown = np.ones(n, np.int64), np.zeros(n), 0.0
+def root_masses(customers: np.ndarray, slices: int, v: int, seed: int, own: int) -> tuple[np.ndarray, float, float]:
+    """(customers less discounted tables of each dish of a slice of the root, all discounted tables, the concentration), averaged."""
+    rng, level = _generator(2, seed, own), seating.Level(customers, np.zeros(len(customers), np.int64), 1)
+    mass, lost, concentration = np.zeros(len(customers)), 0.0, 0.0
+    base = np.full(len(customers), 1.0 / (v + 1))
     for sweep in range(BURN_IN + SAMPLES):
-        others = CONCENTRATION + discount * (tables.sum() - tables)
-        tables = seat(counts, np.full(n, base), others, discount, rng, discount)
-        opening = CONCENTRATION + discount * tables.sum()
-        if sweep >= BURN_IN:
-            mean += (counts - discount * tables + opening * base) / (CONCENTRATION + total)
-            unknown += opening * 0.5 / (CONCENTRATION + total)
-    return mean / SAMPLES, unknown / SAMPLES
-
-
-def context_model(pairs: np.ndarray, group: np.ndarray, counts: np.ndarray, once: np.ndarray, chance: np.ndarray, discount: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tables at the last sweep, average tables) of each repeated pair of whole contexts.
-
-    ``group`` numbers the contexts, ``once`` has the number of a context's pairs that occur once, one table
-    each, and ``chance`` the parents' probability of the pair's token.
-    """
-    tables, mean = np.ones(len(counts), np.int64), np.zeros(len(counts))
-    start = words.mixed(pairs ^ np.uint64(seed))
-    for sweep in range(BURN_IN + SAMPLES):
-
-        def draw(at: np.ndarray, step: int, sweep: int = sweep) -> np.ndarray:
-            own = words.mixed(start[at] ^ words.mixed(np.array([(sweep << 40) + step], np.uint64)))
-            return ((own >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
-
-        total = once + np.bincount(group, tables)[group]
-        tables = seat_each(counts, chance, CONCENTRATION + discount * (total - tables), discount, discount, draw)
+        level.opened *= slices  # the other slices' tables, taken to be as many as here
+        level.sweep(base, rng)
+        level.opened = np.array([level.tables.sum()])
         if sweep >= BURN_IN:
-            mean += tables
-    return tables, mean / SAMPLES
-
-
-def _merged(keys: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    contexts, tokens = (np.concatenate(x) for x in zip(*keys, strict=True))
-    _, first, place = np.unique(pair_of(contexts, tokens), return_index=True, return_inverse=True)
-    return (contexts[first], tokens[first]), np.bincount(place, np.concatenate(counts)).astype(np.int64)
-
-
-def _counts(documents: DataFrame) -> DataFrame:
-    """(kind, context, key, n) over documents (train, text): kind 1 pairs of training texts, kind 2 bytes of all texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, numbers, held, size = [], [], 0, 0
-
-        def rows(kind: int, key: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.array(np.full(len(n), kind, np.int32)), *(pa.array(k.view(np.int64)) for k in key), pa.array(n)]
-            return pa.RecordBatch.from_arrays(columns, names=["kind", "context", "key", "n"])
-
-        for batch in batches:
-            size += int(np.ptp(words.utf8(batch.column(1))[1]))
-            texts = batch.column(1).filter(batch.column(0))
-            for _, _, data, bounds in words.runs(texts):
-                tokens, ends = tokens_of(data, bounds)
-                key, n = _merged([(contexts_of(tokens, ends), tokens)], [np.ones(len(tokens))])
-                keys.append(key)
-                numbers.append(n)
-                held += len(n)
-                if held > _HELD:
-                    key, n = _merged(keys, numbers)
-                    keys, numbers, held = [key], [n], len(n)
-                    if held > _HELD // 2:
-                        yield rows(1, key, n)
-                        keys, numbers, held = [], [], 0
-        if keys:
-            yield rows(1, *_merged(keys, numbers))
-        yield rows(2, (np.zeros(1, np.int64), np.zeros(1, np.int64)), np.array([size]))
-
-    counted = documents.select("train", "text").mapInArrow(tidy(count), "kind int, context long, key long, n long")
-    return counted.groupBy("kind", "context", "key").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class LanguageModel:
-    """Numbers of the training tokens and texts, the context discount, the class model, and a table.
-
-    The table's rows (pair, key, c, x, y) are the known tokens, with x the log10 probability given
-    their class and y their tables as contexts, and the known pairs, with x their customers less the
-    discount of their tables.
-    """
-
-    train_tokens: int
-    distinct: int
-    text_bytes: int
-    discount: float
-    starts: tuple[float, float]
-    classes: np.ndarray
-    unknown: np.ndarray
-    table: DataFrame
-
-
-def _learned(tokens: DataFrame, seed: int) -> DataFrame:
-    """(class, key, c, logp) from (key, c, n): the known tokens given their class, n customers each; an unknown one has c = 0."""
-
-    def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key")
-        probability, unknown = token_model(group["n"].to_numpy(), int(key[0]) * 1_000_003 + seed)
-        known = pd.DataFrame({"class": int(key[0]), "key": group["key"].to_numpy(), "c": group["c"].to_numpy(), "logp": np.log10(probability)})
-        return pd.concat([known, pd.DataFrame({"class": [int(key[0])], "key": [0], "c": [0], "logp": [np.log10(unknown)]})])
-
-    return written(tokens.select("key", "c", "n", _class_column("key").alias("class")).groupBy("class").applyInPandas(learn, "class int, key long, c long, logp double"), "token-model")
-
-
-def _class_pairs(pairs: DataFrame, *numbers: Column) -> list[np.ndarray]:
-    """Sums of ``numbers`` by context class and class."""
-    above = F.when(F.col("context") == int(START.view(np.int64)), CLASSES).otherwise(_class_column("context"))
-    out = [np.zeros((CLASSES + 1, CLASSES), np.int64) for _ in numbers]
-    for r in pairs.groupBy(above.alias("a"), _class_column("key").alias("b")).agg(*[F.sum(n).alias(f"n{k}") for k, n in enumerate(numbers)]).collect():
-        for k, held in enumerate(out):
-            held[r["a"], r["b"]] = r[f"n{k}"]
-    return out
-
-
-def fit(documents: DataFrame, seed: int = 0) -> LanguageModel:
-    """Learn from the texts of ``documents`` (train boolean, text) whose ``train`` is true; a null text is empty."""
-    counted = written(_counts(documents), "pair-counts")
-    size = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    pairs = counted.where("kind = 1").select("context", "key", "n")
-    once, one = F.when(F.col("n") == 1, 1).otherwise(0), F.lit(1)
-    tokens = written(pairs.groupBy("key").agg(F.sum("n").alias("c"), F.count(one).alias("first"), F.sum(once).alias("once")), "token-counts")
-    contexts = written(pairs.groupBy("context").agg(F.sum("n").alias("c"), F.sum(once).alias("once")), "context-counts")
-    total = tokens.agg(F.sum("c").alias("n"), F.count(one).alias("keys")).first()
-    rare = {r["n"]: r["k"] for r in pairs.where("n < 3").groupBy("n").agg(F.count(one).alias("k")).collect()}
-    discount = _discount(rare.get(1, 0), rare.get(2, 0))
-    first, single = _class_pairs(pairs, one, once)
-    classes = np.log10(class_model(first, seed))
-    parents = _learned(tokens.select("key", "c", F.col("first").alias("n")), seed)
-
-    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, cuts in blocks.whole_groups(batches, "context", _PORTION):
-            context, key, n, own, logp = (rows.column(k).to_numpy() for k in ("context", "key", "n", "once", "logp"))
-            above, below = context.view(np.uint64), key.view(np.uint64)
-            group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-            chance = 10.0 ** (classes[context_class(above), class_of(below)] + logp)
-            last, mean = context_model(pair_of(above, below), group, n, own, chance, discount, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (context, key, n, last, mean)], names=["context", "key", "n", "tables", "mean"])
-
-    zero = F.lit(0).cast("int")
-    repeated = pairs.where("n > 1").join(parents.where("c > 0").select("key", "logp"), "key").join(contexts.select("context", "once"), "context")
-    repeated = repeated.select("context", "key", "n", "once", "logp", zero.alias("part"), zero.alias("lot")).repartition("context").sortWithinPartitions("context", "key")
-    seats = written(repeated.mapInArrow(tidy(seated), "context long, key long, n long, tables long, mean double"), "pair-tables")
-    classes = np.log10(class_model(single + _class_pairs(seats, F.col("tables"))[0], seed + 1))
-    sent = seats.groupBy("key").agg(F.sum("tables").alias("more"))
-    parents = _learned(tokens.join(sent, "key", "left").select("key", "c", (F.col("once") + F.coalesce("more", F.lit(0))).alias("n")), seed + 1)
-    unknown = np.zeros(CLASSES)
-    for r in parents.where("c = 0").collect():
-        unknown[r["class"]] = r["logp"]
-    opened = seats.groupBy("context").agg(F.sum("mean").alias("more"))
-    opened = contexts.join(opened, "context", "left").select("context", "c", (F.col("once") + F.coalesce("more", F.lit(0.0))).alias("y"))
-    start = opened.where(F.col("context") == int(START.view(np.int64))).first()
-    known = parents.where("c > 0").join(opened.select(F.col("context").alias("key"), "y"), "key", "left")
-    known = known.select(F.lit(False).alias("pair"), "key", "c", F.col("logp").alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
-    nothing = F.lit(0).cast("long").alias("c")
-    singles = pairs.where("n = 1").select(F.lit(True).alias("pair"), _pair_column().alias("key"), nothing, F.lit(1 - discount).alias("x"), F.lit(0.0).alias("y"))
-    others = seats.select(F.lit(True).alias("pair"), _pair_column().alias("key"), nothing, (F.col("n") - discount * F.col("mean")).alias("x"), F.lit(0.0).alias("y"))
-    return LanguageModel(
-        int(total["n"] or 0), int(total["keys"]), int(size), discount, (float(start["c"]), float(start["y"])) if start else (0.0, 0.0), classes, unknown, known.unionByName(singles).unionByName(others)
-    )
-
-
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, pair, key) for each distinct token and pair of each block in the task."""
-    held: dict[tuple[int, bool], list[np.ndarray]] = {}
-    for batch in batches:
-        block = batch.column(0).to_numpy()
-        for name in np.unique(block):
-            for _, _, data, bounds in words.runs(batch.column(3).filter(pa.array(block == name))):
-                tokens, ends = tokens_of(data, bounds)
-                for pair, key in ((False, tokens), (True, pair_of(contexts_of(tokens, ends), tokens))):
-                    own = held.setdefault((int(name), pair), [])
-                    own.append(np.unique(key))
-                    if sum(map(len, own)) > _HELD:
-                        held[int(name), pair] = [np.unique(np.concatenate(own))]
-    for (name, pair), own in held.items():
-        key = np.unique(np.concatenate(own))
-        columns = [pa.array(np.full(len(key), name, np.int32)), pa.array(np.full(len(key), pair)), pa.array(key.view(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, names=["block", "pair", "key"])
-
-
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def scored(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """Per row of ``documents`` (doc_id, held_out, text) the columns of ``_SCORES``.
-
-    Null and empty texts are one end token; texts are scored whole; repeated rows score alike; a
-    null doc_id stays null; an empty table gives an empty result.
+            mass += customers - level.discount * level.tables
+            lost += level.discount * float(level.tables.sum())
+            concentration += level.concentration
+    return mass / SAMPLES, lost / SAMPLES, concentration / SAMPLES
+
+
+def _seat_root(seed: int, root_slices: int, v: int):
+    """Answer context slices with the root's masses; add totals."""
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for own, asked in packets.groups_of(batches):
+                opened = [packets.unpack(payload) for _, _, payload in asked]
+                names, code = np.unique(np.concatenate([np.cumsum(x) for x, _ in opened]), return_inverse=True)
+                customers = np.bincount(code, np.concatenate([n for _, n in opened]), len(names)).astype(np.int64)
+                mass, lost, concentration = root_masses(customers, root_slices, v, seed, own)
+                bits = mass.astype(np.float32).view(np.uint32)
+                at = 0
+                for (_, source, _), (x, _) in zip(asked, opened, strict=True):
+                    yield source, _ROW, own, packets.pack(bits[code[at : at + len(x)]])
+                    at += len(x)
+                yield -1, _COUNT, int(customers.sum()), None
+                for kind, amount in ((_LOST, lost), (_OPEN, concentration / root_slices)):
+                    yield -1, kind, round(amount * _FIXED), None
+
+        yield from packets.batches_of(rows())
+
+    return seat
+
+
+def _answer_trigrams(seed: int, root_slices: int, opening: float, total: float, v: int):
+    """Sample each slice under the common root and answer blocks with their trigrams' log10 probabilities."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for own, found in packets.groups_of(batches):
+                asked = [(block, packets.unpack(payload)) for kind, block, payload in found if kind == _ANSWER]
+                here, rng = Contexts([a for _, a in asked]), _generator(3, seed, own)
+                home, root = _root_slice(here.names, root_slices), np.zeros(len(here.names))
+                for kind, r, payload in found:
+                    if kind == _ROW:
+                        root[home == r] = packets.unpack(payload)[0].astype(np.uint32).view(np.float32)
+                root = (root + opening / (v + 1)) / total
+                score = np.rint(-PARTS * np.log10(here.averaged(root, rng))).astype(np.int64)
+                at = 0
+                for block, a in asked:
+                    yield block, _ANSWER, own, packets.pack(score[here.code[at : at + len(a[0])]])
+                    at += len(a[0])
+
+        yield from packets.batches_of(rows())
+
+    return answer
+
+
+_SCORES = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+
+
+def _add_up(spread: Spread, n: int):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in packets.groups_of(batches):
+            doc, none, train, length, known, base, ids = packets.unpack(found[0][2])
+            bounds = np.concatenate(([0], np.cumsum(length)))
+            _, place, _ = spread.trigrams(ids, bounds)
+            answers = np.concatenate([packets.unpack(payload)[0] for _, _, payload in found[1:]])
+            score = -np.add.reduceat(answers[place], bounds[:-1]) / PARTS
+            columns = [pa.array(doc, mask=none.astype(bool)), pa.array(train.astype(bool)), pa.array(length), pa.array(known), pa.array(np.full(len(doc), n))]
+            columns += [pa.array(base.view(np.float64)), pa.array(score), pa.array(10.0 ** np.minimum(-score / length, 300.0))]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCORES.split(", ")])
+
+    return add
+
+
+def _totals(rows: DataFrame) -> dict[int, int]:
+    return {r["kind"]: r["n"] for r in rows.where("to = -1").groupBy("kind").agg(F.sum("source").alias("n")).collect()}
+
+
+def scored(documents: DataFrame, seed: int = 0) -> DataFrame:
+    """Per row of ``documents`` (doc_id, train, text): doc_id, train, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+
+    Tokens are words, runs of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased, and one end
+    per text. The model learns from rows whose ``train`` is true (null: false). ``base_score`` is the
+    sum over tokens of log10((c + 0.5) / (N + 0.5 * (V + 1))), ``score`` the model's log10 probability of
+    the text, ``perplexity`` 10 ** (-score / n_tokens).
+
+    A null or empty text, or one without words, is one end token. A null doc_id stays null. Repeated
+    rows score alike, and each of them trains. Texts are worked on whole, however long. An
+    empty table gives an empty result, and without training rows every token is unknown. Columns other than
+    the three are not read, whatever their names. The result doesn't depend on the rows' order or
+    partitions.
     """
-    blocks = max(1, -(-model.text_bytes // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("int")
-    dealt = documents.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").repartition(blocks, "block")
-    asked = dealt.mapInArrow(tidy(_blocked), "block int, pair boolean, key long")
-    answers = asked.join(model.table, ["pair", "key"]).select("block", "pair", "key", "c", "x", "y")
-    n, v = model.train_tokens, model.distinct
-    classes, unknown, discount, (starts, start_tables) = model.classes, model.unknown, model.discount, model.starts
-
-    def sorted_(rows: pd.DataFrame, *names: str) -> list[np.ndarray]:
-        key = rows["key"].to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        return [np.append(key[order], np.uint64(2**64 - 1)), *(np.append(rows[k].to_numpy()[order], 0) for k in names)]
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        paired = right["pair"].to_numpy(bool)
-        key, count, logp, tables = sorted_(right[~paired], "c", "x", "y")
-        pair, mass = sorted_(right[paired], "x")
-        out = np.zeros((4, len(left)))
-        for first, last, data, bounds in words.runs(pa.array(left["text"], pa.large_string())):
-            tokens, ends = tokens_of(data, bounds)
-            own, place = np.unique(tokens, return_inverse=True)
-            at = np.searchsorted(key, own)
-            known = key[at] == own
-            c = np.where(known, count[at], 0)[place]
-            base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-            kind, contexts = class_of(tokens), contexts_of(tokens, ends)
-            parent = classes[context_class(contexts), kind] + np.where(known, logp[at], 0.0)[place] + np.where(c > 0, 0.0, unknown[kind])
-            customers, opened = np.empty(len(c)), np.empty(len(c))
-            customers[1:], opened[1:] = c[:-1], np.where(known, tables[at], 0.0)[place][:-1]
-            customers[ends[:-1]], opened[ends[:-1]] = starts, start_tables
-            asked, where = np.unique(pair_of(contexts, tokens), return_inverse=True)
-            at = np.searchsorted(pair, asked)
-            seen = np.where(pair[at] == asked, mass[at], 0.0)[where]
-            value = np.log10((seen + (CONCENTRATION + discount * opened) * 10.0**parent) / (CONCENTRATION + customers))
-            out[:, first:last] = [np.add.reduceat(x, ends[:-1]) for x in (np.ones(len(c)), c > 0, base, value)]
-        return pd.DataFrame({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": out[0].astype(np.int64), "n_known": out[1].astype(np.int64), "train_tokens": n, "base_score": out[2], "score": out[3]})
-
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, _SCORES)
+    spark = documents.sparkSession
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("train").cast("boolean").alias("train"), "text")
+    parts = rows.rdd.getNumPartitions()
+    blocks = written(rows.mapInArrow(tidy(_blocks(parts)), packets.SCHEMA), "blocks")
+    size = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    size, n_blocks = (size[0] or 0) + 8 * size[1], blocks.count()
+
+    slices = max(1, -(-size // TOKEN_BYTES))
+    asked = packets.gathered(blocks.mapInArrow(tidy(_ask_tokens(slices)), packets.SCHEMA), slices)
+    known = written(asked.mapInArrow(tidy(_number_tokens(slices)), packets.SCHEMA), "tokens")
+    sums = _totals(known)
+    n, v = sums.get(_COUNT, 0), sums.get(_KINDS, 0)
+    found = blocks.unionByName(known.where(F.col("kind") == _ANSWER))
+    coded = written(packets.gathered(found, n_blocks).mapInArrow(tidy(_encode(n, v)), packets.SCHEMA), "numbers")
+    parted = max(HOT, n // MOST_HOT)
+    hot = sorted((r["to"], -(-r["source"] // parted)) for r in known.where((F.col("kind") == _FREQUENT) & (F.col("source") > parted)).collect())
+    for done in (blocks, known):
+        discard(done)
+    del asked, found
+    release_shuffles(spark)
+
+    spread = Spread(max(1, -(-n // SLICE_TOKENS)), *np.array(hot, np.int64).reshape(-1, 2).T.copy())
+    asked = coded.mapInArrow(tidy(_ask_trigrams(spread)), packets.SCHEMA)
+    sent = packets.gathered(asked, spread.slices).mapInArrow(tidy(_send_tables(seed, slices, v)), packets.SCHEMA)
+    root = written(packets.gathered(sent, slices).mapInArrow(tidy(_seat_root(seed, slices, v)), packets.SCHEMA), "root")
+    sums = _totals(root)
+    customers, lost, concentration = sums.get(_COUNT, 0), sums.get(_LOST, 0) / _FIXED, sums.get(_OPEN, _FIXED) / _FIXED
+    del sent
+    release_shuffles(spark)
+
+    both = asked.unionByName(root.where(F.col("kind") == _ROW))
+    answer = _answer_trigrams(seed, slices, lost + concentration, customers + concentration, v)
+    answers = packets.gathered(both, spread.slices).mapInArrow(tidy(answer), packets.SCHEMA)
+    return packets.gathered(coded.unionByName(answers), n_blocks).mapInArrow(tidy(_add_up(spread, n)), _SCORES)

@@ -63,8 +63,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(quality.fold(F.col("doc_id")) == 1, F.lit(False))
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"), (~held_out).alias("train"))
-    return pitman_yor.scored(documents, pitman_yor.fit(documents))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
+    return pitman_yor.scored(documents).withColumn("held_out", ~F.col("train")).drop("train")
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

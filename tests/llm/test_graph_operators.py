@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import lattice, neardup, pitman_yor
+from quantloom.llm import lattice, neardup
 from quantloom.llm.blocks import dealt, roots
 from quantloom.llm.components import components
 
@@ -188,104 +188,6 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert lattice.near_vectors(frame.where("false")).count() == 0
 
 
-# -- language model
-
-
-def test_probabilities_add_up():
-    rng = np.random.default_rng(1)
-    counts = rng.poisson(0.3, (9, 8)) * rng.integers(1, 50, (9, 8))
-    counts[3] = 0
-    assert pitman_yor.class_model(counts).sum(1) == pytest.approx(np.ones(9))
-    known, unknown = pitman_yor.token_model(np.array([1, 1, 5, 900, 2]), 0)
-    assert known.sum() + unknown == pytest.approx(1)
-
-
-def test_seating_stays_between_one_and_all():
-    rng = np.random.default_rng(2)
-    customers = np.array([0, 1, 2, 50, 100_000])
-    tables = pitman_yor.seat(customers, np.full(5, 0.1), np.full(5, 3.0), 0.5, rng)
-    assert tables[0] == 0 and tables[1] == 1 and (tables <= customers).all() and (tables[1:] >= 1).all()
-    mean = np.mean([pitman_yor.seat(np.array([3]), np.array([0.5]), np.array([2.0]), 0.4, rng)[0] for _ in range(4000)])
-    first = 1 / (1 + 1 - 0.4)
-    expected = 1 + first + first * (1 / (1 + 2 - 0.8)) + (1 - first) * (1 / (1 + 2 - 0.4))
-    assert mean == pytest.approx(expected, abs=0.04)
-
-
-def test_scores(spark):
-    rnd = random.Random(4)
-    pattern = ["the cat sat on the mat", "a dog ran in the park", "rain fell all day long"]
-    rows = [(k, " ".join(rnd.choices(pattern, k=6)) + f" u{k}", k % 5 == 1) for k in range(200)] + [(900, None, False), (901, "", True), (None, "The cat", False)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").withColumn("train", ~F.col("held_out"))
-    model = pitman_yor.fit(docs)
-    found = pitman_yor.scored(docs, model).collect()
-    assert len(found) == len(rows)
-    tokens = {i: words_of(t) + [None] for i, t, _ in rows}
-    count = Counter(w for i, _, h in rows if not h for w in tokens[i])
-    n, v = sum(count.values()), len(count)
-    for r in found:
-        own = tokens[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(count[w] > 0 for w in own), n)
-        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own))
-    held = [r for r in found if r.held_out and r.n_tokens > 1]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    shuffled = docs.where("held_out").withColumn("text", F.array_join(F.reverse(F.split("text", " ")), " "))
-    assert sum(r.score for r in pitman_yor.scored(shuffled, model).collect()) < sum(r.score for r in found if r.held_out)
-
-
-def test_word_contexts_are_kept_apart(spark):
-    """Of two words of one class each prefers its own follower."""
-    ours = [f"w{k}" for k in range(4000)]
-    kind = dict(zip(ours, pitman_yor.class_of(pitman_yor.tokens_of(np.frombuffer(" ".join(ours).encode(), np.uint8), np.array([0, len(" ".join(ours))]))[0][:-1]).tolist(), strict=True))
-    groups = defaultdict(list)
-    for w in ours:
-        groups[kind[w]].append(w)
-    one, two = next(g for g in groups.values() if len(g) > 1)[:2]
-    after = [w for w in ours if w not in (one, two)][:40]
-    rows = [(k, f"{one} {after[0]}" if k % 2 else f"{two} {after[1]}", True) for k in range(200)] + [(900 + k, f"{w} {one}", True) for k, w in enumerate(after)]
-    asks = [(2000 + k, f"{c} {w}", False) for k, (c, w) in enumerate((c, w) for c in (one, two) for w in after[:2])]
-    docs = spark.createDataFrame(rows + asks, "doc_id long, text string, train boolean").withColumn("held_out", ~F.col("train"))
-    model = pitman_yor.fit(docs)
-    held = {r.pair: r for r in model.table.groupBy("pair").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
-    assert held[True].x + model.discount * (held[False].y + model.starts[1]) == pytest.approx(model.train_tokens)
-    found = {r.doc_id: r.score for r in pitman_yor.scored(docs, model).collect()}
-    assert found[2000] > found[2001] + 1 and found[2003] > found[2002] + 1
-
-
-def test_seating_one_by_one_has_the_exact_mean():
-    rng = np.random.default_rng(5)
-    customers, chance, others, discount = 300, 0.2, 6.0, 0.6
-    exact = np.zeros(customers + 2)
-    exact[1] = 1
-    for j in range(1, customers):
-        t = np.arange(customers + 2)
-        o = (others + discount * t) * chance
-        p = np.where(t > 0, o / (o + np.maximum(j - discount * t, 1e-9)), 0)
-        exact = exact * (1 - p) + np.concatenate(([0], (exact * p)[:-1]))
-    n = 6000
-    tables = pitman_yor.seat_each(np.full(n, customers), np.full(n, chance), np.full(n, others), discount, discount, lambda at, step: 1 - rng.random(len(at)))
-    assert tables.mean() == pytest.approx(exact @ np.arange(customers + 2), abs=4 * tables.std() / n**0.5)
-
-
-def test_frequent_dishes_are_seated_without_lots():
-    """The mean number of tables of a frequent dish is that of its customers coming one after the other."""
-    rng = np.random.default_rng(6)
-    customers, weight, discount = 400, 4.0, 0.5
-    exact = np.zeros(customers + 2)
-    exact[1] = 1
-    for j in range(1, customers):
-        p = weight / (weight + np.maximum(j - discount * np.arange(customers + 2), 1e-9))
-        p[0] = 0
-        exact = exact * (1 - p) + np.concatenate(([0], (exact * p)[:-1]))
-    n = 20_000
-    tables = pitman_yor.seat(np.full(n, customers), np.full(n, 0.5), np.full(n, 2 * weight), discount, rng)
-    assert tables.mean() == pytest.approx(exact @ np.arange(customers + 2), abs=4 * tables.std() / n**0.5)
-
-
-def test_language_model_without_rows(spark):
-    docs = spark.createDataFrame([], "doc_id long, text string, held_out boolean, train boolean")
-    assert pitman_yor.scored(docs, pitman_yor.fit(docs)).count() == 0
-
-
 # -- pipeline
 
 
