@@ -12,13 +12,17 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import written
+
 #: Row numbers are dealt in this many buckets of a content hash; their counts are the only table that is broadcast.
 BUCKETS = 4096
-#: A run of identical rows is numbered in pieces of this many rows.
+#: Rows that occur more often than this are numbered in pieces of as many.
 PIECE = 4096
+#: A list of rows that occur more often than that is broadcast up to this length (16 bytes each); a longer one is joined by shuffling.
+MOST_BROADCAST = 1 << 20
 ROUNDS = 6
 
 
@@ -59,32 +63,46 @@ def permute(numbers: np.ndarray, n: int, seed: int, back: bool = False) -> np.nd
     return out.astype(np.int64)
 
 
+def _identity(columns: list[Column]) -> list[Column]:
+    """Two 64-bit hashes of a row; which columns are null is hashed too, as hashes pass over nulls."""
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    return [F.xxhash64(F.lit(seed), nulls, *columns).alias(name) for seed, name in ((1, "__h"), (2, "__i"))]
+
+
 def numbered(rows: DataFrame, name: str = "row_number") -> DataFrame:
     """``rows`` with a global number from 0 without gaps; a column called ``name`` is replaced.
 
-    The numbers depend on the rows' contents alone, not on how they are partitioned: a row's
-    bucket is a hash of all its columns, and within a bucket distinct rows are sorted. Identical
-    rows form a run with neighbouring numbers; runs are counted before the shuffle and expanded in
-    pieces after it, so a row that is repeated very often is no burden to one task.
+    The numbers depend on the rows' contents alone, not on how they are partitioned. Rows are counted
+    by two 64-bit hashes of all their columns; hashes are dealt into buckets, sorted within a bucket
+    and numbered, so all that is sorted are hashes and counts. Each row then finds its number by its
+    hashes, which moves whole rows once. Identical rows have neighbouring numbers. Of rows that
+    occur more than ``PIECE`` times one stands for all, counted before it is moved, and its numbers
+    are dealt out in pieces, so a row that is repeated very often is no burden to one task.
     """
     rows = rows.drop(name)
-    columns = rows.columns
-    hashed = [F.col(f"`{c}`") for c in columns]
-    runs = rows.groupBy(*hashed).agg(F.count(F.lit(1)).alias("__n"))
-    runs = runs.withColumn("__b", F.pmod(F.xxhash64(*hashed), F.lit(BUCKETS)))
-    sizes = runs.groupBy("__b").agg(F.sum("__n").alias("__n"))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    hashed = rows.select(*columns, *_identity(columns))
+    runs = hashed.groupBy("__h", "__i").agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", F.pmod("__h", F.lit(BUCKETS)))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"), F.sum("__n").over(Window.partitionBy()).alias("__total"))
-    within = Window.partitionBy("__b").orderBy(*[c.asc_nulls_first() for c in hashed]).rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("__first", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-    runs = runs.join(F.broadcast(starts), "__b").withColumn("__first", F.col("__first") + F.col("__s"))
-    short = runs.where(F.col("__n") <= PIECE).withColumn("__piece", F.lit(0).cast("long"))
-    long = runs.where(F.col("__n") > PIECE).withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("__n") - 1) / PIECE).cast("long"))))
-    pieces = short.unionByName(long.repartition("__first", "__piece"))
+    sizes = runs.groupBy("__b").agg(F.sum("__n").alias("__m"))
+    starts = sizes.select("__b", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__s"), F.sum("__m").over(Window.partitionBy()).alias("__total"))
+    within = Window.partitionBy("__b").orderBy("__h", "__i").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__first", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(F.broadcast(starts), "__b")
+    runs = written(runs.select("__h", "__i", "__n", (F.col("__first") + F.col("__s")).alias("__first"), "__total"), "row-numbers")
+
+    found = hashed.join(runs.where(F.col("__n") <= PIECE).hint("merge"), ["__h", "__i"])
+    copy = F.row_number().over(Window.partitionBy("__h", "__i").orderBy(*[c.asc_nulls_first() for c in columns])) - 1
+    short = found.select(*columns, (F.col("__first") + copy).alias(name), "__total")
+    frequent = runs.where(F.col("__n") > PIECE)
+    listed = frequent.count()
+    if not listed:
+        return short
+    often = hashed.join(F.broadcast(frequent.select("__h", "__i")) if listed <= MOST_BROADCAST else frequent.select("__h", "__i"), ["__h", "__i"], "left_semi")
+    often = often.groupBy("__h", "__i").agg(F.min(F.struct(*columns)).alias("__row")).join(frequent, ["__h", "__i"])
+    pieces = often.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("__n") - 1) / PIECE).cast("long"))))
     last = F.least(F.col("__n"), (F.col("__piece") + 1) * PIECE) - 1
-    return pieces.withColumn("__k", F.explode(F.sequence(F.col("__piece") * PIECE, last))).select(
-        *hashed, (F.col("__first") + F.col("__k")).alias(name), F.col("__total").alias("__total")
-    )
+    spread = pieces.repartition("__first", "__piece").withColumn("__k", F.explode(F.sequence(F.col("__piece") * PIECE, last)))
+    return short.unionByName(spread.select("__row.*", (F.col("__first") + F.col("__k")).alias(name), "__total"))
 
 
 def shard_rows(rows: DataFrame, shards: int, seed: int = 0) -> DataFrame:
