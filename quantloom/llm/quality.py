@@ -28,6 +28,8 @@ _MOST = (1 << (32 - SLOT_BITS)) - 1
 #: Labelled documents per class that are trained on, those with the smallest hashes of doc_id: the documented bound of the sample.
 PER_CLASS = 2000
 EPOCHS, BATCH, STEP = 8, 32, 0.25
+#: Text bytes worked on at a time; a feature takes some 40 bytes while it is made.
+_RUN_BYTES = 1 << 18
 
 
 def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,12 +42,12 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """
     n = len(bounds) - 1
     hashed, before, _ = words.words(data, bounds)
-    slots = [(hashed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+    slots = [(hashed >> np.uint64(64 - SLOT_BITS)).astype(np.int32)]
     counts = [np.diff(before)]
     inner = np.ones(max(0, len(hashed) - 1), bool)
     inner[before[(before > 0) & (before < len(hashed))] - 1] = False  # not across texts
     pairs = words.mixed(hashed[:-1] ^ hashed[1:])[inner]
-    slots.append((pairs >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+    slots.append((pairs >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
     counts.append(np.maximum(0, np.diff(before) - 1))
     padded = np.full(len(data) + n + 1, 0x20, np.uint32)
     start = bounds + np.arange(n + 1)
@@ -54,7 +56,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     solid = padded != 0x20
     for size, factor in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
         if len(padded) < size:
-            slots.append(np.zeros(0, np.int64))
+            slots.append(np.zeros(0, np.int32))
             counts.append(np.zeros(n, np.int64))
             continue
         whole = solid[1 : len(padded) - size + 2].copy()
@@ -67,11 +69,11 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 code = (code << np.uint32(8)) | padded[at + k]
             code = (code ^ (code >> np.uint32(15))) * np.uint32(factor)
             code = (code ^ (code >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-        slots.append((code >> np.uint32(32 - SLOT_BITS)).astype(np.int64))
+        slots.append((code >> np.uint32(32 - SLOT_BITS)).astype(np.int32))
         counts.append(np.diff(np.searchsorted(at, start)))
     per = np.array(counts)
     ends = np.concatenate(([0], np.cumsum(per.sum(0))))
-    out = np.empty(ends[-1], np.int64)
+    out = np.empty(ends[-1], np.int32)
     shift = ends[:-1].copy()
     for own, number in zip(slots, per, strict=True):
         own_ends = np.concatenate(([0], np.cumsum(number)))
@@ -95,7 +97,7 @@ class Model:
     def logits(self, texts: pa.Array, table: np.ndarray | None = None) -> np.ndarray:
         table = self.table() if table is None else table
         out = np.zeros(len(texts))
-        for first, last, data, bounds in words.runs(texts):
+        for first, last, data, bounds in words.runs(texts, _RUN_BYTES):
             slots, ends = features(data, bounds)
             total = np.concatenate(([0.0], np.cumsum(table[slots], dtype=np.float64)))
             out[first:last] = (total[ends[1:]] - total[ends[:-1]]) / np.maximum(1, np.diff(ends))
@@ -169,7 +171,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, see
     """Train on up to ``per_class`` documents of each label.
 
     ``labels`` holds (doc_id, label 0 or 1); rows with a null are left out, and a doc_id labelled
-    both ways counts as 0. Label shares are counted over all of ``labels``. What comes to the driver
+    both ways counts as 0. Of several texts of one doc_id the one with the least hash is taken. Label shares are counted over all of ``labels``. What comes to the driver
     are the sample's features, bounded by ``per_class``.
     """
     known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
@@ -178,20 +180,21 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, see
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = documents.select("doc_id", "text", F.xxhash64("text").alias("first")).join(F.broadcast(chosen), "doc_id")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for first, last, data, bounds in words.runs(batch.column(1)):
+            for first, last, data, bounds in words.runs(batch.column(1), _RUN_BYTES):
                 slots, ends = features(data, bounds)
                 for a, b in zip(ends[:-1], ends[1:], strict=True):
                     rows.append(packed(*np.unique(slots[a:b], return_counts=True)).tobytes())
-            columns = [batch.column(0), batch.column(2), pa.array(rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "features"])
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "first", "label", "features"])
 
     kind = dict(sample.dtypes)["doc_id"]
-    found = sample.mapInArrow(tidy(featured), f"doc_id {kind}, label int, features binary").dropDuplicates(["doc_id"]).collect()
+    rows = sample.mapInArrow(tidy(featured), f"doc_id {kind}, first long, label int, features binary")
+    found = rows.groupBy("doc_id", "label").agg(F.min_by("features", F.struct("first", "features")).alias("features")).collect()
     found.sort(key=lambda r: (r["label"], r["doc_id"]))
     samples = [(r["label"], np.frombuffer(r["features"], np.uint32)) for r in found]
     del found
