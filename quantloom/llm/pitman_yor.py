@@ -41,7 +41,7 @@ from .runtime import discard, release_shuffles, tidy, written
 
 BURN_IN, SAMPLES = 2, 4
 #: Text bytes of a block, text bytes for each slice of tokens, and tokens for each slice of contexts.
-BLOCK_BYTES, TOKEN_BYTES, SLICE_TOKENS = 16 << 20, 32 << 20, 1 << 21
+BLOCK_BYTES, TOKEN_BYTES, SLICE_TOKENS = 8 << 20, 32 << 20, 1 << 20
 #: Customers of one restaurant of a nearer word; a more frequent word has several.
 HOT = 1 << 19
 MOST_HOT = 1 << 20
@@ -70,16 +70,25 @@ def tokens_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate(ends).astype(np.int64)
 
 
+def _bits(numbers: np.ndarray) -> int:
+    return int(numbers.max()).bit_length() if len(numbers) else 0
+
+
 def _coded(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the first row of each distinct row in ascending order, number of each row's distinct row)."""
-    key = columns[0]
-    for k, column in enumerate(columns[1:]):
-        span = int(column.max()) + 1 if len(column) else 1
-        if k or (int(key.max()) + 1 if len(key) else 1) * span >= 1 << 63:
-            key = np.unique(key, return_inverse=True)[1]
-        key = key * span + column
-    _, first, code = np.unique(key, return_index=True, return_inverse=True)
-    return first, code
+    """(place of the first row of each distinct row in ascending order, rank of each row among them)."""
+    key, places = columns[0], len(columns[0]).bit_length()
+    for column in columns[1:]:
+        if _bits(key) + _bits(column) + places > 63:
+            key = packets.ranked(key)[1]
+        if _bits(key) + _bits(column) + places > 63:
+            column = packets.ranked(column)[1]
+        key = (key << _bits(column)) | column
+    return packets.ranked(key)
+
+
+def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first, rank = packets.ranked(numbers)
+    return numbers[first], rank
 
 
 def contexts_of(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +124,7 @@ class Spread:
         first, code = _coded(near, ids, far)
         rows = [near[first], ids[first], far[first]]
         home = self.slice_of(rows[0], rows[2])
-        order = np.argsort(home, kind="stable")
+        order = np.sort((home << len(home).bit_length()) | np.arange(len(home))) & ((1 << len(home).bit_length()) - 1)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         return [r[order] for r in rows], place[code], np.searchsorted(home[order], np.arange(self.slices + 1))
@@ -165,7 +174,7 @@ def _ask_tokens(slices: int):
         def rows() -> Iterator[tuple]:
             for block, _, _, payload in packets.rows_of(batches):
                 _, _, train, tokens, bounds = _opened(payload)
-                names, code = np.unique(tokens, return_inverse=True)
+                names, code = _distinct(tokens)
                 counts = np.bincount(code, np.repeat(train, np.diff(bounds)), len(names)).astype(np.int64)
                 home = ((names >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
                 cuts = np.searchsorted(home, np.arange(slices + 1, dtype=np.uint64))
@@ -185,7 +194,7 @@ def _number_tokens(slices: int):
         def rows() -> Iterator[tuple]:
             for own, asked in packets.groups_of(batches):
                 opened = [packets.unpack(payload) for _, _, payload in asked]
-                names, code = np.unique(np.concatenate([np.cumsum(x.view(np.uint64)) for x, _ in opened]), return_inverse=True)
+                names, code = _distinct(np.concatenate([np.cumsum(x.view(np.uint64)) for x, _ in opened]))
                 count = np.bincount(code, np.concatenate([n for _, n in opened]), len(names)).astype(np.int64)
                 ids = np.full(len(names), UNKNOWN, np.int64)
                 known = np.flatnonzero(count)
@@ -214,7 +223,7 @@ def _encode(n: int, v: int):
                 doc, none, train, tokens, bounds = _opened(found[0][2])
                 answers = [packets.unpack(payload) for _, _, payload in found[1:]]
                 ids, count = (np.concatenate(x) for x in zip(*answers, strict=True))
-                code = np.unique(tokens, return_inverse=True)[1]
+                code = packets.ranked(tokens)[1]
                 base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
                 sums = [np.add.reduceat(x[code], bounds[:-1]) for x in ((count > 0).astype(np.int64), base)]
                 yield block, _ROW, 0, packets.pack(doc, none, train, np.diff(bounds), sums[0], sums[1].view(np.int64), ids[code])
@@ -253,9 +262,9 @@ class Contexts:
         near, token, far = near[first], token[first], far[first]
         n = np.bincount(self.code, n, len(near)).astype(np.int64)
         pair, self.of = _coded(near, token)
-        self.names, self.token = np.unique(token[pair], return_inverse=True)
+        self.names, self.token = _distinct(token[pair])
         restaurants, group = _coded(near, far)
-        heads, head = np.unique(near[pair], return_inverse=True)
+        heads, head = _distinct(near[pair])
         self.lower = seating.Level(n, group, len(restaurants))
         self.upper = seating.Level(np.bincount(self.of, n > 0, len(pair)), head, len(heads))
 
@@ -328,7 +337,7 @@ def _seat_root(seed: int, root_slices: int, v: int):
         def rows() -> Iterator[tuple]:
             for own, asked in packets.groups_of(batches):
                 opened = [packets.unpack(payload) for _, _, payload in asked]
-                names, code = np.unique(np.concatenate([np.cumsum(x) for x, _ in opened]), return_inverse=True)
+                names, code = _distinct(np.concatenate([np.cumsum(x) for x, _ in opened]))
                 customers = np.bincount(code, np.concatenate([n for _, n in opened]), len(names)).astype(np.int64)
                 mass, lost, concentration = root_masses(customers, root_slices, v, seed, own)
                 bits = mass.astype(np.float32).view(np.uint32)

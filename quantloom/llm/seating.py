@@ -55,7 +55,7 @@ def concentration_of(now: float, discount: float, customers: np.ndarray, tables:
 
 def _weights(i: np.ndarray, opening: np.ndarray, discount: float, num: np.ndarray, den: np.ndarray, step: float) -> np.ndarray:
     """log of the weight of one more table when the dish has i."""
-    return np.log(opening + discount * i) + np.log(num + step * i) - np.log(den + step * i)
+    return np.log((opening + discount * i) * ((num + step * i) / (den + step * i)))
 
 
 def _listed(customers: np.ndarray, ways: np.ndarray, opening: np.ndarray, discount: float, num: np.ndarray, den: np.ndarray, step: float, rng: np.random.Generator) -> np.ndarray:
@@ -88,7 +88,7 @@ def _smooth(customers: np.ndarray, opening: np.ndarray, discount: float, num: np
         return np.interp(np.log(c / t), ratio, g) - np.log(t) + _weights(t, o, discount, a, b, step)
 
     low, high = np.zeros(len(customers)), np.log(customers.astype(float))
-    for _ in range(50):
+    for _ in range(28):
         middle = (low + high) / 2
         up = more(np.exp(middle)) > 0
         low, high = np.where(up, middle, low), np.where(up, high, middle)
@@ -126,11 +126,13 @@ def tables_of(customers: np.ndarray, opening: np.ndarray, discount: float, num:
 
 def turns_of(group: np.ndarray) -> np.ndarray:
     """The turn of each dish: its place among its group's, modulo ``TURNS``."""
+    if not len(group):
+        return group
     order = np.argsort(group, kind="stable")
     new = np.ones(len(order), bool)
     new[1:] = group[order][1:] != group[order][:-1]
     place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else 0
+    place[order] = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
     return place % TURNS
 
 
@@ -165,7 +167,7 @@ class Level:
         """Give dishes ``k`` new tables; returns the change of each."""
         change = tables - self.tables[k]
         self.tables[k] = tables
-        self.opened += np.bincount(self.group[k], change, self.groups).astype(np.int64)
+        np.add.at(self.opened, self.group[k], change)
         return change
 
     def sweep(self, parent: np.ndarray, rng: np.random.Generator) -> None:
@@ -194,8 +196,8 @@ def two_levels(upper: Level, lower: Level, of: np.ndarray, root: np.ndarray, rng
         den = upper.concentration + upper.total[head] - own
         opening = lower.concentration + lower.discount * (lower.opened[lower.group[k]] - own)
         change = lower.place(k, tables_of(lower.customers[k], opening, lower.discount, num, den, 1.0, ways, rng))
-        upper.customers += np.bincount(q, change, len(upper.customers)).astype(np.int64)
-        upper.total += np.bincount(head, change, upper.groups).astype(np.int64)
+        np.add.at(upper.customers, q, change)
+        np.add.at(upper.total, head, change)
     lower.draw_concentration(rng)
     upper.tables = np.minimum(np.maximum(upper.tables, upper.customers > 0), upper.customers)
     upper.recount()
