@@ -310,22 +310,33 @@ def kalman_trend(values: Sequence[float], level_noise: float, slope_noise: float
     return out
 
 
-def bocpd(values: Sequence[float], hazard: float, longest: int = 200) -> list[int]:
-    """The likeliest run length after each value, normal-gamma model, run lengths up to ``longest``."""
-    prob, out = np.array([1.0]), []
-    mu, kappa, alpha, beta = (np.array([v]) for v in (0.0, 1.0, 1.0, 1.0))
+def bocpd(values: Sequence[float | None], hazard: float, prior_variance: float = 4.0, variance: float = 1.0, recent: int = 2) -> list[tuple[int, float] | None]:
+    """Online change points of a Gaussian mean: (likeliest run length, probability of a run of at most ``recent``) after each value.
+
+    The observation variance is known and the mean of a run has a normal prior around zero. Run lengths are
+    not cut, so the state grows by one number per value. A missing value gives null and begins anew.
+    """
+    out: list[tuple[int, float] | None] = []
+    log_run = np.zeros(0)
+    precision = total = np.zeros(0)
     for x in values:
-        scale = np.sqrt(beta * (kappa + 1) / (alpha * kappa))
-        lg = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in alpha])
-        density = np.exp(lg - (alpha + 0.5) * np.log1p(((x - mu) / scale) ** 2 / (2 * alpha))) / (np.sqrt(2 * alpha * math.pi) * scale)
-        grown, cut = prob * density * (1 - hazard), float((prob * density * hazard).sum())
-        prob = np.concatenate(([cut], grown))[: longest + 1]
-        prob /= prob.sum()
-        mu, kappa, alpha, beta = (
-            np.concatenate(([0.0], (kappa * mu + x) / (kappa + 1)))[: longest + 1], np.concatenate(([1.0], kappa + 1))[: longest + 1],
-            np.concatenate(([1.0], alpha + 0.5))[: longest + 1], np.concatenate(([1.0], beta + kappa * (x - mu) ** 2 / (2 * (kappa + 1))))[: longest + 1],
-        )
-        out.append(int(prob.argmax()))
+        if x is None or math.isnan(x):
+            log_run = np.zeros(0)
+            out.append(None)
+            continue
+        if not len(log_run):
+            log_run, precision, total = np.zeros(1), np.full(1, 1 / prior_variance), np.zeros(1)
+        spread = variance + 1 / precision
+        seen = log_run - 0.5 * (np.log(2 * math.pi * spread) + (x - total / precision) ** 2 / spread)
+        top = seen.max()
+        cut = top + math.log(np.exp(seen - top).sum()) + math.log(hazard)
+        log_run = np.concatenate(([cut], seen + math.log1p(-hazard)))
+        log_run -= log_run.max()
+        log_run -= math.log(np.exp(log_run).sum())
+        # a run that begins now knows the prior only; the others have learned from x
+        precision = np.concatenate(([1 / prior_variance], precision + 1 / variance))
+        total = np.concatenate(([0.0], total + x / variance))
+        out.append((int(log_run.argmax()), float(np.exp(log_run[: recent + 1]).sum())))
     return out
 
 

@@ -222,6 +222,17 @@ def common_factor(returns: np.ndarray) -> tuple[float, np.ndarray]:
     return float(value[-1] / value.sum()), first
 
 
+def hmm_filter(x: np.ndarray, move: np.ndarray, mean: np.ndarray, var: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities of each state given the rows so far, under a model that was fitted elsewhere; ``start`` is those before the first row."""
+    log = -0.5 * (np.log(2 * np.pi * var).sum(1) + (np.square(x[:, None] - mean) / var).sum(2))
+    like = np.exp(log - log.max(1, keepdims=True))
+    out, before = np.empty((len(x), len(mean))), np.full(len(mean), 1 / len(mean)) if start is None else start
+    for t in range(len(x)):
+        a = (before @ move) * like[t]
+        before = out[t] = a / a.sum()
+    return out
+
+
 def hmm_fit(x: np.ndarray, states: int = 3, sweeps: int = 20, stay: float = 0.9, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(transitions, means, variances, filtered state probabilities) of a diagonal Gaussian hidden Markov model by fixed EM sweeps."""
     n, width = x.shape

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extra, further, market, report, sequence, studies
+from . import extra, further, market, proofs, report, sequence, studies
 
 FLAGSHIP = "breakout_summary"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**market.QUERIES, **report.QUERIES, **sequence.QUERIES, **further.QUERIES, **studies.QUERIES, **extra.QUERIES}
-SQL: dict[str, str] = {**market.SQL, **report.SQL, **sequence.SQL, **further.SQL, **studies.SQL, **extra.SQL}
+SQL: dict[str, str] = {**market.SQL, **report.SQL, **sequence.SQL, **further.SQL, **studies.SQL, **extra.SQL, **proofs.PROOFS}

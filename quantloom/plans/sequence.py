@@ -36,6 +36,13 @@ def _per_symbol(spark, sf_dir, schema: str, function):
     return sequential.series(four_hourly(spark, sf_dir), "symbol", ["open_ms"], run, "symbol string, open_ms long, " + schema)
 
 
+def _settled(rows, places: int, *names: str):
+    """Doubles rounded to digits that don't hang on the order of additions."""
+    for name in names:
+        rows = rows.withColumn(name, F.round(name, places))
+    return rows
+
+
 def _nullable(values):
     return pd.array([pd.NA if v is None else int(v) for v in values], dtype="Int64")
 
@@ -75,7 +82,7 @@ def macd(spark, sf_dir):
 
 @query("adx")
 def adx(spark, sf_dir):
-    return _per_symbol(spark, sf_dir, "adx double", lambda g: {"adx": pd.Series(sequential.adx(g["high"].tolist(), g["low"].tolist(), g["close"].tolist()), dtype="float64")})
+    return _settled(_per_symbol(spark, sf_dir, "adx double", lambda g: {"adx": pd.Series(sequential.adx(g["high"].tolist(), g["low"].tolist(), g["close"].tolist()), dtype="float64")}), 6, "adx")
 
 
 @query("channel_states")
@@ -104,7 +111,7 @@ def hysteresis_season(spark, sf_dir):
 
 @query("no_trade_band")
 def no_trade_band(spark, sf_dir):
-    return _per_symbol(spark, sf_dir, "weight double", lambda g: {"weight": sequential.band_path((g["close"] / g["close"].expanding().max()).tolist(), 0.1)})
+    return _settled(_per_symbol(spark, sf_dir, "weight double", lambda g: {"weight": sequential.band_path((g["close"] / g["close"].expanding().max()).tolist(), 0.1)}), 9, "weight")
 
 
 @query("ewma_variance")
@@ -120,7 +127,7 @@ def ewma_variance(spark, sf_dir):
 def ewma_std(spark, sf_dir):
     import numpy as np
 
-    return _per_symbol(spark, sf_dir, "std double", lambda g: {"std": pd.Series(sequential.ewma_std([None, *np.diff(np.log(g["close"])).tolist()], 10.0, 10), dtype="float64")})
+    return _settled(_per_symbol(spark, sf_dir, "std double", lambda g: {"std": pd.Series(sequential.ewma_std([None, *np.diff(np.log(g["close"])).tolist()], 10.0, 10), dtype="float64")}), 9, "std")
 
 
 @query("baseline_alerts")
@@ -134,16 +141,16 @@ select symbol, open_ms, cast(s - least(0, min(s) over ({W})) as double) as posit
 
 @query("cusum", _CUSUM)
 def cusum(spark, sf_dir):
-    def both(g):
-        out = sequential.cusum(g["close"].astype(float).tolist(), 10_000.0, 500.0)
-        return {"positive": [p for p, _ in out], "negative": [n for _, n in out]}
-
-    return _per_symbol(spark, sf_dir, "positive double, negative double", both)
+    """Both sums are running sums of steps less the least they have been, zero included."""
+    w = Window.partitionBy("symbol").orderBy("open_ms").rowsBetween(Window.unboundedPreceding, 0)
+    up = F.col("close").cast("double") - 10_000.0 - 500.0
+    rows = four_hourly(spark, sf_dir).withColumn("p", F.sum(up).over(w)).withColumn("n", F.sum(-up - 1000.0).over(w))
+    return rows.select("symbol", "open_ms", *[(F.col(c) - F.least(F.lit(0.0), F.min(c).over(w))).alias(name) for c, name in (("p", "positive"), ("n", "negative"))])
 
 
 @query("ewma_filter")
 def ewma_filter(spark, sf_dir):
-    return _per_symbol(spark, sf_dir, "level double", lambda g: {"level": sequential.ewma_filter(g["close"].tolist(), 4 * HOUR, float(DAY))})
+    return _settled(_per_symbol(spark, sf_dir, "level double", lambda g: {"level": sequential.ewma_filter(g["close"].tolist(), 4 * HOUR, float(DAY))}), 6, "level")
 
 
 @query("kalman")
@@ -152,20 +159,26 @@ def kalman(spark, sf_dir):
         out = sequential.kalman_trend(g["close"].astype(float).tolist(), 1.0, 0.1, 100.0)
         return {"level": [a for a, _ in out], "slope": [b for _, b in out]}
 
-    return _per_symbol(spark, sf_dir, "level double, slope double", both)
+    return _settled(_per_symbol(spark, sf_dir, "level double, slope double", both), 6, "level", "slope")
 
 
 @query("bocpd")
 def bocpd(spark, sf_dir):
+    """Run lengths of closes in units of the earlier closes' mean and deviation; null until 20 have been seen."""
+
     def lengths(g):
         close = g["close"].astype(float)
-        return {"run_length": sequential.bocpd(((close - close.mean()) / close.std()).tolist(), 0.02)}
+        z = (close - close.expanding().mean().shift(1)) / close.expanding().std().shift(1)
+        z[:20] = float("nan")
+        found = sequential.bocpd(z.replace([float("inf"), -float("inf")], float("nan")).tolist(), 1 / 60)
+        return {"run_length": _nullable([f and f[0] for f in found]), "recent": pd.Series([f and f[1] for f in found], dtype="float64")}
 
-    return _per_symbol(spark, sf_dir, "run_length int", lengths)
+    return _per_symbol(spark, sf_dir, "run_length int, recent double", lengths)
 
 
 @query("pelt")
 def pelt(spark, sf_dir):
+    """Offline: segments of the whole series, which it is scaled by; not a feature at any time within it."""
     def ends(g):
         close = g["close"].astype(float)
         cut = set(sequential.pelt(((close - close.mean()) / close.std()).tolist(), 6.0, 5))

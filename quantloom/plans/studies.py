@@ -177,13 +177,23 @@ def correlation_clusters(spark, sf_dir):
     return spark.createDataFrame([(names[k], i) for i, g in enumerate(found) for k in g], "symbol string, cluster int")
 
 
+#: The regimes' model is fitted before this time and filtered from then on.
+HMM_FROM = 1_705_276_800_000  # 2024-01-15
+
+
 @query("hmm_regimes")
 def hmm_regimes(spark, sf_dir):
+    """The likeliest regime given the rows so far, by mean return, under a model of earlier days; null in the days it was fitted on."""
+
     def filtered(g):
         r = np.log(g["close"]).diff().fillna(0.0)
-        x = np.column_stack((r, r.abs()))
-        _, mean, _, prob = stats.hmm_fit(x)
-        return g[["symbol", "open_ms"]].assign(state=np.argsort(np.argsort(mean[:, 0]))[prob.argmax(1)].astype("int32"))
+        x, early = np.column_stack((r, r.abs())), (g["open_ms"] < HMM_FROM).to_numpy()
+        state = pd.array([pd.NA] * len(g), dtype="Int32")
+        if early.sum() >= 30 and not early.all():
+            move, mean, var, prob = stats.hmm_fit(x[early])
+            rank = np.argsort(np.argsort(mean[:, 0]))
+            state[~early] = rank[stats.hmm_filter(x[~early], move, mean, var, prob[-1]).argmax(1)].astype("int32")
+        return g[["symbol", "open_ms"]].assign(state=state)
 
     return sequential.series(four_hourly(spark, sf_dir), "symbol", ["open_ms"], filtered, "symbol string, open_ms long, state int")
 
