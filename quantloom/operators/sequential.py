@@ -211,6 +211,19 @@ def crossings(z: Sequence[float | None], times: Sequence[int], theta: float, rea
     return out
 
 
+def fades(z: Sequence[float | None], times: Sequence[int], theta: float, rearm: float, cooldown: int) -> list[int]:
+    """Against z where |z| is at least theta, armed and out of cooldown; armed again below ``rearm``. A missing value changes nothing."""
+    out, armed, last = [], True, None
+    for x, t in zip(z, times, strict=True):
+        fire = 0
+        if x is not None and not math.isnan(x):
+            armed = armed or abs(x) < rearm
+            if armed and abs(x) >= theta and (last is None or t - last >= cooldown):
+                fire, armed, last = (-1 if x > 0 else 1), False, t
+        out.append(fire)
+    return out
+
+
 def band_path(target: Sequence[float], band: float, start: float = 0.0) -> list[float]:
     """The held weight moves to the target only when they differ by more than ``band``."""
     out, w = [], start
