@@ -16,6 +16,7 @@ have come first.
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Texts are worked on in runs of about this many bytes, and stretches in groups of this many characters.
 RUN_BYTES, GROUP_CHARS = 3 << 20, 1 << 17
+#: Stretches of a BPE model of more than this many characters are worked on in windows, with so many characters in common.
+LONG, WINDOW, OVERLAP = 1024, 512, 64
 #: Stretches that a worker remembers.
 MOST_KNOWN = 3 << 16
 _CACHE_BITS = 20
@@ -176,18 +179,33 @@ class PieceModel:
         return _U(total)
 
     def merged(self, text: str, stop: bool = False) -> list[str]:
-        """What merging makes of a stretch, one merge at a time; with ``stop``, before it would be a single piece."""
-        parts = list(text)
-        while len(parts) > (2 if stop else 1):
-            best, at = -np.inf, -1
-            for k in range(len(parts) - 1):
-                piece = self.by_text.get(parts[k] + parts[k + 1])
-                if piece is not None and self.scores[piece] > best:
-                    best, at = self.scores[piece], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """What merging makes of a stretch, the best and then the leftmost merge first; with ``stop``, before it would be a single piece.
+
+        Parts are a linked list, and possible merges wait in a heap; one whose parts have changed since is passed over.
+        """
+        n = count = len(text)
+        parts: list[str] = list(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting: list[tuple[float, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and (j := after[i]) < n and (piece := self.by_text.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(waiting, (-float(self.scores[piece]), i, len(parts[i]), len(parts[j])))
+
+        for i in range(n - 1):
+            offer(i)
+        while waiting and count > (2 if stop else 1):
+            _, i, own, other = heapq.heappop(waiting)
+            j = after[i]
+            if len(parts[i]) != own or j >= n or len(parts[j]) != other:
+                continue
+            parts[i], parts[j], after[i] = parts[i] + parts[j], "", after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            count -= 1
+            offer(before[i])
+            offer(i)
+        return [part for part in parts if part]
 
     def fits(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether merging leaves pieces x and y, put together, as they are."""
@@ -265,6 +283,39 @@ class PieceModel:
             count[going] += 1
         return out[out >= 0], count
 
+    def _windowed(self, points: np.ndarray) -> np.ndarray:
+        """Pieces of one long stretch, from windows that overlap, all worked on together.
+
+        Pieces of which merging keeps each two neighbours are what merging makes of the whole, so two
+        windows are joined where both have a cut and the pieces on its sides keep apart. Where no cut
+        in an overlap does, the stretch is merged piece by piece.
+        """
+        starts = np.append(np.arange(0, len(points) - WINDOW, WINDOW - OVERLAP), len(points) - WINDOW)
+        found: list[np.ndarray] = []
+        step = max(1, GROUP_CHARS // WINDOW)
+        for s in range(0, len(starts), step):
+            pieces, number = self._viterbi(points[starts[s : s + step, None] + np.arange(WINDOW)])
+            found += np.split(pieces, np.cumsum(number)[:-1])
+        out, at = [], 0  # at: where the next piece of this window that counts begins
+        for k, (begin, own) in enumerate(zip(starts.tolist(), found, strict=True)):
+            ends = begin + np.cumsum(self.lengths[own])
+            first = int(np.searchsorted(ends - self.lengths[own], at))
+            if k + 1 == len(starts):
+                out.append(own[first:])
+                break
+            then = found[k + 1]
+            then_begin = starts[k + 1] + _ends(self.lengths[then])[:-1]
+            cut, i, j = np.intersect1d(ends[first:], then_begin, return_indices=True)
+            i += first
+            able = np.flatnonzero(self.fits(own[i], then[j])) if len(cut) else cut
+            if not len(able):
+                text = points.astype("<u4").tobytes().decode("utf-32-le")
+                return np.array([self.by_text.get(p, self.free) for p in self.merged(text)], np.int64)
+            middle = able[len(able) // 2]
+            out.append(own[first : i[middle] + 1])
+            at = int(cut[middle])
+        return np.concatenate(out)
+
     def _stretches(self, names: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all the stretches in a row, their bounds); ``mark`` goes before each."""
         known = self.known[mark]
@@ -290,8 +341,12 @@ class PieceModel:
             apart[:] = [name.startswith(MARK * 2) for name in names]
         apart |= size == 0
         groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for length in np.unique(size[~apart]):
-            same = np.flatnonzero((size == length) & ~apart)
+        long = (size > LONG) & ~apart if self.kind == BPE else np.zeros(len(names), bool)
+        for k in np.flatnonzero(long):
+            own = self._windowed(points[begin[k] : begin[k + 1]])
+            groups.append((np.array([k]), own, np.array([len(own)])))
+        for length in np.unique(size[~apart & ~long]):
+            same = np.flatnonzero((size == length) & ~apart & ~long)
             step = max(1, GROUP_CHARS // int(length))
             for s in range(0, len(same), step):
                 some = same[s : s + step]

@@ -268,6 +268,19 @@ def test_pieces_equal_the_library(odd, empty):
     assert pieces.encoded(empty, path).count() == 0
 
 
+def test_long_stretches_equal_the_library():
+    """Stretches worked on in windows, and long runs of spaces."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.model_of(path)
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(1000, 2600))) for letters in ("ab", "abc ", "the", "etaoinshr", "0123456789", "\u00e1\u00e9iab", "\u4f60\u597dx") for _ in range(4)]
+    texts += ["a" * 3000, "ab" * 2000, " " * 3000, " " * 3000 + "x", (" " * 300 + "word") * 8, "supercalifragilistic" * 150, "z" * 1024, "z" * 1025]
+    ids, bounds = own.encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == library.encode(text)
+
+
 def test_unigram_models_take_the_best_sum():
     def model_bytes(entries):
         import struct
