@@ -2,7 +2,7 @@
 
 ``write_archives`` stores each payload, cut into rows of 8-bit samples, as a PNG image in an
 archive of its task. ``ArchiveMedia`` is a Spark data source over a folder of such archives. It
-plans partitions as byte ranges from archive sizes alone; a task reads the archive's central
+plans partitions as byte ranges from the archives' sizes in the folder's manifest alone; a task reads the archive's central
 directory and takes the members whose data begin in its range, so that every member is read by
 exactly one task and the driver never lists members. Members' bytes come in Arrow batches of
 bounded size, and a member whose read or check fails is tried again by its own offset.
@@ -10,6 +10,7 @@ bounded size, and a member whose read or check fails is tried again by its own o
 
 from __future__ import annotations
 
+import json
 import struct
 import time
 import uuid
@@ -33,6 +34,8 @@ LEVEL = 1
 RANGE_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
 TRIES = 4
+#: The file that lists a folder's archives with their sizes; a folder without one is read whole.
+MANIFEST = "archives.json"
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -80,19 +83,19 @@ def write_archives(payloads: DataFrame, folder: str) -> int:
     """Store each row of ``payloads`` (key long, bytes binary) as a member; null bytes are empty, a null key is kept as such.
 
     Members are named by a running number and their key. Every task writes one archive under a
-    name of its own and gives it its final name when it is complete, so a lost task leaves no
-    archive that readers would take; a task that ran twice is told apart by the list of
-    successful ones, which alone is kept. Returns the number of archives.
+    name of its own. Which archives count is said by the folder's manifest, which is written once all
+    tasks have succeeded, after what it said before; an archive of a lost or repeated attempt is not in it and is
+    removed. What comes to the driver is a name and a size per task. Returns the number of archives.
     """
     storage.make_folder(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = stream = None
-        name, k = uuid.uuid4().hex, 0
+        name, k = uuid.uuid4().hex + ".zip", 0
+        system, path = storage.opened(storage.join(folder, name))
         for batch in batches:
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if archive is None:
-                    system, path = storage.opened(storage.join(folder, name + ".part"))
                     stream = system.open_output_stream(path, compression=None)
                     archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
                 image = to_png(padded(content.as_py() or b""))
@@ -101,13 +104,22 @@ def write_archives(payloads: DataFrame, folder: str) -> int:
         if archive is not None:
             archive.close()
             stream.close()
-            yield pa.RecordBatch.from_pydict({"name": [name]})
+            yield pa.RecordBatch.from_pydict({"name": [name], "size": [system.get_file_info(path).size]})
 
-    done = [r.name for r in payloads.select("key", "bytes").mapInArrow(tidy(write), "name string").collect()]
-    system, path = storage.opened(folder)
-    for name in done:
-        system.move(storage.join(path, name + ".part"), storage.join(path, name + ".zip"))
-    return len(done)
+    rows = payloads.select("key", "bytes").mapInArrow(tidy(write), "name string, size long").collect()
+    known = {**dict(listed(folder) or ()), **{r.name: r.size for r in rows}}
+    storage.replace(storage.join(folder, MANIFEST), json.dumps(sorted(known.items())).encode())
+    system, _ = storage.opened(folder)
+    for uri, _ in storage.files_under(folder, ".zip"):
+        if uri.rsplit("/", 1)[-1] not in known:
+            system.delete_file(storage.opened(uri)[1])
+    return len(rows)
+
+
+def listed(folder: str) -> list[tuple[str, int]] | None:
+    """(name, size) of the archives that the folder's manifest lists; None without a manifest."""
+    found = [(uri, size) for uri, size in storage.files_under(folder, MANIFEST)]
+    return [tuple(x) for x in json.loads(storage.read_range(found[0][0], 0, found[0][1]))] if found else None
 
 
 class ByteRange(InputPartition):
@@ -134,7 +146,7 @@ def retried(read: Callable[[], bytes], again: Callable[[], None] | None = None,
     for k in range(tries):
         try:
             return read()
-        except (OSError, ValueError, zipfile.BadZipFile):
+        except (OSError, ValueError, struct.error, zipfile.BadZipFile):
             if k + 1 == tries:
                 raise
             if again:
@@ -169,7 +181,8 @@ class _Reader(DataSourceReader):
         self.batch_bytes = int(options.get("batchbytes", BATCH_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        found = storage.files_under(self.folder, ".zip")
+        names = listed(self.folder)
+        found = storage.files_under(self.folder, ".zip") if names is None else [(storage.join(self.folder, n), size) for n, size in names]
         ranges = [ByteRange(uri, size, at, min(size, at + self.range_bytes)) for uri, size in found for at in range(0, size, self.range_bytes)]
         return ranges or [ByteRange("", 0, 0, 0)]
 

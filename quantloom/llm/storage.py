@@ -28,6 +28,14 @@ def read_range(uri: str, start: int, size: int) -> bytes:
         return f.read(size)
 
 
+def replace(uri: str, content: bytes) -> None:
+    """Write a file whole: readers see what was there before or all of it."""
+    system, path = opened(uri)
+    with system.open_output_stream(path + ".new", compression=None) as out:
+        out.write(content)
+    system.move(path + ".new", path)
+
+
 def file_size(uri: str) -> int:
     system, path = opened(uri)
     return system.get_file_info(path).size
