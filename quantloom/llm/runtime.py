@@ -17,16 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named in ``spark.checkpoint.dir``.
 
-    Where the session names none (local tests), a folder under the local temporary
-    directory is set for the session; that is only right when driver and executors are
-    one process.
+    Where the session names none, a local session, whose driver and executors are one process, has a
+    folder of its application under the local temporary directory; any other must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"quantloom-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = "file://" + os.path.join(tempfile.gettempdir(), f"quantloom-{spark.sparkContext.applicationId}")
     return found.rstrip("/")
 
 
