@@ -2,7 +2,8 @@
 
 A file is a row of independent Zstandard frames, each with a content checksum:
 
-- data frames hold the ids of whole documents, as little-endian unsigned 32-bit integers;
+- data frames hold the ids of whole documents, one each unless a writer is told otherwise, as
+  little-endian unsigned 32-bit integers;
 - one index frame holds, per document, its id, its number of token ids and the number of its data
   frame (three columns of little-endian 64-bit integers; a null doc_id is the least integer);
 - the last frame is the skippable one of the public seekable format: per frame its compressed
@@ -36,8 +37,8 @@ from .runtime import fresh_path, tidy
 #: Fixed values of the public seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 NO_ID = -(2**63)
-#: A data frame is closed at the first document end from this many ids on.
-FRAME_IDS = 1 << 16
+#: A data frame is closed at the first document end from this many ids on: with 1 each document with ids has a frame of its own.
+FRAME_IDS = 1
 LEVEL = 3
 
 
@@ -83,7 +84,8 @@ class TokenFile:
 
     def __init__(self, uri: str):
         self.system, self.path = storage.opened(uri)
-        size = self.system.get_file_info(self.path).size
+        self.file = self.system.open_input_file(self.path)
+        size = self.file.size()
         n, flags, magic = struct.unpack("<IBI", self._bytes(size - 9, 9))
         if magic != SEEKABLE_MAGIC or not flags & CHECKSUM_FLAG:
             raise ValueError(f"{uri} has no seek table with checksums")
@@ -95,9 +97,7 @@ class TokenFile:
         self.starts = np.concatenate(([0], np.cumsum(self.counts)))
 
     def _bytes(self, start: int, size: int) -> bytes:
-        with self.system.open_input_file(self.path) as f:
-            f.seek(int(start))
-            return f.read(int(size))
+        return self.file.read_at(int(size), int(start))
 
     def frame(self, k: int) -> bytes:
         content = zstandard.ZstdDecompressor().decompress(self._bytes(self.at[k], self.packed[k]), max_output_size=int(self.plain[k]))

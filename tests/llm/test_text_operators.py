@@ -196,6 +196,15 @@ def test_file_reads_single_documents_and_sees_damage(tmp_path):
     file = tokenfile.TokenFile(str(path))
     assert {k: d.tolist() for k, d in file.documents([4, 1])} == {1: [], 4: docs[4].tolist()}
     assert [d.tolist() for _, d in file.documents()] == [d.tolist() for d in docs]
+    with path.open("wb") as f:
+        writer = tokenfile.TokenFileWriter(f)
+        for k, d in enumerate(docs):
+            writer.add(k, d)
+        writer.close()
+    single, asked = tokenfile.TokenFile(str(path)), []
+    whole = single.frame
+    single.frame = lambda k: asked.append(k) or whole(k)
+    assert [d.tolist() for _, d in single.documents([2])] == [docs[2].tolist()] and len(asked) == 1 and single.plain[asked[0]] == 4 * len(docs[2])
     data = bytearray(path.read_bytes())
     data[10] ^= 255
     path.write_bytes(data)
@@ -206,6 +215,20 @@ def test_file_reads_single_documents_and_sees_damage(tmp_path):
 # -- media
 
 
+def test_archives_outside_the_manifest_do_not_count(spark, tmp_path):
+    folder = tmp_path / "m"
+    folder.mkdir()
+    (folder / "lost.zip").write_bytes(b"cut short")
+    frame = spark.createDataFrame([(1, b"a"), (2, None), (None, b"c" * 2000)], "key long, bytes binary").repartition(2)
+    media.write_archives(frame, str(folder))
+    assert not (folder / "lost.zip").exists()
+    (folder / "late.zip").write_bytes(b"cut short")
+    assert sorted((r.key or 0, r.n_bytes) for r in media.read_media(spark, str(folder)).collect()) == [(0, 2000), (1, 1), (2, 0)]
+    media.write_archives(frame, str(folder))
+    assert media.read_media(spark, str(folder)).count() == 6 and not (folder / "late.zip").exists()
+
+
+
 def test_media_round_trip(odd, empty):
     rows = media.media_table(odd).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _, _ in ODD)
