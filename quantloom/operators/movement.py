@@ -26,14 +26,6 @@ def cross_z(rows: DataFrame, boundary: str, ret: str) -> DataFrame:
     return mad.withColumn("z", F.when(F.col("__mad") > 0, MAD_SCALE * (F.col(ret) - F.col("__mid")) / F.col("__mad"))).drop("__mid", "__mad")
 
 
-def trimmed_mean(values: Column, trim: float = TRIM) -> Column:
-    """Of an array: the mean without floor(trim * n) values at each end; null if that is none."""
-    n = F.size(values)
-    cut = F.floor(trim * n).cast("int")
-    kept = F.slice(F.array_sort(values), cut + 1, n - 2 * cut)
-    return F.when(cut > 0, F.aggregate(kept, F.lit(0.0), lambda a, v: a + v) / F.size(kept))
-
-
 def capped_weights(notional: Column, cap: float = WEIGHT_CAP, rounds: int = 16) -> Column:
     """Of an array of notionals: weights by square root, none above ``cap``, the excess shared by the others; null if cap * n < 1."""
     raw = F.transform(notional, lambda v: F.sqrt(v))

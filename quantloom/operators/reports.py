@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def any_of(column: str, wanted: Sequence) -> Column:
     """A report filter; an empty list means all."""
@@ -50,12 +52,6 @@ def paired_report(strategy: DataFrame, control: DataFrame, group: Sequence[str],
     return rows.select(*group, "n", "m", "days", (F.col("s") / F.col("n") - F.col("c") / F.col("m")).alias("difference"), F.sqrt("q").alias("se"))
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """The ceil(p*n)-th smallest value, as an aggregate."""
-    held = F.array_sort(F.collect_list(value))
-    return F.try_element_at(held, F.greatest(F.lit(1), F.ceil(F.lit(p) * F.size(held))).cast("int"))
-
-
 def drawdown(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Greatest fall of the running sum below its peak (0 at the start) and the number of rows below it."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -156,9 +152,9 @@ def weighted_quantile(rows: DataFrame, group: str, value: str, weight: str, q: f
 
 
 def dose_response(rows: DataFrame, by: str, value: str, buckets: int = 5, key: str = "id") -> DataFrame:
-    """Mean of ``value`` per equal-sized bucket of ``by``."""
-    ranked = rows.withColumn("bucket", F.ntile(buckets).over(Window.orderBy(by, key)))
-    return ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("lowest"), F.max(by).alias("highest"), F.avg(value).alias("mean"))
+    """Mean of ``value`` per equal-sized bucket of ``by``, ties dealt by the numeric ``key``."""
+    dealt = ranks.ranked(rows, by, key).withColumn("bucket", ranks.equal_parts(F.col("rank"), F.col("n"), buckets))
+    return dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("lowest"), F.max(by).alias("highest"), F.avg(value).alias("mean"))
 
 
 def stratified_difference(rows: DataFrame, stratum: Sequence[str], member: str, value: str) -> DataFrame:
@@ -181,5 +177,5 @@ def day_balanced_terciles(rows: DataFrame, day: str, value: str) -> DataFrame:
     """The values at which cumulated mass reaches one and two thirds when each day has mass 1, spread over its rows."""
     share = rows.where(F.col(value).isNotNull()).withColumn("__w", 1 / F.count(F.lit(1)).over(Window.partitionBy(day)))
     cells = share.groupBy(value).agg(F.sum("__w").alias("__w"))
-    run = cells.withColumn("__c", F.sum("__w").over(Window.orderBy(value))).withColumn("__t", F.sum("__w").over(Window.partitionBy()))
+    run = ranks.running_sum(cells, [], value, F.col("__w"), name="__c", total="__t")
     return run.agg(*[F.min(F.when(F.col("__c") * 3 >= k * F.col("__t") - 1e-9, F.col(value))).alias(f"tercile_{k}") for k in (1, 2)])

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar
-from ..operators import reports
+from ..operators import ranks, reports
 from .market import rounded
 from .tables import DAY, FOUR_HOURLY, TRADES, four_hourly, read, trades
 
@@ -121,7 +121,7 @@ def daily_zero_filled(spark, sf_dir):
 
 @query("nearest_rank", f"with {_OUT}, r as (select l_returnflag, net, row_number() over (partition by l_returnflag order by net) as k, count(*) over (partition by l_returnflag) as n from o) select l_returnflag, max(case when k = greatest(1, ceil(0.05::double * n)) then net end) as p05, max(case when k = greatest(1, ceil(0.5::double * n)) then net end) as p50, max(case when k = greatest(1, ceil(0.95::double * n)) then net end) as p95 from r group by 1")
 def nearest_rank(spark, sf_dir):
-    return outcomes(spark, sf_dir).groupBy("l_returnflag").agg(*[reports.nearest_rank("net", p).alias(n) for p, n in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95"))])
+    return ranks.nearest_ranks(outcomes(spark, sf_dir), ["l_returnflag"], "net", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
 
 
 @query("trade_metrics", f"with {_OUT} select l_returnflag, l_linestatus, count(net) as n, count(*) filter (where net > 0) as wins, round(count(*) filter (where net > 0) / count(net), 6) as hit_rate, round(avg(case when net > 0 then net end) / -avg(case when net < 0 then net end), 6) as payoff, round(sum(case when net > 0 then net end) / -sum(case when net < 0 then net end), 6) as profit_factor from o group by 1, 2")

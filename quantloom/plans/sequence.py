@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, costs
-from ..operators import bars, movement, sequential, stats
+from ..operators import bars, movement, ranks, sequential, stats
 from .market import rounded
 from .report import outcomes
 from .tables import DAY, FOUR_HOURLY, HOUR, TRADES, four_hourly, read, trades
@@ -254,8 +254,8 @@ def capped_weights(spark, sf_dir):
 
 @query("trimmed_mean", f"with {TRADES}, r as (select symbol, price, row_number() over (partition by symbol order by price) as k, count(*) over (partition by symbol) as n from trades) select symbol, round(avg(price), 4) as mean from r where k > floor(0.1::double * n) and k <= n - floor(0.1::double * n) group by symbol")
 def trimmed_mean(spark, sf_dir):
-    held = trades(spark, sf_dir).groupBy("symbol").agg(F.collect_list(F.col("price").cast("double")).alias("v"))
-    return held.select("symbol", rounded(movement.trimmed_mean(F.col("v")), "mean", 4))
+    found = ranks.trimmed_means(trades(spark, sf_dir), ["symbol"], "price", movement.TRIM)
+    return found.select("symbol", rounded(F.col("mean"), "mean", 4))
 
 
 @query("wallet_ledger")
