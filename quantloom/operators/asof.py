@@ -7,21 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import calendar
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str], max_gap: int | None = None, strict: bool = False) -> DataFrame:
+
+def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str], max_gap: int | None = None, strict: bool = False, span: int = calendar.DAY) -> DataFrame:
     """Each left row with the values of the latest right row at or before it (before it if ``strict``); null if older than ``max_gap``.
 
-    Both sides become one stream per key and the latest right row is carried forward, so a key's rows are sorted once and no pairs are made.
+    Both sides become one stream and the latest right row is carried forward within spans of time, so that a
+    task sorts a span of a key, whatever the key's length. What a span begins with comes from the spans before
+    it, by one row a span. Of right rows at one time the one with the greatest values counts; right rows without
+    a key or time match nothing, left rows without either have nulls. No pairs are made.
     """
     body = F.struct(F.col(right_time).alias("__at"), *values)
-    mine = left.select(F.col(key), F.col(left_time).alias("__t"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(body).schema[0].dataType).alias("__r"))
-    other = right.select(F.col(key), F.col(right_time).alias("__t"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__l"), body.alias("__r"))
+    known = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull())
+    mine = left.select(F.col(key).alias("__k"), F.col(left_time).alias("__t"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(body).schema[0].dataType).alias("__r"))
+    other = known.select(F.col(key).alias("__k"), F.col(right_time).alias("__t"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__l"), body.alias("__r"))
+    rows = mine.unionByName(other).withColumn("__span", F.floor(F.col("__t") / span))
     side = F.col("__l").isNull().cast("int")
-    order = [F.col("__t"), side if strict is True else -side]
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = mine.unionByName(other).withColumn("__last", F.last("__r", ignorenulls=True).over(w)).where(F.col("__l").isNotNull())
+    order = [F.col("__t"), side if strict else -side, F.col("__r")]
+    w = Window.partitionBy("__k", "__span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("__k").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.where("__t is not null").groupBy("__k", "__span").agg(F.max("__r").alias("__end"))
+    begun = ends.select(F.col("__k").alias("__bk"), F.col("__span").alias("__bs"), F.last("__end", ignorenulls=True).over(earlier).alias("__begun"))
+    run = rows.withColumn("__run", F.last("__r", ignorenulls=True).over(w)).where(F.col("__l").isNotNull())
+    met = run.join(begun, (F.col("__k") == F.col("__bk")) & (F.col("__span") == F.col("__bs")), "left").withColumn("__last", F.coalesce("__run", "__begun"))
     fresh = F.lit(True) if max_gap is None else F.col("__t") - F.col("__last.__at") <= max_gap
-    return rows.select("__l.*", *[F.when(fresh, F.col(f"__last.{v}")).alias(v) for v in values], F.when(fresh, F.col("__last.__at")).alias("matched_at"))
+    return met.select("__l.*", *[F.when(fresh, F.col(f"__last.{v}")).alias(v) for v in values], F.when(fresh, F.col("__last.__at")).alias("matched_at"))
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, point: str, start: str, end: str, bin_size: int, closed: str = "left") -> DataFrame:

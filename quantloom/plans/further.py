@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar
-from ..operators import asof, bars, paths, reports, rolling, trend, validation
+from ..operators import asof, bars, paths, ranks, reports, rolling, trend, validation
 from .market import rounded
 from .tables import DAY, FOUR_HOURLY, HOUR, HOURLY, TRADES, bars_sql, four_hourly, hourly, read, trades
 
@@ -282,8 +282,8 @@ def quote_conversion(spark, sf_dir):
 def prefix_sum_ranges(spark, sf_dir):
     """Taker volume in (a, b] as the difference of a running sum at both ends, by two as-of joins."""
     t = trades(spark, sf_dir)
-    w = Window.partitionBy("symbol").orderBy("ms").rangeBetween(Window.unboundedPreceding, 0)
-    run = t.select("symbol", F.col("ms").alias("at_ms"), F.sum(F.when(~F.col("maker"), F.col("qty")).otherwise(0)).over(w).alias("run")).distinct()
+    cells = t.groupBy("symbol", F.col("ms").alias("at_ms")).agg(F.sum(F.when(~F.col("maker"), F.col("qty")).otherwise(0)).alias("qty"))
+    run = ranks.running_sum(cells, ["symbol"], "at_ms", F.col("qty"), name="run").select("symbol", "at_ms", "run")
     ends = t.select("symbol", "id", F.col("ms").alias("b"), (F.col("ms") - DAY).alias("a"))
     high = asof.asof_backward(ends, run, "symbol", "b", "at_ms", ["run"]).withColumnRenamed("run", "hi").drop("matched_at")
     both = asof.asof_backward(high, run, "symbol", "a", "at_ms", ["run"])
