@@ -72,11 +72,10 @@ def candle_before(unit: Column) -> dict[str, Column]:
     }
 
 
-def premium_z(rows: DataFrame, premium: str, steps: int, step: int, days: int, least: int) -> DataFrame:
-    """``z`` of the premium summed over ``steps`` whole steps of time against the sums of strictly earlier ``days``."""
+def whole_sum(premium: str, steps: int, step: int) -> Column:
+    """The sum of the last ``steps`` steps of time, null unless each has a value."""
     frame = rolling.by_symbol().rangeBetween(-(steps - 1) * step, 0)
-    total = F.when(F.count(premium).over(frame) == steps, F.sum(premium).over(frame))
-    return rolling.robust_z(rows.withColumn("__sum", total), "__sum", rolling.earlier(days), least).drop("__sum")
+    return F.when(F.count(premium).over(frame) == steps, F.sum(premium).over(frame))
 
 
 def unconfirmed(z: Column, move: Column, theta: float) -> Column:

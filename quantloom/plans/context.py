@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bars, context, rolling, sequential
+from ..operators import bars, context, rolling, sequential, trailing
 from .market import rounded
 from .proofs import BARS, walk
 from .tables import DAY, DENSE, FOUR_HOURLY, HOUR, HOURLY, four_hourly, hourly
@@ -65,7 +65,7 @@ _SIDE = "case when x.z > 0 then -1 else 1 end"
 
 def _premium(spark, sf_dir):
     rows = four_hourly(spark, sf_dir).select("symbol", "open_ms", "close", (F.col("close") - 15_000).alias("premium"))
-    return context.premium_z(rows, "premium", 2, 4 * HOUR, 7, 20)
+    return trailing.robust_z(rows.withColumn("sum", context.whole_sum("premium", 2, 4 * HOUR)), "sum", 7, 20)
 
 
 @query("premium_z", f"{BARS}, {_Z} select symbol, open_ms, round(z, 6) as z from p")

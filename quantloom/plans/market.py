@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, exact
-from ..operators import asof, bars, levels, rolling
+from ..operators import asof, bars, levels, rolling, trailing
 from .tables import DAY, DENSE, FOUR_HOURLY, HOUR, HOURLY, TRADES, bars_sql, four_hourly, hourly, read, trades
 
 QUERIES, SQL = {}, {}
@@ -215,7 +215,7 @@ m as (select symbol, open_ms, x, median(v) as mid, count(*) as n from h group by
 select b.symbol, b.open_ms, case when d.n >= 20 and d.mad > 0 then round((d.x - d.mid) / (1.4826::double * d.mad), 6) end as z from bars b left join d on d.symbol = b.symbol and d.open_ms = b.open_ms""")
 def robust_z_trailing(spark, sf_dir):
     rows = four_hourly(spark, sf_dir).withColumn("close", F.col("close").cast("double"))
-    return rolling.robust_z(rows, "close", rolling.earlier(7), 20).select("symbol", "open_ms", rounded(F.col("z"), "z"))
+    return trailing.robust_z(rows, "close", 7, 20).select("symbol", "open_ms", rounded(F.col("z"), "z"))
 
 
 @query("taker_imbalance_window", FOUR_HOURLY + f" select symbol, open_ms, case when count(*) over w = 6 and sum(volume) over w > 0 then round((2.0::double * sum(taker_volume) over w - sum(volume) over w) / sum(volume) over w, 6) end as imbalance from bars window w as ({W} rows between 5 preceding and current row)")

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, costs
-from ..operators import bars, movement, ranks, sequential, stats
+from ..operators import bars, movement, ranks, sequential, stats, trailing
 from .market import rounded
 from .report import outcomes
 from .tables import DAY, FOUR_HOURLY, HOUR, TRADES, four_hourly, read, trades
@@ -221,12 +221,10 @@ def value_area(spark, sf_dir):
 
 def _movement_rows(spark, sf_dir):
     """Daily returns, robust z over earlier days and change of return per symbol."""
-    from ..operators import rolling
-
     rows = bars.minute_bars(trades(spark, sf_dir), 1440)
     w = Window.partitionBy("symbol").orderBy("open_ms")
     rows = rows.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1).withColumn("acceleration", F.col("ret") - F.lag("ret").over(w))
-    return rolling.robust_z(rows, "ret", rolling.earlier(20), 5, 1 / 0.6745)
+    return trailing.robust_z(rows, "ret", 20, 5, 1 / 0.6745)
 
 
 @query("market_states")
