@@ -54,19 +54,31 @@ def nearest_levels(points: DataFrame, levels: DataFrame, price: str = "price", b
     return points.join(near, ["symbol", "id"], "left").withColumn("valid_levels", F.coalesce("valid_levels", F.lit(0)))
 
 
-def first_touch(entries: DataFrame, bars: DataFrame, window_ms: int) -> DataFrame:
+def first_touch(entries: DataFrame, bars: DataFrame, window_ms: int, blocks: int = 16) -> DataFrame:
     """First stop and target touch after entry.
 
-    ``entries``: (symbol, id, entry_ms, side, stop, target); ``bars``: (symbol, open_ms, high, low). A bar stops if it
+    ``entries``: (symbol, id, entry_ms, side, stop, target), one per (symbol, id); ``bars``: (symbol, open_ms, high, low). A bar stops if it
     reaches the stop, the entry bar too; a target counts after the entry bar and only if price goes through it. Of both in one bar the pessimistic
     outcome is the stop and the optimistic one the target. Outcome E: neither within the window.
+
+    A window is looked through by its ``blocks`` first: entries meet the extremes of each block, and bars only in
+    the block of their entry and in the first later block that can touch the stop or the target.
     """
-    spans = entries.withColumn("__end", F.col("entry_ms") + window_ms)
-    met = interval_join(bars.select("symbol", "open_ms", "high", "low"), spans, "symbol", "open_ms", "entry_ms", "__end", window_ms)
+    block = max(1, window_ms // blocks)
+    in_blocks = bars.select("symbol", "open_ms", "high", "low", F.floor(F.col("open_ms") / block).alias("__block"))
+    extremes = in_blocks.groupBy("symbol", "__block").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    own, last = F.floor(F.col("entry_ms") / block), F.floor((F.col("entry_ms") + window_ms - 1) / block)
+    sought = entries.select("symbol", "id", "entry_ms", "side", "stop", "target", own.alias("__own"))
     long = F.col("side") > 0
     stop = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
-    target = F.when(long, F.col("high") > F.col("target")).otherwise(F.col("low") < F.col("target")) & (F.col("open_ms") > F.col("entry_ms"))
-    hits = met.groupBy("symbol", "id").agg(F.min(F.when(stop, F.col("open_ms"))).alias("stop_ms"), F.min(F.when(target, F.col("open_ms"))).alias("target_ms"))
+    target = F.when(long, F.col("high") > F.col("target")).otherwise(F.col("low") < F.col("target"))
+    place, later = F.col("__block"), F.col("__block") > F.col("__own")
+    able = sought.withColumn("__block", F.explode(F.sequence(own, last))).join(extremes, ["symbol", "__block"]).where(stop | target)
+    chosen = F.array(F.min(F.when(~later, place)), F.min(F.when(later & stop, place)), F.min(F.when(later & target, place)))
+    able = able.groupBy("symbol", "id").agg(F.array_distinct(F.array_compact(chosen)).alias("__blocks"))
+    met = sought.join(able, ["symbol", "id"]).withColumn("__block", F.explode("__blocks")).join(in_blocks, ["symbol", "__block"])
+    met = met.where((F.col("open_ms") >= F.col("entry_ms")) & (F.col("open_ms") < F.col("entry_ms") + window_ms))
+    hits = met.groupBy("symbol", "id").agg(F.min(F.when(stop, F.col("open_ms"))).alias("stop_ms"), F.min(F.when(target & (F.col("open_ms") > F.col("entry_ms")), F.col("open_ms"))).alias("target_ms"))
     far = F.lit(2**62)
     s, t = F.coalesce("stop_ms", far), F.coalesce("target_ms", far)
     none = (s == far) & (t == far)
