@@ -91,14 +91,24 @@ def geometry(open_: Column, high: Column, low: Column, close: Column) -> dict[st
     return {"body": F.abs(close - open_) / span, "upper": (high - F.greatest(open_, close)) / span, "lower": (F.least(open_, close) - low) / span, "location": (close - low) / span}
 
 
+def log_ratio(a: Column, b: Column) -> Column:
+    """ln(a / b) by the rules of IEEE doubles: infinite where one of the two is zero, NaN where both are or signs differ; null only without a or b."""
+    ratio = F.ln(a / F.nullif(b, F.lit(0)))
+    known = F.when(((a > 0) & (b > 0)) | ((a < 0) & (b < 0)), ratio).when((a == 0) & (b != 0), float("-inf")).when((a > 0) & (b == 0), float("inf")).otherwise(float("nan"))
+    return F.when(a.isNotNull() & b.isNotNull(), known)
+
+
 def follow_through(rows: DataFrame, key: str, order: str, direction: Column, h: int) -> DataFrame:
-    """Over the ``h`` rows after each: return, best and worst excursion on the direction's side in basis points; null if rows are missing."""
+    """Over the ``h`` rows after each: return, best and worst excursion on the direction's side in basis points; null if rows are missing.
+
+    Prices of zero count: an excursion to or from one is infinite.
+    """
     w = Window.partitionBy(key).orderBy(order)
     ahead = w.rowsBetween(1, h)
     full = F.count(F.lit(1)).over(ahead) == h
     close, high, low = F.last("close").over(ahead), F.max("high").over(ahead), F.min("low").over(ahead)
-    up, down = F.ln(high / F.col("close")), F.ln(F.col("close") / low)
-    out = {"ret_bp": direction * F.ln(close / F.col("close")), "mfe_bp": F.when(direction > 0, up).otherwise(down), "mae_bp": F.when(direction > 0, down).otherwise(up)}
+    up, down = log_ratio(high, F.col("close")), log_ratio(F.col("close"), low)
+    out = {"ret_bp": direction * log_ratio(close, F.col("close")), "mfe_bp": F.when(direction > 0, up).otherwise(down), "mae_bp": F.when(direction > 0, down).otherwise(up)}
     return rows.select("*", *[F.when(full & (direction != 0), 1e4 * v).alias(n) for n, v in out.items()])
 
 

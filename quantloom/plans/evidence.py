@@ -381,7 +381,7 @@ def period_opens(spark, sf_dir):
 
 @query("follow_through", FOUR_HOURLY + f", a as (select symbol, open_ms, close, case when close > open then 1 when close < open then -1 else 0 end as d, count(*) over w as n, last_value(close) over w as c, max(high) over w as h, min(low) over w as l from bars window w as ({W} rows between 1 following and 6 following)) select symbol, open_ms, d as direction, case when n = 6 and d <> 0 then round(1e4::double * d * ln(c / close), 6) end as ret_bp, case when n = 6 and d <> 0 then round(1e4::double * case when d > 0 then ln(h / close) else ln(close / l) end, 6) end as mfe_bp, case when n = 6 and d <> 0 then round(1e4::double * case when d > 0 then ln(close / l) else ln(h / close) end, 6) end as mae_bp from a")
 def follow_through(spark, sf_dir):
-    b = four_hourly(spark, sf_dir).withColumn("direction", F.signum(F.col("close") - F.col("open")).cast("int"))
+    b = four_hourly(spark, sf_dir).withColumn("direction", F.coalesce(F.signum(F.col("close") - F.col("open")).cast("int"), F.lit(0)))
     rows = evidence.follow_through(b, "symbol", "open_ms", F.col("direction"), 6)
     return rows.select("symbol", "open_ms", "direction", *[rounded(F.col(c), c) for c in ("ret_bp", "mfe_bp", "mae_bp")])
 
