@@ -208,13 +208,15 @@ def onset_matching(spark, sf_dir):
 
 @query("value_area")
 def value_area(spark, sf_dir):
+    """Prices that have no logarithm and bins without a volume are in no profile; a day without any volume has no area."""
     from ..operators import levels
 
-    rows = levels.rolling_profiles(levels.day_histograms(trades(spark, sf_dir), 0.05), 7)
+    rows = levels.rolling_profiles(levels.day_histograms(trades(spark, sf_dir), 0.05), 7).where("bin is not null and volume is not null")
 
     def area(g):
-        peak, low, high = sequential.value_area({int(b): int(v) for b, v in zip(g["bin"], g["volume"], strict=True)})
-        return pd.DataFrame([(g["symbol"].iloc[0], int(g["for"].iloc[0]), peak, low, high)], columns=["symbol", "day", "poc", "low", "high"])
+        found = sequential.value_area({int(b): int(v) for b, v in zip(g["bin"], g["volume"], strict=True)})
+        known = [] if found is None else [(g["symbol"].iloc[0], int(g["for"].iloc[0]), *found)]
+        return pd.DataFrame(known, columns=["symbol", "day", "poc", "low", "high"])
 
     return rows.groupBy("symbol", "for").applyInPandas(area, "symbol string, day long, poc long, low long, high long")
 

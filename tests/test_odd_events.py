@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from test_catalogue import rows_of
 
+from quantloom.operators import sequential
 from quantloom.plans import catalogue
 
 
@@ -40,3 +41,16 @@ def test_follow_through_from_and_to_zero(spark, events):
     rows += [(100, 0, "b", None, 1), (101, 14_400, "b", 3, 1)]
     found = same(spark, events(rows), "follow_through")
     assert {r.mfe_bp for r in found} & {float("inf"), float("-inf")} and {r.ret_bp for r in found} & {float("inf"), float("-inf")}
+
+
+def test_value_area_without_prices_that_have_no_logarithm(spark, events):
+    day = 86_400
+    rows = [(1, 0, "a", 100, 10), (2, 1, "a", 0, 99), (3, 2, "a", None, 99), (4, 3, "a", -5, 99), (5, day, "a", 0, 7), (6, 8 * day, "a", 0, 7), (7, 0, "b", 100, 0), (8, day, "b", 100, None)]
+    found = catalogue.QUERIES["value_area"](spark, events(rows))
+    first, bin_ = 19_723, 184  # ln(10000) / 0.05
+    assert sorted(map(tuple, found.collect())) == [("a", first, bin_, bin_, bin_), ("a", first + 1, bin_, bin_, bin_)]
+
+
+def test_value_area_of_nothing():
+    assert sequential.value_area({}) is None
+    assert sequential.value_area({3: 0, 5: 0}) is None
