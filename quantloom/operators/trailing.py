@@ -1,14 +1,14 @@
-"""Order statistics over long trailing frames: one sorted list moves along a span of a series, no frame is held per row."""
+"""Long trailing frames: order statistics by one sorted list that moves along a span of a series, sums by what enters and leaves. No frame is held per row."""
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,3 +83,43 @@ def robust_z(frame: DataFrame, x: str, days: int, least: int, scale: float = 1.4
     frame_columns = frame.columns
     rows = frame.select("*", F.col(at).cast("long").alias("__at"), F.col(x).cast("double").alias("__x"))
     return dealt(rows, "__at", span, behind=days * calendar.DAY).groupBy(key, "__span").applyInArrow(score, schema)
+
+
+def moving_sums(rows: DataFrame, key: str, at: str, values: Mapping[str, Column], behind: int, ahead: int = 0, span: int = calendar.DAY) -> DataFrame:
+    """Rows with the sums of integer ``values`` over their key's rows from ``behind`` before to ``ahead`` after their time, zero of none.
+
+    Rows of one time are summed first. A time's sums enter a running sum ``ahead`` before it and leave it once
+    ``behind`` is past, so that the work grows with the rows and not with the frames. Spans of time are summed by
+    themselves and carried, so that a task sorts a span of a key. Sums are exact, in decimals of 38 digits. A null
+    key is a key; rows without a time are in each other's frames, as in a window.
+    """
+    names = list(values)
+    t = F.col("__t")
+    points = rows.groupBy(F.col(key).alias("__k"), F.col(at).alias("__t")).agg(*[F.coalesce(F.sum(_wide(v)), _wide(F.lit(0))).alias(n) for n, v in values.items()])
+
+    def event(when: Column, sign: Column, asks: bool) -> Column:
+        return F.struct(when.alias("__at"), F.lit(asks).alias("__asks"), *[_wide(sign * F.col(n)).alias(n) for n in names])
+
+    events = [event(t - ahead, F.lit(1), ahead == 0), event(t + behind + 1, F.when(t.isNull(), 0).otherwise(-1), False)]
+    events += [] if ahead == 0 else [event(t, F.lit(0), True)]
+    stream = points.select("__k", F.inline(F.array(*events))).withColumn("__span", F.floor(F.col("__at") / span))
+    sums = stream.where("__span is not null").groupBy("__k", "__span").agg(*[F.sum(n).alias(n) for n in names])
+    earlier = Window.partitionBy("__k").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(F.col("__k").alias("__bk"), F.col("__span").alias("__bs"), *[F.sum(n).over(earlier).alias(f"__b{i}") for i, n in enumerate(names)])
+    until = Window.partitionBy("__k", "__span").orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    run = stream.select("__k", "__span", "__at", "__asks", *[F.sum(n).over(until).alias(f"__v{i}") for i, n in enumerate(names)]).where("__asks")
+    met = run.join(carried, F.col("__k").eqNullSafe(F.col("__bk")) & (F.col("__span") == F.col("__bs")), "left")
+    found = met.select("__k", "__at", *[(F.col(f"__v{i}") + F.coalesce(f"__b{i}", _wide(F.lit(0)))).alias(n) for i, n in enumerate(names)])
+    return rows.join(found, F.col(key).eqNullSafe(F.col("__k")) & F.col(at).eqNullSafe(F.col("__at"))).drop("__k", "__at")
+
+
+def moving_mean(rows: DataFrame, key: str, at: str, x: str, behind: int, ahead: int = 0) -> DataFrame:
+    """Rows with the ``mean`` of an integer ``x`` over their frame, null without any, and ``n``, how many rows the frame has."""
+    sums = {"__sum": F.col(x), "__known": F.col(x).isNotNull().cast("int"), "n": F.lit(1)}
+    found = moving_sums(rows, key, at, sums, behind, ahead)
+    mean = F.when(F.col("__known") > 0, F.col("__sum").cast("double") / F.nullif(F.col("__known"), F.lit(0)).cast("double"))
+    return found.select(*rows.columns, mean.alias("mean"), F.col("n").cast("long").alias("n"))
+
+
+def _wide(value: Column) -> Column:
+    return value.cast("decimal(38,0)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, exact
@@ -206,8 +205,9 @@ def candlestick_patterns(spark, sf_dir):
 
 @query("range_mean_30d", f"with {TRADES} select symbol, id, case when count(*) over w >= 5 then round(avg(price) over w, 6) end as mean from trades window w as (partition by symbol order by ms range between {30 * DAY} preceding and 1 preceding)")
 def range_mean_30d(spark, sf_dir):
-    w = Window.partitionBy("symbol").orderBy("ms").rangeBetween(-30 * DAY, -1)
-    return trades(spark, sf_dir).select("symbol", "id", F.when(F.count("price").over(w) >= 5, F.round(F.avg("price").over(w), 6)).alias("mean"))
+    """The mean of the strictly earlier 30 days; null with fewer than five rows in them."""
+    rows = trailing.moving_mean(trades(spark, sf_dir).select("symbol", "id", "ms", "price"), "symbol", "ms", "price", 30 * DAY, -1)
+    return rows.select("symbol", "id", F.when(F.col("n") >= 5, F.round("mean", 6)).alias("mean"))
 
 
 @query("robust_z_trailing", FOUR_HOURLY + f""", h as (select a.symbol, a.open_ms, a.close as x, b.close as v from bars a join bars b on a.symbol = b.symbol and b.open_ms between a.open_ms - {7 * DAY} and a.open_ms - 1),

@@ -1,5 +1,7 @@
 """Queries on events such as the smallest tables don't have agree with their SQL, or with the reference where they have none."""
 
+import random
+
 import duckdb
 import pytest
 from test_catalogue import rows_of
@@ -54,3 +56,18 @@ def test_value_area_without_prices_that_have_no_logarithm(spark, events):
 def test_value_area_of_nothing():
     assert sequential.value_area({}) is None
     assert sequential.value_area({3: 0, 5: 0}) is None
+
+
+def odd_trades(n=300):
+    lots = random.Random(3)
+    kinds = [None, "a", "a", "a", "b"]
+    times = [lots.randrange(70 * 86_400) if i % 3 else 86_400 * lots.randrange(70) for i in range(n)]  # ties, and frames that begin at a row
+    return [(i, t, lots.choice(kinds), lots.choice([None, 0, 12.34, 50, 90, lots.random() * 400]), i % 7) for i, t in enumerate(times)]
+
+
+@pytest.mark.parametrize("name", ["range_mean_30d", "funding_rate_mean"])
+def test_means_over_time(spark, events, name):
+    rows = [*odd_trades(), *[(1000 + i, 100 * 86_400 + i, "c", None if i < 9 else 5, 1) for i in range(12)]]
+    assert len(same(spark, events(rows), name)) == len(rows)
+    plan = catalogue.QUERIES[name](spark, events(rows))._jdf.queryExecution().toString()
+    assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan  # nothing is summed anew for each row

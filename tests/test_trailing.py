@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.functions.calendar import DAY
 from quantloom.operators import trailing
@@ -47,3 +48,19 @@ def test_spans(spark, span):
         mine = [r for r in rows if r[0] == k]
         assert [got[r[1]] for r in mine] == plain([r[1] for r in mine], [r[2] for r in mine], 7 * DAY, 3)
     assert trailing.robust_z(frame.limit(0), "v", 7, 3).count() == 0
+
+
+@pytest.mark.parametrize(("behind", "ahead", "span"), [(20, -1, 7), (20, 0, 50), (0, 0, 5), (3, 9, 4), (-2, 9, 1000)])
+def test_moving_sums(spark, behind, ahead, span):
+    lots = random.Random(5)
+    rows = [(i, lots.choice(["a", "b", None]), lots.choice([None, *range(-40, 60)]), lots.choice([None, 2**62, lots.randrange(9)])) for i in range(200)]
+    frame = spark.createDataFrame(rows, "id int, k string, at long, v long")
+    found = trailing.moving_sums(frame, "k", "at", {"s": F.col("v"), "n": F.lit(1)}, behind, ahead, span)
+    assert found.columns == ["id", "k", "at", "v", "s", "n"]
+
+    def held(k, t):
+        return [r[3] for r in rows if r[1] == k and (r[2] is None if t is None else r[2] is not None and t - behind <= r[2] <= t + ahead)]
+
+    got = {r.id: (int(r.s), int(r.n)) for r in found.collect()}
+    assert got == {i: (sum(v or 0 for v in held(k, t)), len(held(k, t))) for i, k, t, _ in rows}
+    assert trailing.moving_sums(frame.limit(0), "k", "at", {"n": F.lit(1)}, 5).count() == 0
