@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar
-from ..operators import bars, reports, rolling, sequential
+from ..operators import bars, reports, rolling, sequential, trailing
 from .market import rounded
 from .tables import DAY, DENSE, FOUR_HOURLY, HOUR, HOURLY, TRADES, bars_sql, four_hourly, hourly, read, trades
 
@@ -84,8 +84,8 @@ def liquidity_weighted(spark, sf_dir):
 
 @query("funding_rate_mean", f"with {TRADES}, f as (select symbol, id, ms, price from trades) select symbol, id, round(avg(price) over w, 6) as mean, count(*) over w as n from f window w as (partition by symbol order by ms range between {10 * DAY} preceding and current row)")
 def funding_rate_mean(spark, sf_dir):
-    w = Window.partitionBy("symbol").orderBy("ms").rangeBetween(-10 * DAY, 0)
-    return trades(spark, sf_dir).select("symbol", "id", F.round(F.avg("price").over(w), 6).alias("mean"), F.count(F.lit(1)).over(w).alias("n"))
+    rows = trailing.moving_mean(trades(spark, sf_dir).select("symbol", "id", "ms", "price"), "symbol", "ms", "price", 10 * DAY)
+    return rows.select("symbol", "id", F.round("mean", 6).alias("mean"), "n")
 
 
 @query("session_table", f"with {TRADES}, s as (select case when (ms % {DAY}) // {HOUR} < 8 then 'asia' when (ms % {DAY}) // {HOUR} < 13 then 'europe' when (ms % {DAY}) // {HOUR} < 17 then 'overlap' when (ms % {DAY}) // {HOUR} < 22 then 'us' else 'late' end as session, symbol, price, qty from trades) select session, symbol, count(*) as n, cast(sum(qty) as bigint) as volume, round(avg(price), 4) as mean_price from s group by 1, 2")
