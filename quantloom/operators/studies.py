@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import asof
+from . import context
 
 
 def ta_score(price: Column, ema20: Column, ema50: Column, rsi: Column, pattern: Column, volume_ratio: Column) -> Column:
@@ -31,13 +35,61 @@ def label_grid(entries: DataFrame, sigma: Column, tick: int, ks: Sequence[int] =
     return rows.withColumn("stop", stop.cast("long")).withColumn("target", target.cast("long")).withColumn("status", status)
 
 
+def first_breaches(times: Sequence[int], marks: Sequence[float], opened: Sequence[int], levels: Sequence[float], window: int) -> list[int | None]:
+    """Per level the time of the first mark at or below it in [opened, opened + window); ``times`` and ``opened`` are sorted.
+
+    From the last time backwards, only marks below all nearer ones are held: they rise towards the past, so that
+    the first mark at or below a level is found by bisection.
+    """
+    held: list[float] = []
+    at: list[int] = []
+    out: list[int | None] = [None] * len(opened)
+    next_ = len(times) - 1
+    for i in range(len(opened) - 1, -1, -1):
+        begin = opened[i]
+        while next_ >= 0 and times[next_] >= begin:
+            mark = marks[next_]
+            while held and held[-1] >= mark:
+                held.pop()
+                at.pop()
+            held.append(mark)
+            at.append(times[next_])
+            next_ -= 1
+        k = bisect_right(held, levels[i]) - 1
+        if k >= 0 and at[k] < begin + window:
+            out[i] = at[k]
+    return out
+
+
 def liquidation_scan(positions: DataFrame, marks: DataFrame, window_ms: int) -> DataFrame:
-    """The first mark at or beyond each position's liquidation price while it is open; positions are (symbol, id, open_ms, side, liq)."""
-    spans = positions.withColumn("__end", F.col("open_ms") + window_ms)
-    met = asof.interval_join(marks.select("symbol", "ms", "mark"), spans, "symbol", "ms", "open_ms", "__end", window_ms)
-    breach = F.when(F.col("side") > 0, F.col("mark") <= F.col("liq")).otherwise(F.col("mark") >= F.col("liq"))
-    first = met.where(breach).groupBy("symbol", "id").agg(F.min("ms").alias("liquidated_ms"))
-    return positions.join(first, ["symbol", "id"], "left")
+    """The first mark at or beyond each position's liquidation price while it is open; positions are (symbol, id, open_ms, side, liq).
+
+    A task holds the positions of one span of a symbol and the lowest and highest mark of each time that they can
+    meet. No pairs are made. Marks that are null or not a number breach nothing.
+    """
+    span = max(1, window_ms)
+    extremes = marks.where("symbol is not null and ms is not null and not isnan(cast(mark as double))").groupBy("symbol", "ms").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low is not null")
+    reach = context.dealt(extremes, "ms", span, ahead=span - 1).drop("__home")
+    mine = positions.withColumn("__span", F.floor(F.col("open_ms") / span))
+    schema = T.StructType([*positions.schema.fields, T.StructField("liquidated_ms", T.LongType())])
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("ms")
+        times = right["ms"].to_pylist()
+        parts = []
+        long = pc.fill_null(pc.greater(left["side"], 0), False)
+        able = pc.and_(pc.is_valid(left["open_ms"]), pc.is_valid(left["liq"]))
+        for sign, chosen in ((1, pc.and_(able, long)), (-1, pc.and_(able, pc.invert(long)))):
+            some = left.filter(chosen).sort_by("open_ms")
+            seen, levels = (right["low"], some["liq"]) if sign > 0 else (pc.negate(right["high"]), pc.negate(some["liq"]))
+            found = first_breaches(times, seen.to_pylist(), some["open_ms"].to_pylist(), levels.to_pylist(), window_ms)
+            parts.append(some.select(names).append_column("liquidated_ms", pa.array(found, pa.int64())))
+        rest = left.filter(pc.invert(able)).select(names)
+        parts.append(rest.append_column("liquidated_ms", pa.nulls(len(rest), pa.int64())))
+        return pa.concat_tables(parts)
+
+    names = positions.columns
+    return mine.groupBy("symbol", "__span").cogroup(reach.groupBy("symbol", "__span")).applyInArrow(scan, schema)
 
 
 def adverse_path(path: DataFrame, key: str, order: str, value: str, side: str) -> DataFrame:

@@ -71,7 +71,8 @@ def liquidation_scan(spark, sf_dir):
     t = trades(spark, sf_dir)
     long = F.col("id") % 2 == 0
     positions = t.select("symbol", "id", F.col("ms").alias("open_ms"), F.when(long, 1).otherwise(-1).alias("side"), F.round(F.col("price") * F.when(long, 0.5).otherwise(1.5)).cast("long").alias("liq"))
-    return studies.liquidation_scan(positions, t.select("symbol", "ms", F.col("price").alias("mark")), DAY).select("symbol", "id", "liquidated_ms")
+    found = studies.liquidation_scan(positions, t.select("symbol", "ms", F.col("price").alias("mark")), DAY)
+    return found.groupBy("symbol", "id").agg(F.min("liquidated_ms").alias("liquidated_ms"))
 
 
 @query("adverse_path", FOUR_HOURLY + f", d as (select symbol, open_ms, low, open_ms // {7 * DAY} as path, min(low) over (partition by symbol, open_ms // {7 * DAY} order by open_ms rows between unbounded preceding and 1 preceding) as worst from bars) select symbol, open_ms, low from d where worst is null or low < worst")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from test_catalogue import rows_of
 
-from quantloom.operators import sequential
+from quantloom.operators import sequential, studies
 from quantloom.plans import catalogue
 
 
@@ -71,3 +71,26 @@ def test_means_over_time(spark, events, name):
     assert len(same(spark, events(rows), name)) == len(rows)
     plan = catalogue.QUERIES[name](spark, events(rows))._jdf.queryExecution().toString()
     assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan  # nothing is summed anew for each row
+
+
+def test_liquidations(spark, events):
+    day = 86_400
+    rows = [(i, t // 20, kind, v, k) for i, t, kind, v, k in odd_trades(400)]
+    rows += [(2000, 0, "c", 10, 1), (2002, day, "c", 4, 1), (2003, 0, "d", 10, 1), (2005, day - 1, "d", 15, 1), (2007, 2 * day - 1, "d", 100, 1)]  # a window's end is outside it
+    rows += [(2000, 5, "c", 6, 1), (2009, 5, "e", 0, 1), (None, 6, "e", 8, 1), (None, 7, "e", 20, 1)]  # repeated ids and none
+    found = {(r.symbol, r.id): r.liquidated_ms for r in same(spark, events(rows), "liquidation_scan")}
+    assert len(found) == len(rows) - 2 and sum(v is not None for v in found.values()) > 50
+    assert found["d", 2003] is not None and found["d", 2005] is None
+    plan = catalogue.QUERIES["liquidation_scan"](spark, events(rows))._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan  # no pairs
+
+
+@pytest.mark.parametrize("window", [0, 1, 7, 30])
+def test_first_breaches(window):
+    lots = random.Random(4)
+    times = sorted(lots.randrange(60) for _ in range(120))
+    marks = [lots.randrange(30) for _ in times]
+    opened = sorted(lots.randrange(-5, 70) for _ in range(150))
+    levels = [lots.randrange(-2, 25) for _ in opened]
+    want = [min((t for t, m in zip(times, marks, strict=True) if a <= t < a + window and m <= x), default=None) for a, x in zip(opened, levels, strict=True)]
+    assert studies.first_breaches(times, marks, opened, levels, window) == want
