@@ -19,7 +19,8 @@ under it, which gives the probabilities.
 What moves: documents are packed into blocks; a block asks for each of its distinct tokens and then
 for each of its distinct trigrams once, with the number of times it trains on it, and the answers come back in
 the order asked. So counting and scoring are one exchange, and its size grows with the distinct
-trigrams of blocks. Tokens are numbered by falling frequency (in each of the slices that number
+trigrams of blocks. Texts are cut into tokens once, and a block's trigrams are found once: what it asks is written,
+beside the place of each token's trigram among them, and both samplings of the slices read it. Tokens are numbered by falling frequency (in each of the slices that number
 them), so that packed numbers are short. Only totals and the list of very frequent words, of
 ``MOST_HOT`` at most, come to the driver.
 """
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import packets, seating
 from . import text as words
-from .runtime import discard, release_shuffles, tidy, written
+from .runtime import discard, release_shuffles, tidy, written, written_by
 
 BURN_IN, SAMPLES = 2, 4
 #: Text bytes of a block, text bytes for each slice of tokens, and tokens for each slice of contexts.
@@ -91,6 +92,18 @@ def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return numbers[first], rank
 
 
+def _changes(numbers: np.ndarray) -> np.ndarray:
+    """Whether each number differs from the one before it."""
+    out = np.ones(len(numbers), bool)
+    out[1:] = numbers[1:] != numbers[:-1]
+    return out
+
+
+def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first row of each run, run of each row), given which rows begin one."""
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def contexts_of(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the token before each token, the one before that); ``START`` before a text's first."""
     near, far = np.empty_like(ids), np.empty_like(ids)
@@ -134,8 +147,11 @@ class Spread:
 
 
 def _block(documents: list[tuple], ids: int) -> tuple[int, int, int, bytes]:
+    """Documents, their tokens by rank among the block's distinct ones, and these."""
     doc, none, train, length, data = (np.concatenate(x) for x in zip(*documents, strict=True))
-    return ids, _ROW, 0, packets.pack(doc, none, train, length, data)
+    tokens, bounds = tokens_of(data, np.concatenate(([0], np.cumsum(length))))
+    names, code = _distinct(tokens)
+    return ids, _ROW, 0, packets.pack(doc, none, train, np.diff(bounds), code, packets.steps(names))
 
 
 def _blocks(parts: int):
@@ -162,20 +178,13 @@ def _blocks(parts: int):
     return block
 
 
-def _opened(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc ids, whether they are null, whether to train, token hashes, bounds of texts) of a block."""
-    doc, none, train, length, data = packets.unpack(payload)
-    tokens, bounds = tokens_of(data.astype(np.uint8), np.concatenate(([0], np.cumsum(length))))
-    return doc, none, train, tokens, bounds
-
-
 def _ask_tokens(slices: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for block, _, _, payload in packets.rows_of(batches):
-                _, _, train, tokens, bounds = _opened(payload)
-                names, code = _distinct(tokens)
-                counts = np.bincount(code, np.repeat(train, np.diff(bounds)), len(names)).astype(np.int64)
+                _, _, train, length, code, names = packets.unpack(payload)
+                names = np.cumsum(names.view(np.uint64))
+                counts = np.bincount(code, np.repeat(train, length), len(names)).astype(np.int64)
                 home = ((names >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
                 cuts = np.searchsorted(home, np.arange(slices + 1, dtype=np.uint64))
                 for s in np.flatnonzero(np.diff(cuts)).tolist():
@@ -214,19 +223,24 @@ def _number_tokens(slices: int):
     return number
 
 
-def _encode(n: int, v: int):
-    """Blocks in numbers: documents, their tokens, known tokens and base scores, and all tokens' numbers."""
+def _encode(n: int, v: int, spread: Spread):
+    """Blocks in numbers: documents, their tokens, known tokens and base scores, and where each token's trigram is; and what they ask of slices."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for block, found in packets.groups_of(batches):
-                doc, none, train, tokens, bounds = _opened(found[0][2])
+                doc, none, train, length, code, _ = packets.unpack(found[0][2])
+                bounds = np.concatenate(([0], np.cumsum(length)))
                 answers = [packets.unpack(payload) for _, _, payload in found[1:]]
                 ids, count = (np.concatenate(x) for x in zip(*answers, strict=True))
-                code = packets.ranked(tokens)[1]
                 base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
                 sums = [np.add.reduceat(x[code], bounds[:-1]) for x in ((count > 0).astype(np.int64), base)]
-                yield block, _ROW, 0, packets.pack(doc, none, train, np.diff(bounds), sums[0], sums[1].view(np.int64), ids[code])
+                (near, token, far), place, cuts = spread.trigrams(ids[code], bounds)
+                yield block, _ROW, 0, packets.pack(doc, none, train, length, sums[0], sums[1].view(np.int64), place)
+                trained = np.bincount(place, np.repeat(train, length), len(near)).astype(np.int64)
+                for s in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = slice(cuts[s], cuts[s + 1])
+                    yield s, _ANSWER, block, packets.pack(packets.steps(near[own]), token[own], far[own], trained[own])
 
         yield from packets.batches_of(rows())
 
@@ -236,22 +250,6 @@ def _encode(n: int, v: int):
 # -- contexts
 
 
-def _ask_trigrams(spread: Spread):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for block, _, _, payload in packets.rows_of(batches):
-                _, _, train, length, _, _, ids = packets.unpack(payload)
-                (near, token, far), place, cuts = spread.trigrams(ids, np.concatenate(([0], np.cumsum(length))))
-                n = np.bincount(place, np.repeat(train, length), len(near)).astype(np.int64)
-                for s in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = slice(cuts[s], cuts[s + 1])
-                    yield s, _ANSWER, block, packets.pack(packets.steps(near[own]), token[own], far[own], n[own])
-
-        yield from packets.batches_of(rows())
-
-    return ask
-
-
 class Contexts:
     """The restaurants of a slice, from all that blocks have asked of it."""
 
@@ -261,10 +259,11 @@ class Contexts:
         first, self.code = _coded(near, token, far)
         near, token, far = near[first], token[first], far[first]
         n = np.bincount(self.code, n, len(near)).astype(np.int64)
-        pair, self.of = _coded(near, token)
+        other = _changes(near)
+        pair, self.of = _runs(other | _changes(token))
         self.names, self.token = _distinct(token[pair])
         restaurants, group = _coded(near, far)
-        heads, head = _distinct(near[pair])
+        heads, head = _runs(other[pair])
         self.lower = seating.Level(n, group, len(restaurants))
         self.upper = seating.Level(np.bincount(self.of, n > 0, len(pair)), head, len(heads))
 
@@ -381,14 +380,12 @@ def _answer_trigrams(seed: int, root_slices: int, opening: float, total: float,
 _SCORES = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def _add_up(spread: Spread, n: int):
+def _add_up(n: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in packets.groups_of(batches):
-            doc, none, train, length, known, base, ids = packets.unpack(found[0][2])
-            bounds = np.concatenate(([0], np.cumsum(length)))
-            _, place, _ = spread.trigrams(ids, bounds)
+            doc, none, train, length, known, base, place = packets.unpack(found[0][2])
             answers = np.concatenate([packets.unpack(payload)[0] for _, _, payload in found[1:]])
-            score = -np.add.reduceat(answers[place], bounds[:-1]) / PARTS
+            score = -np.add.reduceat(answers[place], np.cumsum(length) - length) / PARTS
             columns = [pa.array(doc, mask=none.astype(bool)), pa.array(train.astype(bool)), pa.array(length), pa.array(known), pa.array(np.full(len(doc), n))]
             columns += [pa.array(base.view(np.float64)), pa.array(score), pa.array(10.0 ** np.minimum(-score / length, 300.0))]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCORES.split(", ")])
@@ -424,19 +421,20 @@ def scored(documents: DataFrame, seed: int = 0) -> DataFrame:
     slices = max(1, -(-size // TOKEN_BYTES))
     asked = packets.gathered(blocks.mapInArrow(tidy(_ask_tokens(slices)), packets.SCHEMA), slices)
     known = written(asked.mapInArrow(tidy(_number_tokens(slices)), packets.SCHEMA), "tokens")
+    del asked
     sums = _totals(known)
     n, v = sums.get(_COUNT, 0), sums.get(_KINDS, 0)
     found = blocks.unionByName(known.where(F.col("kind") == _ANSWER))
-    coded = written(packets.gathered(found, n_blocks).mapInArrow(tidy(_encode(n, v)), packets.SCHEMA), "numbers")
     parted = max(HOT, n // MOST_HOT)
     hot = sorted((r["to"], -(-r["source"] // parted)) for r in known.where((F.col("kind") == _FREQUENT) & (F.col("source") > parted)).collect())
+    spread = Spread(max(1, -(-n // SLICE_TOKENS)), *np.array(hot, np.int64).reshape(-1, 2).T.copy())
+    coded = packets.gathered(found, n_blocks).mapInArrow(tidy(_encode(n, v, spread)), packets.SCHEMA)
+    coded, asked = written_by(coded, "numbers", "kind", (_ROW, _ANSWER))
     for done in (blocks, known):
         discard(done)
-    del asked, found
+    del found
     release_shuffles(spark)
 
-    spread = Spread(max(1, -(-n // SLICE_TOKENS)), *np.array(hot, np.int64).reshape(-1, 2).T.copy())
-    asked = coded.mapInArrow(tidy(_ask_trigrams(spread)), packets.SCHEMA)
     sent = packets.gathered(asked, spread.slices).mapInArrow(tidy(_send_tables(seed, slices, v)), packets.SCHEMA)
     root = written(packets.gathered(sent, slices).mapInArrow(tidy(_seat_root(seed, slices, v)), packets.SCHEMA), "root")
     sums = _totals(root)
@@ -446,5 +444,9 @@ def scored(documents: DataFrame, seed: int = 0) -> DataFrame:
 
     both = asked.unionByName(root.where(F.col("kind") == _ROW))
     answer = _answer_trigrams(seed, slices, lost + concentration, customers + concentration, v)
-    answers = packets.gathered(both, spread.slices).mapInArrow(tidy(answer), packets.SCHEMA)
-    return packets.gathered(coded.unionByName(answers), n_blocks).mapInArrow(tidy(_add_up(spread, n)), _SCORES)
+    answers = written(packets.gathered(both, spread.slices).mapInArrow(tidy(answer), packets.SCHEMA), "answers")
+    for done in (asked, root):
+        discard(done)
+    del both
+    release_shuffles(spark)
+    return packets.gathered(coded.unionByName(answers), n_blocks).mapInArrow(tidy(_add_up(n)), _SCORES)

@@ -45,6 +45,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, by: str, values: tuple[int, ...]) -> list[DataFrame]:
+    """``written``, with a folder and a table for each of ``values`` of the column ``by``, which has no others."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.partitionBy(by).parquet(path)
+    conf, out = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for value in values:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
+        folder.getFileSystem(conf).mkdirs(folder)  # there may be no rows of it
+        out.append(spark.read.schema(df.schema).option("basePath", path).parquet(folder.toString()).select(df.columns))
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table that ``written`` returned; it must not be read again."""
     spark = df.sparkSession

@@ -13,6 +13,8 @@ so listed, many from the normal distribution of the same mode and curvature.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 #: Customers of a dish up to which every number of tables is listed.
@@ -20,8 +22,11 @@ LISTED = 64
 #: Dishes of a restaurant are redrawn in this many turns; those of one turn know each other's tables as before the turn.
 TURNS = 8
 _BINS = (2, 3, 4, 8, 16, 32, 64)
+#: Customers of a dish up to which weights are multiplied as they are; beyond, their logarithms are added.
+_PLAIN = 8
 
 
+@functools.lru_cache(maxsize=4)
 def log_ways(discount: float, most: int = LISTED) -> np.ndarray:
     """log S(c, t) for c and t up to ``most``, by S(c + 1, t) = S(c, t - 1) + (c - discount * t) * S(c, t)."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -59,15 +64,25 @@ def _weights(i: np.ndarray, opening: np.ndarray, discount: float, num: np.ndarra
 
 
 def _listed(customers: np.ndarray, ways: np.ndarray, opening: np.ndarray, discount: float, num: np.ndarray, den: np.ndarray, step: float, rng: np.random.Generator) -> np.ndarray:
+    """A row per number of tables, so that each step runs along all dishes at once."""
     most = int(customers.max())
-    i = np.arange(1, most)
-    log = ways[customers, 1 : most + 1]
-    log[:, 1:] += np.cumsum(_weights(i, opening[:, None], discount, num[:, None], den[:, None], step), axis=1)
-    p = np.exp(log - log.max(axis=1, keepdims=True))
-    np.cumsum(p, axis=1, out=p)
-    return 1 + (p < (rng.random(len(p)) * p[:, -1])[:, None]).sum(axis=1)
-
-
+    if most <= _PLAIN:
+        p = np.exp(ways[: most + 1, 1 : most + 1].T)[:, customers]
+        weight = np.ones(len(customers))
+        for i in range(1, most):
+            weight *= (opening + discount * i) * ((num + step * i) / (den + step * i))
+            p[i] *= weight
+    else:
+        p = np.ascontiguousarray(ways[: most + 1, 1 : most + 1].T)[:, customers]
+        p[1:] += np.cumsum(_weights(np.arange(1, most)[:, None], opening, discount, num, den, step), axis=0)
+        p -= p.max(axis=0)
+        np.exp(p, out=p)
+    for i in range(1, most):
+        p[i] += p[i - 1]
+    return 1 + (p < rng.random(len(customers)) * p[-1]).sum(axis=0)
+
+
+@functools.lru_cache(maxsize=4)
 def _saddle(discount: float) -> tuple[np.ndarray, np.ndarray]:
     """(log of customers per table, log g) along the saddle points x = 1 - exp(-z).
 
@@ -81,16 +96,18 @@ def _saddle(discount: float) -> tuple[np.ndarray, np.ndarray]:
 
 def _smooth(customers: np.ndarray, opening: np.ndarray, discount: float, num: np.ndarray, den: np.ndarray, step: float, rng: np.random.Generator) -> np.ndarray:
     ratio, g = _saddle(discount)
+    size = np.log(customers.astype(float))
 
-    def more(t: np.ndarray, k=slice(None), add: tuple = ()) -> np.ndarray:
-        """log P(t + 1) - log P(t) of dishes ``k``."""
-        c, o, a, b = (x[k][add] if add else x[k] for x in (customers, opening, num, den))
-        return np.interp(np.log(c / t), ratio, g) - np.log(t) + _weights(t, o, discount, a, b, step)
+    def more(t: np.ndarray, k=slice(None), add: tuple = (), log: np.ndarray | None = None) -> np.ndarray:
+        """log P(t + 1) - log P(t) of dishes ``k``; ``log`` is that of ``t`` where it is known."""
+        c, o, a, b = (x[k][add] if add else x[k] for x in (size, opening, num, den))
+        log = np.log(t) if log is None else log
+        return np.interp(c - log, ratio, g) - log + _weights(t, o, discount, a, b, step)
 
-    low, high = np.zeros(len(customers)), np.log(customers.astype(float))
+    low, high = np.zeros(len(customers)), size
     for _ in range(28):
         middle = (low + high) / 2
-        up = more(np.exp(middle)) > 0
+        up = more(np.exp(middle), log=middle) > 0
         low, high = np.where(up, middle, low), np.where(up, high, middle)
     t = np.exp((low + high) / 2)
     curve = (more(t * 0.999) - more(t * 1.001)) / (0.002 * t)
@@ -104,23 +121,37 @@ def _smooth(customers: np.ndarray, opening: np.ndarray, discount: float, num: np
     return np.clip(out, 1, customers)
 
 
-def tables_of(customers: np.ndarray, opening: np.ndarray, discount: float, num: np.ndarray, den: np.ndarray, step: float, ways: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A draw of each dish's number of tables.
+def _binned(customers: np.ndarray, turn: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(order of dishes by turn and then by the bin of their customers, bounds of each bin of each turn in it)."""
+    bins = len(_BINS) + 1
+    key = (turn * bins + np.searchsorted(_BINS, customers)).astype(np.uint8)
+    counts = np.bincount(key, minlength=bins * TURNS)
+    return np.argsort(key, kind="stable"), np.concatenate(([0], np.cumsum(counts)))
+
+
+def tables_of(
+    customers: np.ndarray, opening: np.ndarray, discount: float, num: np.ndarray, den: np.ndarray, step: float, ways: np.ndarray, rng: np.random.Generator, cuts: np.ndarray | None = None
+) -> np.ndarray:
+    """A draw of each dish's number of tables, for dishes of two customers or more.
 
     ``opening`` is the concentration plus discount times the tables of the restaurant's other dishes. The
     parent's probability of the dish is (num + step * i) / (den + step * i) once i tables have sent a
-    customer there: with ``step`` 1 it counts them, with 0 the parent is held still.
+    customer there: with ``step`` 1 it counts them, with 0 the parent is held still. ``cuts`` are the bounds
+    of ``_BINS`` if dishes are in their order.
     """
-    out = np.ones(len(customers), np.int64)
-    low = 1
-    for high in _BINS:
-        k = np.flatnonzero((customers > low) & (customers <= high))
-        if len(k):
-            out[k] = _listed(customers[k], ways, opening[k], discount, num[k], den[k], step, rng)
-        low = high
-    k = np.flatnonzero(customers > LISTED)
-    if len(k):
-        out[k] = _smooth(customers[k], opening[k], discount, num[k], den[k], step, rng)
+    if cuts is None:
+        order, cuts = _binned(customers)
+        out = np.empty(len(customers), np.int64)
+        out[order] = tables_of(customers[order], opening[order], discount, num[order], den[order], step, ways, rng, cuts)
+        return out
+    out = np.empty(len(customers), np.int64)
+    for bin_ in range(len(_BINS) + 1):
+        k = slice(int(cuts[bin_]), int(cuts[bin_ + 1]))
+        if k.start < k.stop:
+            if bin_ < len(_BINS):
+                out[k] = _listed(customers[k], ways, opening[k], discount, num[k], den[k], step, rng)
+            else:
+                out[k] = _smooth(customers[k], opening[k], discount, num[k], den[k], step, rng)
     return out
 
 
@@ -142,7 +173,7 @@ class Level:
     def __init__(self, customers: np.ndarray, group: np.ndarray, groups: int) -> None:
         self.customers, self.group = customers.astype(np.int64), group
         self.tables = (self.customers > 0).astype(np.int64)
-        self.groups, self.concentration = groups, 1.0
+        self.groups, self.concentration, self._turns = groups, 1.0, None
         self.recount()
 
     def recount(self) -> None:
@@ -158,10 +189,19 @@ class Level:
         opening = (self.concentration + self.discount * self.opened)[self.group]
         return (self.customers - self.discount * self.tables + opening * parent) / (self.concentration + self.total)[self.group]
 
-    def turns(self) -> list[np.ndarray]:
+    def turns(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(dishes by bins, bounds of bins) of each turn."""
         able = np.flatnonzero(self.customers > 1)
-        turn = turns_of(self.group[able])
-        return [able[turn == k] for k in range(min(TURNS, int(turn.max()) + 1 if len(able) else 0))]
+        order, cuts = _binned(self.customers[able], turns_of(self.group[able]))
+        able, bins = able[order], len(_BINS) + 1
+        starts = range(0, bins * TURNS, bins)
+        return [(able[cuts[k] : cuts[k + bins]], cuts[k : k + bins + 1] - cuts[k]) for k in starts if cuts[k] < cuts[k + bins]]
+
+    def turns_kept(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``turns``, made once: for a level whose customers stay."""
+        if self._turns is None:
+            self._turns = self.turns()
+        return self._turns
 
     def place(self, k: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """Give dishes ``k`` new tables; returns the change of each."""
@@ -173,9 +213,9 @@ class Level:
     def sweep(self, parent: np.ndarray, rng: np.random.Generator) -> None:
         """Redraw all dishes under a parent that is held still."""
         ways = log_ways(self.discount)
-        for k in self.turns():
+        for k, cuts in self.turns():
             opening = self.concentration + self.discount * (self.opened[self.group[k]] - self.tables[k])
-            self.place(k, tables_of(self.customers[k], opening, self.discount, parent[k], np.ones(len(k)), 0.0, ways, rng))
+            self.place(k, tables_of(self.customers[k], opening, self.discount, parent[k], np.ones(len(k)), 0.0, ways, rng, cuts))
         self.draw_concentration(rng)
 
 
@@ -187,7 +227,7 @@ def two_levels(upper: Level, lower: Level, of: np.ndarray, root: np.ndarray, rng
     sent taken back, and each new table sees those that its tables before it have sent.
     """
     ways = log_ways(lower.discount)
-    for k in lower.turns():
+    for k, cuts in lower.turns_kept():
         own, q = lower.tables[k], of[k]
         others = upper.customers[q] - own
         kept = np.maximum(np.minimum(upper.tables[q], others), 1)
@@ -195,7 +235,7 @@ def two_levels(upper: Level, lower: Level, of: np.ndarray, root: np.ndarray, rng
         num = others - upper.discount * kept + (upper.concentration + upper.discount * upper.opened[head]) * root[q]
         den = upper.concentration + upper.total[head] - own
         opening = lower.concentration + lower.discount * (lower.opened[lower.group[k]] - own)
-        change = lower.place(k, tables_of(lower.customers[k], opening, lower.discount, num, den, 1.0, ways, rng))
+        change = lower.place(k, tables_of(lower.customers[k], opening, lower.discount, num, den, 1.0, ways, rng, cuts))
         np.add.at(upper.customers, q, change)
         np.add.at(upper.total, head, change)
     lower.draw_concentration(rng)

@@ -68,6 +68,31 @@ def test_saddle_point_agrees_with_listing(discount, chance, step):
     assert smooth.std() == pytest.approx(listed.std(), rel=0.15, abs=0.1)
 
 
+def test_dishes_of_all_sizes_are_drawn_in_one_call():
+    """Whatever their order, and whether weights are multiplied or their logarithms added."""
+    rng, draws, discount = np.random.default_rng(8), 3000, 0.6
+    sizes = [2, 3, 5, 8, 9, 30, 64, 100]
+    customers = rng.permutation(np.repeat(sizes, draws))
+    one = np.ones(len(customers))
+    tables = seating.tables_of(customers, one * 2.5, discount, one * 0.3, one * 4.0, 1.0, seating.log_ways(discount), rng)
+    for n in sizes:
+        log = seating.log_ways(discount, n)[n, 1:] + np.concatenate(([0], np.cumsum([math.log((2.5 + discount * i) * (0.3 + i) / (4.0 + i)) for i in range(1, n)])))
+        p, t, own = np.exp(log - log.max()) / np.exp(log - log.max()).sum(), np.arange(1, n + 1), tables[customers == n]
+        std = (p @ t**2 - (p @ t) ** 2) ** 0.5
+        assert own.min() >= 1 and own.max() <= n
+        assert n > seating.LISTED or own.mean() == pytest.approx(p @ t, abs=5 * std / draws**0.5)
+
+
+def test_turns_of_contexts_are_dealt_once(monkeypatch):
+    """Their customers are trigrams' counts, which stay; those of the nearer words change with every sweep."""
+    calls, turns_of = [], seating.turns_of
+    monkeypatch.setattr(seating, "turns_of", lambda group: calls.append(len(group)) or turns_of(group))
+    n = 3 * np.ones(40, np.int64)
+    here = pitman_yor.Contexts([[packets.steps(np.repeat([2, 3], 20)), np.tile(np.arange(2, 22), 2), np.full(40, 4), n]])
+    here.averaged(np.full(len(here.names), 0.05), np.random.default_rng(9))
+    assert len(calls) == 1 + pitman_yor.BURN_IN + pitman_yor.SAMPLES
+
+
 def spread(slices=1, hot=(), parts=()):
     return pitman_yor.Spread(slices, np.array(hot, np.int64), np.array(parts, np.int64))
 
@@ -216,6 +241,23 @@ def test_scores(spark, monkeypatch):
     assert sorted((r.doc_id or -1, r.score) for r in again) == sorted((r.doc_id or -1, r.score) for r in found)
 
 
+def test_trigrams_of_a_block_are_found_once(spark, monkeypatch, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    class Counting(pitman_yor.Spread):
+        def trigrams(self, ids, bounds):
+            with open(seen, "a") as out:
+                out.write(f"{len(ids)}\n")
+            return super().trigrams(ids, bounds)
+
+    monkeypatch.setattr(pitman_yor, "Spread", Counting)
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 3000)
+    docs = spark.createDataFrame([(k, k is not None and k % 5 != 1, t) for k, t in corpus(7)], "doc_id long, train boolean, text string")
+    found = pitman_yor.scored(docs.repartition(3)).collect()
+    with open(seen) as lines:
+        assert sum(map(int, lines)) == sum(r.n_tokens for r in found)
+
+
 def test_slices_change_little(spark, monkeypatch):
     """Many slices and several restaurants of frequent words: the same counts, and a model about as good."""
     docs = spark.createDataFrame([(k, k % 5 != 1, t) for k, t in corpus(5) if k is not None], "doc_id long, train boolean, text string")
