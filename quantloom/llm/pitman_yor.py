@@ -223,24 +223,19 @@ def _number_tokens(slices: int):
     return number
 
 
-def _encode(n: int, v: int, spread: Spread):
-    """Blocks in numbers: documents, their tokens, known tokens and base scores, and where each token's trigram is; and what they ask of slices."""
+def _encode(n: int, v: int):
+    """Blocks in numbers: documents, their tokens, known tokens and base scores, and all tokens' numbers."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for block, found in packets.groups_of(batches):
                 doc, none, train, length, code, _ = packets.unpack(found[0][2])
-                bounds = np.concatenate(([0], np.cumsum(length)))
                 answers = [packets.unpack(payload) for _, _, payload in found[1:]]
                 ids, count = (np.concatenate(x) for x in zip(*answers, strict=True))
                 base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-                sums = [np.add.reduceat(x[code], bounds[:-1]) for x in ((count > 0).astype(np.int64), base)]
-                (near, token, far), place, cuts = spread.trigrams(ids[code], bounds)
-                yield block, _ROW, 0, packets.pack(doc, none, train, length, sums[0], sums[1].view(np.int64), place)
-                trained = np.bincount(place, np.repeat(train, length), len(near)).astype(np.int64)
-                for s in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = slice(cuts[s], cuts[s + 1])
-                    yield s, _ANSWER, block, packets.pack(packets.steps(near[own]), token[own], far[own], trained[own])
+                first = np.cumsum(length) - length
+                sums = [np.add.reduceat(x[code], first) for x in ((count > 0).astype(np.int64), base)]
+                yield block, _ROW, 0, packets.pack(doc, none, train, length, sums[0], sums[1].view(np.int64), ids[code])
 
         yield from packets.batches_of(rows())
 
@@ -250,6 +245,26 @@ def _encode(n: int, v: int, spread: Spread):
 # -- contexts
 
 
+def _ask_trigrams(spread: Spread):
+    """What blocks ask of slices, and blocks with the place of each token's trigram in that instead of its number."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for block, _, _, payload in packets.rows_of(batches):
+                *documents, ids = packets.unpack(payload)
+                train, length = documents[2:4]
+                (near, token, far), place, cuts = spread.trigrams(ids, np.concatenate(([0], np.cumsum(length))))
+                yield block, _ROW, 0, packets.pack(*documents, place)
+                n = np.bincount(place, np.repeat(train, length), len(near)).astype(np.int64)
+                for s in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = slice(cuts[s], cuts[s + 1])
+                    yield s, _ANSWER, block, packets.pack(packets.steps(near[own]), token[own], far[own], n[own])
+
+        yield from packets.batches_of(rows())
+
+    return ask
+
+
 class Contexts:
     """The restaurants of a slice, from all that blocks have asked of it."""
 
@@ -425,16 +440,17 @@ def scored(documents: DataFrame, seed: int = 0) -> DataFrame:
     sums = _totals(known)
     n, v = sums.get(_COUNT, 0), sums.get(_KINDS, 0)
     found = blocks.unionByName(known.where(F.col("kind") == _ANSWER))
+    coded = written(packets.gathered(found, n_blocks).mapInArrow(tidy(_encode(n, v)), packets.SCHEMA), "numbers")
     parted = max(HOT, n // MOST_HOT)
     hot = sorted((r["to"], -(-r["source"] // parted)) for r in known.where((F.col("kind") == _FREQUENT) & (F.col("source") > parted)).collect())
-    spread = Spread(max(1, -(-n // SLICE_TOKENS)), *np.array(hot, np.int64).reshape(-1, 2).T.copy())
-    coded = packets.gathered(found, n_blocks).mapInArrow(tidy(_encode(n, v, spread)), packets.SCHEMA)
-    coded, asked = written_by(coded, "numbers", "kind", (_ROW, _ANSWER))
     for done in (blocks, known):
         discard(done)
     del found
     release_shuffles(spark)
 
+    spread = Spread(max(1, -(-n // SLICE_TOKENS)), *np.array(hot, np.int64).reshape(-1, 2).T.copy())
+    placed, asked = written_by(coded.mapInArrow(tidy(_ask_trigrams(spread)), packets.SCHEMA), "trigrams", "kind", (_ROW, _ANSWER))
+    discard(coded)
     sent = packets.gathered(asked, spread.slices).mapInArrow(tidy(_send_tables(seed, slices, v)), packets.SCHEMA)
     root = written(packets.gathered(sent, slices).mapInArrow(tidy(_seat_root(seed, slices, v)), packets.SCHEMA), "root")
     sums = _totals(root)
@@ -449,4 +465,4 @@ def scored(documents: DataFrame, seed: int = 0) -> DataFrame:
         discard(done)
     del both
     release_shuffles(spark)
-    return packets.gathered(coded.unionByName(answers), n_blocks).mapInArrow(tidy(_add_up(n)), _SCORES)
+    return packets.gathered(placed.unionByName(answers), n_blocks).mapInArrow(tidy(_add_up(n)), _SCORES)
